@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quakeloom.llm import quality_rules
+from quakeloom.llm import quality_rules, secret_scans, simhash
 
-MODULES = (quality_rules,)
+MODULES = (secret_scans, quality_rules, simhash)
 
 
 def queries() -> dict:
