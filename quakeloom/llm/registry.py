@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quakeloom.llm import quality_rules, secret_scans, simhash
+from quakeloom.llm import chat_format, decontamination, license_scans, packing, quality_rules, secret_scans, simhash, url_filters, warc_fixity
 
-MODULES = (secret_scans, quality_rules, simhash)
+MODULES = (url_filters, decontamination, secret_scans, quality_rules, chat_format, packing, warc_fixity, license_scans, simhash)
 
 
 def queries() -> dict:
