@@ -107,12 +107,12 @@ def gram_hashes(keys: np.ndarray, groups: np.ndarray, size: int) -> tuple[np.nda
     return mix(total[first]), first
 
 
-def window_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """A polynomial key of the `size` bytes that start at each position, by doubling."""
+def window_hashes(data: np.ndarray, size: int, base: int = _BASE) -> np.ndarray:
+    """A polynomial key of the `size` bytes that start at each position, by doubling. base: odd."""
     n = len(data) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    done, out, power, block, width, base = 0, np.zeros(n, np.uint64), 1, _BYTE_KEYS[data], 1, _BASE
+    done, out, power, block, width = 0, np.zeros(n, np.uint64), 1, _BYTE_KEYS[data], 1
     left = size
     while left:
         if left & 1:
