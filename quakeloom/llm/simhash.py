@@ -7,9 +7,10 @@ Embedding: the 64 bits are cut into 32 segments of two bits, and a fingerprint i
 segments' bit counts. Their Manhattan distance never exceeds the Hamming distance. Counts are written
 in thermometer code (0: 00, 1: 01, 2: 11), which makes the Manhattan distance a popcount of an XOR.
 
-Grid: the segments form 7 groups. Two fingerprints at Manhattan distance 4 or less agree in at least 3
-groups, so each is put into the 35 cells that three groups' counts name, and pairs are looked for
-within cells only: an exact range join, then the exact Hamming check.
+Grid: the segments form 8 groups. Two fingerprints at Manhattan distance 4 or less agree in at least 4
+groups, so each is put into the 70 cells that four groups' counts name, and pairs are looked for
+within cells only: an exact range join, then the exact Hamming check. More groups make more cells per
+fingerprint but fewer chance meetings in a cell.
 
 Dense cells: in a first round every member is compared with its cell's least fingerprint only, which
 is linear and joins nearly all of a large group of near copies. In a second round, members of a cell's
@@ -37,7 +38,7 @@ from quakeloom.llm import textscan
 from quakeloom.llm.components import components
 from quakeloom.session import cut, table
 
-SHINGLE, SEED, DISTANCE = 4, 42, 4
+SHINGLE, SEED, DISTANCE, GROUPS = 4, 42, 4, 8
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 #: Shingles whose bits are counted at once.
@@ -113,25 +114,25 @@ def _group_masks(groups: int) -> list[int]:
     return [_signed(sum(3 << 2 * s for s in range(a, b))) for a, b in zip(cuts, cuts[1:])]
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE, groups: int = 7) -> DataFrame:
+def links(distinct: DataFrame, distance: int = DISTANCE, groups: int = GROUPS) -> DataFrame:
     """(node, component) of the fingerprints (column fp, distinct) with another within `distance`."""
     masks = _group_masks(groups)
-    cells = [
-        F.struct(F.lit(sum(1 << g for g in some)).alias("combo"), F.col("u").bitwiseAND(F.lit(reduce(int.__or__, (masks[g] for g in some)))).alias("cell"))
-        for some in combinations(range(groups), groups - distance)
-    ]
-    placed = distinct.select("fp", embedded(F.col("fp")).alias("u")).select("fp", F.explode(F.array(*cells)).alias("c")).select("fp", "c.*")
-    shared = placed.groupBy("combo", "cell").agg(F.count("*").alias("n"), F.min("fp").alias("head")).where("n > 1").drop("n")
-    members = cut(placed.join(shared, ["combo", "cell"]))
+    # a cell's name is hashed to one number; should two cells meet in it, they are searched together
+    cells = [F.xxhash64(F.lit(n), F.col("u").bitwiseAND(F.lit(reduce(int.__or__, some)))) for n, some in enumerate(combinations(masks, groups - distance))]
+    placed = distinct.select("fp", embedded(F.col("fp")).alias("u")).select("fp", F.explode(F.array(*cells)).alias("cell"))
+    # the XOR of two members tells their Hamming distance: most cells of two are chance meetings
+    shared = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("head"), F.bit_xor("fp").alias("x"))
+    shared = shared.where((F.col("n") > 2) | (F.col("n") == 2) & (F.bit_count("x") <= distance)).drop("n", "x")
+    members = cut(placed.join(shared, "cell"))
     near = lambda a, b: (F.bit_count(embedded(F.col(a)).bitwiseXOR(embedded(F.col(b)))) <= distance) & (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance)
 
     first = components(members.where(F.col("fp") != F.col("head")).where(near("fp", "head")).select("fp", "head"), "fp", "head")
-    known = members.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("combo", "cell", "fp", F.coalesce("component", "fp").alias("part"))
-    sizes = known.groupBy("combo", "cell", "part").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("combo", "cell").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    mixed = cut(known.join(mixed, ["combo", "cell"]))
-    minor = mixed.where("part <> main").select("combo", "cell", F.col("fp").alias("a"), F.col("part").alias("part_a"))
-    found = minor.join(mixed.select("combo", "cell", F.col("fp").alias("b"), F.col("part").alias("part_b")), ["combo", "cell"])
+    known = members.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("cell", "fp", F.coalesce("component", "fp").alias("part"))
+    sizes = known.groupBy("cell", "part").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("cell").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    mixed = cut(known.join(mixed, "cell"))
+    minor = mixed.where("part <> main").select("cell", F.col("fp").alias("a"), F.col("part").alias("part_a"))
+    found = minor.join(mixed.select("cell", F.col("fp").alias("b"), F.col("part").alias("part_b")), "cell")
     found = found.where(F.col("part_a") != F.col("part_b")).where(near("a", "b")).select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).distinct()
 
     second = components(found, "a", "b")
