@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES = ()
+from quakeloom.plans import catalog_queries, cluster_queries
+
+MODULES = (catalog_queries, cluster_queries)
 
 
 def queries() -> dict:
