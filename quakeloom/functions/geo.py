@@ -13,7 +13,8 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     up = F.sin((F.radians(lat2) - F.radians(lat1)) / 2.0)
     across = F.sin((F.radians(lon2) - F.radians(lon1)) / 2.0)
     a = up * up + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * across * across
-    return F.lit(2.0 * EARTH_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), a))))
+    # least and greatest pass over nulls, so that a missing place would lie at no distance
+    return F.when(a.isNotNull(), F.lit(2.0 * EARTH_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), a)))))
 
 
 def positive_log10(x: Column) -> Column:

@@ -33,3 +33,18 @@ def build(clustered: DataFrame, hours: int = 24) -> DataFrame:
     zone = F.when(near.isNull(), 0).when(near <= 10, 1).when(near <= 25, 2).when(near <= 50, 3).otherwise(4)
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     return out.select("event_id", zone, flag(near.isNotNull()), *(flag(near <= r) for r in ZONES_KM), flag(near > 50), near, "median", "p90", "largest").toDF("event_id", *names(hours))
+
+
+def extended(clustered: DataFrame) -> DataFrame:
+    """event_id, aftershocks within 48 and 72 hours and 7 days, whether a larger one or one of M 5 follows,
+    and the seconds to the next."""
+    week = 7 * 86400
+    after = clustered.where("event_role = 'aftershock'").select("cluster_id", F.col("sort_time").alias("a_time"), F.col("magnitude").alias("a_magnitude"), F.floor(F.col("sort_time") / week).alias("_bucket"))
+    events = clustered.select("event_id", "cluster_id", "sort_time", "magnitude")
+    asked = events.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("sort_time") / week), F.floor(F.col("sort_time") / week) + 1)))
+    wait = F.col("a_time") - F.col("sort_time")
+    seen = asked.join(after, ["cluster_id", "_bucket"]).where((wait > 0) & (wait <= week)).groupBy("event_id").agg(
+        F.count_if(wait <= 48 * 3600).alias("aftershocks_48h"), F.count_if(wait <= 72 * 3600).alias("aftershocks_72h"), F.count("*").alias("aftershocks_7d"),
+        F.max((F.col("a_magnitude") > F.col("magnitude")).cast("int")).alias("larger_7d"), F.max((F.col("a_magnitude") >= 5).cast("int")).alias("m5_7d"), F.min(wait).alias("seconds_to_next"),
+    )
+    return events.select("event_id").join(seen, "event_id", "left").fillna(0, ["aftershocks_48h", "aftershocks_72h", "aftershocks_7d", "larger_7d", "m5_7d"])

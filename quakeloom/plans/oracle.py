@@ -14,7 +14,7 @@ def km(a: str, b: str) -> str:
     """Distance of the rows with these aliases."""
     up = f"sin((radians({b}.latitude) - radians({a}.latitude)) / 2e0)"
     across = f"sin((radians({b}.longitude) - radians({a}.longitude)) / 2e0)"
-    return f"{2 * EARTH_KM!r}::DOUBLE * asin(sqrt(least(1e0, greatest(0e0, {up} * {up} + cos(radians({a}.latitude)) * cos(radians({b}.latitude)) * {across} * {across}))))"
+    return f"CASE WHEN {a}.latitude + {b}.latitude IS NOT NULL THEN {2 * EARTH_KM!r}::DOUBLE * asin(sqrt(least(1e0, greatest(0e0, {up} * {up} + cos(radians({a}.latitude)) * cos(radians({b}.latitude)) * {across} * {across})))) END"
 
 
 def r6(x: str, digits: int = 6) -> str:

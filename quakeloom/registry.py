@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quakeloom.plans import catalog_queries, cluster_queries
+from quakeloom.plans import catalog_queries, cluster_queries, feature_queries, metric_queries, model_queries
 
-MODULES = (catalog_queries, cluster_queries)
+MODULES = (catalog_queries, cluster_queries, feature_queries, metric_queries, model_queries)
 
 
 def queries() -> dict:
