@@ -11,11 +11,13 @@ A sparse suffix set is enough. Each window of 100 bytes is named after the least
 of 32 bytes. Neighbouring windows with the same name form a block (about one per 35 bytes), and equal
 windows lie in blocks of the same name:
 1. Blocks are compared as wholes. All of a block that also stands earlier is removed at once.
-2. Where different blocks share a name, mostly next to the edges of repeats, their suffixes are
-   ordered and compared one by one.
+2. Where different blocks share a name, mostly next to the edges of repeats, their bytes are gathered
+   by name and their suffixes ordered and compared one by one.
 All comparisons are first made within chunks of text, which send on one row per key, so that the most
 frequent passage costs a row per chunk. A chunk in which more than NAMES different blocks share a name
-sends the suffixes themselves, and one row that tells the other chunks so.
+sends the suffixes' keys themselves, and one row that tells the other chunks so. Such names, and names
+with more blocks than a task holds at once (GROUP), have their suffixes compared in a last round, in
+which only equal suffixes meet, a row per chunk or group.
 
 Defined results: null text is empty; texts under 100 bytes lose nothing; null doc_ids come last; rows
 that share a doc_id count as parts of one document in the order of a key of their texts, and equal such
@@ -35,9 +37,9 @@ from pyspark.sql import functions as F
 from quakeloom.llm import textscan
 from quakeloom.session import table
 
-LENGTH, GRAM, NAMES = 100, 32, 8
+LENGTH, GRAM, NAMES, GROUP = 100, 32, 4, 20_000
 #: Kinds of marks: a block, one that may repeat itself, a note that more blocks have its name, bytes to
-#: remove, a suffix, and a block whose suffixes are to be compared.
+#: remove, a suffix, and a block whose suffixes are to be compared (k2: 1 if other chunks send suffixes).
 BLOCK, REPEATING, NOTE, REMOVE, SUFFIX, COMPARE = range(6)
 _MARK = "kind int, k1 bigint, k2 bigint, doc bigint, s bigint, n bigint"
 _NAMES = ["kind", "k1", "k2", "doc", "s", "n"]
@@ -95,19 +97,20 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class _Chunk:
-    """The texts of a record batch with pid, hi and text, and the marks that are made of them."""
+    """Byte strings with their documents, and the marks that are made of them.
 
-    def __init__(self, batch: pa.RecordBatch) -> None:
-        self.data, self.offsets = textscan.buffer(batch.column("text"))
-        self.pid = batch.column("pid").to_numpy(zero_copy_only=False)
-        self.hi = batch.column("hi").to_numpy(zero_copy_only=False)
-        rows = np.unique(np.column_stack([self.pid, self.hi]), axis=0, return_inverse=True)[1].ravel()
+    text: the strings; pid and hi: whose they are; base: where they start in the document.
+    """
+
+    def __init__(self, text: pa.Array, pid: np.ndarray, hi: np.ndarray, base: np.ndarray | int = 0) -> None:
+        self.data, self.offsets = textscan.buffer(text)
+        self.pid, self.hi, self.base = pid, hi, np.broadcast_to(base, len(pid))
+        rows = np.unique(np.column_stack([pid, hi]), axis=0, return_inverse=True)[1].ravel()
         self.row_place = rows.astype(np.int64) << 32
         self.out: list[tuple[np.ndarray, ...]] = []
-        self._keys: tuple[np.ndarray, np.ndarray] | None = None
 
     def put(self, kind: int, k1, k2, rows: np.ndarray, starts: np.ndarray, n: np.ndarray) -> None:
-        """starts: within the row's text."""
+        """starts: within the document."""
         if len(rows):
             as_long = lambda x: np.broadcast_to(x, len(rows)).astype(np.uint64).view(np.int64)
             self.out.append((np.full(len(rows), kind, np.int32), as_long(k1), as_long(k2), self.pid[rows], (self.hi[rows] << 32) | starts, n))
@@ -124,27 +127,30 @@ class _Chunk:
             spread = textscan.mix(self.pid[rows[at]].astype(np.uint64))
             self.put(REMOVE, spread, 0, rows[at], starts[at], reach[last] - starts[at])
 
-    def suffixes(self, at: np.ndarray, rows: np.ndarray, given: list[tuple[np.ndarray, ...]] = ()) -> None:
-        """Compares suffixes at these places of the buffer, and given ones (k1, k2, row, start), with each other."""
-        if self._keys is None and len(at):
-            self._keys = textscan.window_hashes(self.data, LENGTH), textscan.window_hashes(self.data, LENGTH, _OTHER_BASE)
-        parts = [(self._keys[0][at], self._keys[1][at], rows, at - self.offsets[rows])] if len(at) else []
-        parts += [g for g in given if len(g[0])]
-        if not parts:
+    def suffixes(self, rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray, send: np.ndarray) -> None:
+        """Compares the suffixes of these ranges with each other; sends on the first ones of ranges where `send`."""
+        if not len(rows):
             return
-        k1, k2, rows, starts = (np.concatenate(x) for x in zip(*parts))
+        keys = textscan.window_hashes(self.data, LENGTH), textscan.window_hashes(self.data, LENGTH, _OTHER_BASE)
+        at, rows, send = _ranges(self.offsets[rows] + starts, sizes), np.repeat(rows, sizes), np.repeat(send, sizes)
+        k1, k2, starts = keys[0][at], keys[1][at], at - self.offsets[rows] + self.base[rows]
         first, later = _earlier((k1, k2), self.row_place[rows] | starts)
-        self.put(SUFFIX, k1[first], k2[first], rows[first], starts[first], np.ones(first.sum(), np.int64))
         self.remove(rows[later], starts[later], starts[later] + LENGTH)
+        first &= send
+        self.put(SUFFIX, k1[first], k2[first], rows[first], starts[first], np.ones(first.sum(), np.int64))
 
     def marks(self) -> Iterator[pa.RecordBatch]:
         for columns in self.out:
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=_NAMES)
 
 
+def _numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+
+
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in textscan.chunks(batches):
-        chunk = _Chunk(batch)
+        chunk = _Chunk(batch.column("text"), *_numbers(batch, "pid", "hi"))
         start, end, row, name, key, twice = _blocks(chunk.data, chunk.offsets)
         if not len(start):
             continue
@@ -158,8 +164,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(many):
             noted = np.unique(name[many], return_index=True)[1]
             chunk.put(NOTE, name[many][noted], 0, row[many][noted], at[many][noted], np.zeros(len(noted), np.int64))
-            sizes = (end - start)[many]
-            chunk.suffixes(_ranges(start[many], sizes), np.repeat(row[many], sizes))
+            chunk.suffixes(row[many], at[many], (end - start)[many], np.ones(len(many), bool))
         few = keep[~crowded]
         for kind, some in ((BLOCK, few[~twice[few]]), (REPEATING, few[twice[few]])):
             chunk.put(kind, name[some], key[some], row[some], at[some], (end - start)[some])
@@ -167,23 +172,65 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Gives blocks to compare their bytes; other marks pass, byte ranges to remove united."""
     for batch in textscan.chunks(batches):
         marks = batch.column("marks")
         if marks.null_count == len(marks):
             continue
-        chunk = _Chunk(batch)
+        chunk = _Chunk(batch.column("text"), *_numbers(batch, "pid", "hi"))
         held = pc.fill_null(pc.list_value_length(marks), 0).to_numpy(zero_copy_only=False)
-        flat = marks.flatten()
         row = np.repeat(np.arange(len(marks)), held)
-        kind, k1, k2, s, n = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("kind", "k1", "k2", "s", "n"))
+        kind, k1, k2, s, n = (marks.flatten().field(x).to_numpy(zero_copy_only=False) for x in ("kind", "k1", "k2", "s", "n"))
         s = s & 0xFFFFFFFF
-        of = lambda k: np.flatnonzero(kind == k)
-        gone, known, wanted = of(REMOVE), of(SUFFIX), of(COMPARE)
+        gone, known, wanted = (np.flatnonzero(kind == k) for k in (REMOVE, SUFFIX, COMPARE))
         chunk.remove(row[gone], s[gone], s[gone] + n[gone])
-        given = (k1[known].astype(np.int64).view(np.uint64), k2[known].astype(np.int64).view(np.uint64), row[known], s[known])
-        sizes = n[wanted]
-        chunk.suffixes(_ranges(chunk.offsets[row[wanted]] + s[wanted], sizes), np.repeat(row[wanted], sizes), [given])
-        yield from chunk.marks()
+        chunk.put(SUFFIX, k1[known].astype(np.int64).view(np.uint64), k2[known].astype(np.int64).view(np.uint64), row[known], s[known], n[known])
+        for marked in chunk.marks():
+            yield marked.append_column("bytes", pa.nulls(marked.num_rows, pa.binary()))
+        if len(wanted):
+            chunk.out.clear()
+            chunk.put(COMPARE, k1[wanted].astype(np.int64).view(np.uint64), k2[wanted].astype(np.int64).view(np.uint64), row[wanted], s[wanted], n[wanted])
+            at = chunk.offsets[row[wanted]] + s[wanted]
+            size = n[wanted] + LENGTH - 1
+            flat = chunk.data[_ranges(at, size)]
+            binary = pa.Array.from_buffers(pa.large_binary(), len(wanted), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64)), pa.py_buffer(flat)])
+            yield from (marked.append_column("bytes", binary.cast(pa.binary())) for marked in chunk.marks())
+
+
+def _compared(rows: pa.Table, always_send: bool) -> Iterator[pa.RecordBatch]:
+    """Marks from whole names' blocks, or from a part of one name's (always_send)."""
+    batch = rows.combine_chunks().to_batches()[0]
+    k1, k2, doc, s, n = _numbers(batch, "k1", "k2", "doc", "s", "n")
+    chunk = _Chunk(batch.column("bytes"), doc, s >> 32, s & 0xFFFFFFFF)
+    chunk.suffixes(np.arange(len(n)), np.zeros(len(n), np.int64), n, (k2 != 0) | always_send)
+    yield from chunk.marks()
+
+
+def _third_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compares the suffixes of blocks of one name, which follow each other. Holds GROUP blocks or so."""
+    held, opened = None, None
+    for batch in batches:
+        compare = pc.equal(batch.column("kind"), COMPARE)
+        yield batch.filter(pc.invert(compare)).select(_NAMES)
+        more = pa.Table.from_batches([batch.filter(compare)])
+        held = more if held is None else pa.concat_tables([held, more])
+        while held.num_rows >= GROUP:
+            names = held.column("k1").to_numpy()
+            edge = np.flatnonzero(names[1:] != names[:-1]) + 1
+            # the end of a name that parts have been taken of, or all whole names, or a part of one
+            whole = len(edge) and names[0] != opened
+            stop = int(edge[-1] if whole else edge[0] if len(edge) else held.num_rows)
+            if not whole:
+                opened = names[0]
+            yield from _compared(held.slice(0, stop), not whole)
+            held = held.slice(stop)
+    if held is not None and held.num_rows:
+        names = held.column("k1").to_numpy()
+        stop = int((names == opened).sum()) if opened is not None else 0
+        if stop:
+            yield from _compared(held.slice(0, stop), True)
+        if stop < held.num_rows:
+            yield from _compared(held.slice(stop), False)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,10 +253,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _with_marks(documents: DataFrame, marks: DataFrame) -> DataFrame:
-    """Each document row with the marks of its own; their number is bounded by its length."""
-    own = marks.groupBy(F.col("doc").alias("m_pid"), F.shiftright("s", 32).alias("m_hi")).agg(F.collect_list(F.struct("kind", "k1", "k2", "s", "n")).alias("marks"))
-    return documents.join(own, (F.col("pid") == F.col("m_pid")) & (F.col("hi") == F.col("m_hi")), "left").drop("m_pid", "m_hi")
+def _with_marks(documents: DataFrame, marks: DataFrame, repeated: bool) -> DataFrame:
+    """Each document row with the marks of its own; their number is bounded by its length.
+
+    Rows meet by doc_id alone where it tells them apart, which saves a shuffle of the marks.
+    """
+    keys = {"m_pid": F.col("doc")} | ({"m_hi": F.shiftright("s", 32)} if repeated else {})
+    own = marks.groupBy(*(c.alias(k) for k, c in keys.items())).agg(F.collect_list(F.struct("kind", "k1", "k2", "s", "n")).alias("marks"))
+    same = F.col("pid") == F.col("m_pid")
+    return documents.join(own, same & (F.col("hi") == F.col("m_hi")) if repeated else same, "left").drop(*keys)
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
@@ -221,23 +273,27 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
 
     marks = rows.select("pid", "hi", "text").mapInArrow(_first_pass, _MARK).repartition("k1")
     block = F.col("kind").isin(BLOCK, REPEATING, NOTE)
-    marks = marks.withColumn("block", block)
     name = Window.partitionBy("block", "k1")
-    marks = marks.withColumn("rank", F.rank().over(Window.partitionBy("block", "k1", "k2").orderBy("doc", "s"))).withColumns({"low": F.min("k2").over(name), "high": F.max("k2").over(name)})
+    marks = marks.withColumn("block", block).withColumn("rank", F.rank().over(Window.partitionBy("block", "k1", "k2").orderBy("doc", "s")))
+    marks = marks.withColumns({"low": F.min("k2").over(name), "high": F.max("k2").over(name), "noted": F.max(F.col("kind") == NOTE).over(name)})
     later = block & (F.col("rank") > 1)
     unsure = block & ((F.col("low") != F.col("high")) | (F.col("kind") == REPEATING))
     kind = F.when(later, REMOVE).when(unsure, COMPARE).when(~block, F.col("kind"))
     n = F.when(later, F.col("n") + LENGTH - 1).otherwise(F.col("n"))
-    marks = marks.where(F.col("kind") != NOTE).select(kind.alias("kind"), "k1", "k2", "doc", "s", n.alias("n")).where("kind IS NOT NULL")
+    k2 = F.when(block, F.col("noted").cast("long")).otherwise(F.col("k2"))
+    marks = marks.where(F.col("kind") != NOTE).select(kind.alias("kind"), "k1", k2.alias("k2"), "doc", "s", n.alias("n")).where("kind IS NOT NULL")
 
-    marks = _with_marks(rows, marks).select("pid", "hi", "text", "marks").mapInArrow(_second_pass, _MARK).repartition("k1")
+    # the same columns as in the last step, so that Spark deals the texts out once for both
+    marks = _with_marks(rows, marks, repeated).select("doc_id", "pid", "hi", "text", "marks").mapInArrow(_second_pass, f"{_MARK}, bytes binary")
+    marks = marks.repartition("k1").sortWithinPartitions("k1").mapInArrow(_third_pass, _MARK).repartition("k1")
     # the neighbour before in suffix order, if it has the same key, is the previous smaller position
     earlier = F.rank().over(Window.partitionBy("kind", "k1", "k2").orderBy("doc", "s")) > 1
     is_suffix = F.col("kind") == SUFFIX
     marks = marks.withColumn("earlier", earlier).where(~is_suffix | F.col("earlier"))
-    marks = marks.select(F.lit(REMOVE).alias("kind"), F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"), "doc", "s", F.when(is_suffix, LENGTH).otherwise(F.col("n")).alias("n"))
+    none = F.lit(0).cast("long")
+    marks = marks.select(F.lit(REMOVE).alias("kind"), none.alias("k1"), none.alias("k2"), "doc", "s", F.when(is_suffix, LENGTH).otherwise(F.col("n")).alias("n"))
     kind = dict(documents.dtypes)["doc_id"]
-    return _with_marks(rows, marks).select("doc_id", "text", "marks").mapInArrow(_cut, f"doc_id {kind}, n_bytes bigint, spans array<struct<start:bigint,stop:bigint>>, kept binary")
+    return _with_marks(rows, marks, repeated).select("doc_id", "pid", "hi", "text", "marks").mapInArrow(_cut, f"doc_id {kind}, n_bytes bigint, spans array<struct<start:bigint,stop:bigint>>, kept binary")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
 
 def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts (null: empty) and, per document, where they start and end."""
-    texts = pc.fill_null(texts, "").cast(pa.large_binary())
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
     offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     return data, offsets - offsets[0]
@@ -75,12 +75,17 @@ def mix(keys: np.ndarray) -> np.ndarray:
     return keys ^ (keys >> np.uint64(31))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-        np.cumprod(out, out=out)
-    return out
+    """The first n powers of a base; a worker keeps the longest row it has made."""
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        known = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
+        known[0] = 1
+        _POWERS[base] = np.cumprod(known, out=known)
+    return known[:n]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
