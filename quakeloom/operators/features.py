@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quakeloom.functions import geo
 from quakeloom.functions.ordering import counted_before, numbered
+from quakeloom.operators.neighbors import parents_of_queries
 from quakeloom.operators.range_join import near_past
 from quakeloom.params import B_COUNT, B_LEAST, B_LOG10E, B_MOST, DEFAULT, EPSILON_COUNT, FIVE_YEARS_DAYS, MONTH_DAYS, Params
 
@@ -142,15 +143,36 @@ def build(linked: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return reduce(lambda a, b: a.join(b, "event_id"), parts, base).select("event_id", "sort_time", *names(p))
 
 
+def serve(queries: DataFrame, history: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """The same features of query events, seen from strictly earlier history of magnitude m_c or more.
+
+    queries: event_id, sort_time, latitude, longitude, depth_km, magnitude; their ids need not be in the
+    history.
+    """
+    past = history.where(F.col("magnitude") >= p.m_c)
+    parent = past.select(F.col("event_id").alias("parent_id"), *(F.col(c).alias(f"p_{c}") for c in ("sort_time", "latitude", "longitude", "depth_km", "magnitude")))
+    found = queries.join(parents_of_queries(queries, past, p), "event_id", "left").join(parent, "parent_id", "left")
+    gap = F.col("sort_time") - F.col("p_sort_time")
+    km = geo.haversine_km(F.col("latitude"), F.col("longitude"), F.col("p_latitude"), F.col("p_longitude"))
+    linked = found.select(*queries.columns, "parent_id", gap.alias("gap_seconds"), km.alias("distance_km"), F.col("p_magnitude").alias("parent_magnitude"), F.col("p_depth_km").alias("parent_depth_km"))
+    linked = linked.withColumn("log10_eta", geo.log10_eta(F.col("gap_seconds"), F.col("distance_km"), F.col("parent_magnitude"), p))
+    linked = linked.withColumn("is_strong", F.coalesce(F.col("log10_eta") < p.log10_eta0, F.lit(False)))
+    base = physics(time_parts(queries.select("event_id", "sort_time", "latitude", "longitude", "depth_km", "magnitude")))
+    parts = [parent_features(linked, p), global_activity_serving(queries, past, p), local_activity(queries, past, p, serving=True), local_b_value(queries, past, p, serving=True)]
+    return reduce(lambda a, b: a.join(b, "event_id"), parts, base).select("event_id", "sort_time", *names(p))
+
+
 def skew(training: DataFrame, serving: DataFrame, features: list[str], rtol: float = 1e-3, atol: float = 1e-6) -> DataFrame:
     """Per feature: rows, correlation, median absolute difference and percent of rows that agree."""
     pairs = training.select("event_id", *(F.col(f).cast("double").alias(f"a_{f}") for f in features)).join(serving.select("event_id", *(F.col(f).cast("double").alias(f"b_{f}") for f in features)), "event_id")
     each = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"a_{f}").alias("a"), F.col(f"b_{f}").alias("b")) for f in features)))
     long = pairs.select(each.alias("x")).select("x.*")
     close = F.abs(F.col("a") - F.col("b")) <= F.lit(atol) + F.lit(rtol) * F.abs(F.col("b"))
+    # null for a constant feature, whose correlation isn't defined
+    correlation = F.covar_pop("a", "b") / F.nullif(F.stddev_pop(F.when(F.col("b").isNotNull(), F.col("a"))) * F.stddev_pop(F.when(F.col("a").isNotNull(), F.col("b"))), F.lit(0.0))
     return long.groupBy("feature").agg(
         F.count("*").alias("rows"),
-        geo.rounded(F.corr("a", "b")).alias("correlation"),
+        geo.rounded(correlation).alias("correlation"),
         geo.rounded(F.percentile(F.abs(F.col("a") - F.col("b")), 0.5)).alias("median_difference"),
         geo.rounded(F.avg(F.when(F.coalesce(close, F.col("a").isNull() & F.col("b").isNull()), 100.0).otherwise(0.0))).alias("close_percent"),
     )
