@@ -1,18 +1,14 @@
 """Nearest-neighbour parents: of all earlier events, the one with the least eta.
 
-The join of every event with all earlier ones is pruned exactly. Events are packed into blocks of one
-cell, in time order. Comparing each block with itself and the one before bounds every event's eta from
-above. A pair of blocks is looked at only if the least eta that the gaps between their times and places
-and the largest magnitude allow is below the later block's bound. Both tables of blocks are a few
-hundredths of the catalog's rows; events meet only inside block pairs, as NumPy arrays.
+The join of every event with all earlier ones is pruned exactly. A first bound of each event's eta comes
+from the few largest events, which are compared with all, and from the last events of the same cell. A
+smaller event can only be the parent if it is nearer than `near_km`, or else so recent that the bound
+allows for it at that distance. So the rest is found by two joins on equal keys: cells of space, and
+buckets of time. `near_km` is chosen so that both joins together make the fewest pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,85 +16,97 @@ from quakeloom.functions import geo
 from quakeloom.params import DEFAULT, EARTH_KM, YEAR_SECONDS, Params
 from quakeloom.session import cut
 
-BLOCK, CELL_DEGREES = 512, 5
-#: Larger than any rounding of the bound, in log10 units.
+#: Events that are compared with all others: a fixed number of small rows, sent to all tasks.
+LARGEST = 512
+#: Events of the same cell that give a first bound.
+LAST = 8
+NEAR_KM = (4, 8, 16, 32, 64, 128, 256)
+#: More than any rounding of a bound, in log10 units.
 SLACK = 1e-9
 
 
-def blocks(catalog: DataFrame) -> DataFrame:
-    """One row per up to BLOCK events of a cell: the events as arrays, and their ranges."""
-    cell = [F.floor(F.col(c) / CELL_DEGREES) for c in ("latitude", "longitude")]
-    lat, lon = F.radians("latitude"), F.radians("longitude")
-    placed = catalog.select(
-        F.struct(*cell).alias("cell"), "event_id", "sort_time", lat.alias("lat"), lon.alias("lon"), F.col("magnitude").alias("mag"),
-        (F.cos(lat) * F.cos(lon)).alias("x"), (F.cos(lat) * F.sin(lon)).alias("y"), F.sin(lat).alias("z"),
-    )
-    place = F.row_number().over(Window.partitionBy("cell").orderBy("sort_time", "event_id")) - 1
-    events = F.sort_array(F.collect_list(F.struct("sort_time", "event_id", "lat", "lon", "mag")))
-    ranges = [f(c).alias(f"{c}_{n}") for c in ("x", "y", "z") for n, f in (("lo", F.min), ("hi", F.max))]
-    packed = placed.withColumn("no", F.floor(place / BLOCK)).groupBy("cell", "no").agg(
-        events.alias("e"), F.min("sort_time").alias("t_lo"), F.max("sort_time").alias("t_hi"), F.max("mag").alias("mag_hi"), *ranges
-    )
-    return packed.select("cell", "no", "t_lo", "t_hi", "mag_hi", *(f"{c}_{n}" for c in "xyz" for n in ("lo", "hi")), *(F.col(f"e.{f}").alias(f) for f in ("sort_time", "event_id", "lat", "lon", "mag")))
+def _eta(p: Params) -> Column:
+    """log10 eta of a pair with prepared angles; null unless both gaps are positive."""
+    up, across = F.sin((F.col("p_lat") - F.col("lat")) / 2.0), F.sin((F.col("p_lon") - F.col("lon")) / 2.0)
+    a = up * up + F.col("cos") * F.col("p_cos") * across * across
+    km = F.lit(2.0 * EARTH_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return geo.log10_eta(F.col("t") - F.col("p_t"), km, F.col("p_mag"), p)
 
 
-def _best(p: Params):
-    """Best parent in the earlier block of every event of the later one."""
+def _cell(km: float | Column) -> Column:
+    """Cube of this width on the sphere that holds the event: cells of space without poles or seams."""
+    radius = EARTH_KM / km
+    return F.struct(*(F.floor(F.col(c) * radius).alias(c) for c in ("x", "y", "z")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = {n: batch.column(n) for n in batch.schema.names}
-            for i in range(batch.num_rows):
-                array = lambda n, i=i: column[n][i].values.to_numpy(zero_copy_only=False)
-                t, at, lat, lon = (array(n) for n in ("sort_time", "event_id", "lat", "lon"))
-                pt, pid, plat, plon, pmag = (array(f"p_{n}") for n in ("sort_time", "event_id", "lat", "lon", "mag"))
-                a = np.sin((lat[:, None] - plat) / 2) ** 2 + np.cos(lat)[:, None] * np.cos(plat) * np.sin((lon[:, None] - plon) / 2) ** 2
-                km = 2 * EARTH_KM * np.arcsin(np.sqrt(np.clip(a, 0, 1)))
-                gap = t[:, None] - pt
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    eta = np.log10(gap / YEAR_SECONDS) + p.d_f * np.log10(km) - p.b * pmag
-                eta[(gap <= 0) | (km <= 0)] = np.inf
-                best = eta.argmin(axis=1)  # the first of equals is the earliest
-                least = eta[np.arange(len(t)), best]
-                some = np.isfinite(least)
-                if some.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (at, least, pt[best], pid[best])], names=["event_id", "eta", "parent_time", "parent_id"])
 
-    return run
+def _around(km: float) -> Column:
+    """The 27 cubes around the event: all places within `km` in a straight line, so on the ground too."""
+    radius = EARTH_KM / km
+    steps = F.array(*(F.lit(i) for i in (-1, 0, 1)))
+    shifted = lambda c: F.transform(steps, lambda i: F.floor(F.col(c) * radius) + i)
+    rows = F.transform(shifted("x"), lambda x: F.transform(shifted("y"), lambda y: F.transform(shifted("z"), lambda z: F.struct(x.alias("x"), y.alias("y"), z.alias("z")))))
+    return F.explode(F.flatten(F.flatten(rows)))
 
 
-_FOUND = "event_id bigint, eta double, parent_time bigint, parent_id bigint"
-_ARRAYS = ("sort_time", "event_id", "lat", "lon", "mag")
+def parents(catalog: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """event_id and parent_id of every event with an earlier event at another place."""
+    lat, lon = F.radians("latitude"), F.radians("longitude")
+    prepared = catalog.select(
+        "event_id", F.col("sort_time").alias("t"), F.col("magnitude").alias("mag"), lat.alias("lat"), lon.alias("lon"), F.cos(lat).alias("cos"),
+        (F.cos(lat) * F.cos(lon)).alias("x"), (F.cos(lat) * F.sin(lon)).alias("y"), F.sin(lat).alias("z"),
+    )
+    events = cut(prepared)
+    pair_columns = ["event_id", "t", "mag", "lat", "lon", "cos"]
+    as_parent = lambda df, *more: df.select(*(F.col(c).alias(f"p_{c}") for c in pair_columns), *more)
+    earlier = F.col("p_t") < F.col("t")
+
+    large = cut(events.orderBy(F.desc("mag"), "t", "event_id").limit(LARGEST))
+    start, end = events.agg(F.min("t"), F.max("t")).first()
+    if start is None:
+        return events.select("event_id", F.col("event_id").alias("parent_id")).limit(0)
+    rest_below = large.agg(F.min("mag")).first()[0]  # no other event is larger
+    with_large = events.join(F.broadcast(as_parent(large)), earlier).withColumn("eta", _eta(p))
+    first = with_large.groupBy("event_id").agg(F.min("eta").alias("eta"))
+
+    before = Window.partitionBy("cell").orderBy("t", "event_id").rowsBetween(-LAST, -1)
+    mine = F.struct(*(F.col(c).alias(f"p_{c}") for c in pair_columns))
+    recent = events.withColumn("cell", _cell(16.0)).withColumn("last", F.collect_list(mine).over(before)).withColumn("p", F.explode("last")).select(*pair_columns, "p.*").where(earlier)
+    second = recent.withColumn("eta", _eta(p)).groupBy("event_id").agg(F.min("eta").alias("eta"))
+
+    bounds = first.unionByName(second).groupBy("event_id").agg(F.min("eta").alias("bound"))
+    # how far back a parent may lie that is no larger than the rest, at each distance: years times km ** d_f
+    reach = F.pow(F.lit(10.0), F.col("bound") + SLACK + p.b * rest_below)
+    bounded = cut(events.join(bounds, "event_id", "left").withColumn("reach", reach))
+    near_km, bucket = _plan(bounded, start, end, p)
+
+    under = _eta(p) <= F.coalesce(F.col("bound") + SLACK, F.lit(float("inf")))
+    found = lambda pairs: pairs.where(under).withColumn("eta", _eta(p)).groupBy("event_id").agg(F.min(F.struct("eta", "p_t", "p_event_id")).alias("b"))
+    keep = [*pair_columns, "bound"]
+    by_size = bounded.select(keep).join(F.broadcast(as_parent(large)), earlier)
+    by_place = bounded.select(*keep, _around(near_km).alias("cell")).join(as_parent(events, _cell(near_km).alias("cell")), "cell").where(earlier)
+    back = _back(near_km, start, p)
+    buckets = F.explode(F.sequence(F.floor((F.col("t") - back) / bucket), F.floor(F.col("t") / bucket)))
+    by_time = bounded.select(*keep, buckets.alias("bucket")).join(as_parent(events, F.floor(F.col("t") / bucket).alias("bucket")), "bucket").where(earlier)
+    best = found(by_size).unionByName(found(by_place)).unionByName(found(by_time)).groupBy("event_id").agg(F.min("b").alias("b"))
+    return best.select("event_id", F.col("b.p_event_id").alias("parent_id"))
 
 
-def _gap(axis: str) -> Column:
-    """Distance of two blocks' ranges on one axis."""
-    return F.greatest(F.lit(0.0), F.col(f"p_{axis}_lo") - F.col(f"{axis}_hi"), F.col(f"{axis}_lo") - F.col(f"p_{axis}_hi"))
+def _back(near_km: float, start: int, p: Params) -> Column:
+    """Seconds that a parent beyond near_km can lie back; without a bound, all that there is."""
+    whole = F.col("t") - start
+    return F.coalesce(F.least(F.ceil(F.col("reach") / near_km**p.d_f * YEAR_SECONDS), whole), whole)
 
 
-def parents(catalog: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """event_id and parent_id of every event with an earlier event at another place."""
-    packed = cut(blocks(catalog))
-    earlier = packed.select(*(F.col(c).alias(f"p_{c}") for c in packed.columns))
-    arrays = [*_ARRAYS, *(f"p_{c}" for c in _ARRAYS)]
-    near = packed.withColumn("p", F.explode(F.array("no", F.col("no") - 1))).join(earlier, (F.col("cell") == F.col("p_cell")) & (F.col("p") == F.col("p_no")))
-    first = cut(near.select(*arrays).mapInArrow(_best(p), _FOUND))
-
-    bound = first.groupBy("event_id").agg(F.min("eta").alias("eta"))
-    limits = packed.select("cell", "no", F.explode("event_id").alias("event_id")).join(bound, "event_id", "left").groupBy("cell", "no").agg(F.max(F.coalesce("eta", F.lit(float("inf")))).alias("limit"))
-    later = packed.join(limits, ["cell", "no"])
-    chord = F.sqrt(_gap("x") * _gap("x") + _gap("y") * _gap("y") + _gap("z") * _gap("z"))
-    wait = F.greatest(F.lit(1), F.col("t_lo") - F.col("p_t_hi"))
-    least = F.log10(wait / YEAR_SECONDS) + F.lit(p.d_f) * F.log10(chord * EARTH_KM) - F.lit(p.b) * F.col("p_mag_hi")
-    known = (F.col("cell") == F.col("p_cell")) & F.col("p_no").isin(F.col("no"), F.col("no") - 1)
-    worth = (F.col("p_t_lo") < F.col("t_hi")) & ((chord <= 0) | (least <= F.col("limit") + SLACK)) & ~known
-    # block summaries alone meet in the non-equi join; their arrays follow by key
-    summary = lambda df, *drop: df.drop(*drop)
-    pairs = summary(later, *_ARRAYS).join(summary(earlier, *(f"p_{c}" for c in _ARRAYS)), worth).select("cell", "no", "p_cell", "p_no")
-    pairs = pairs.join(packed.select("cell", "no", *_ARRAYS), ["cell", "no"]).join(earlier.select("p_cell", "p_no", *(f"p_{c}" for c in _ARRAYS)), ["p_cell", "p_no"])
-    second = pairs.select(*arrays).mapInArrow(_best(p), _FOUND)
-    best = F.min(F.struct("eta", "parent_time", "parent_id"))
-    return first.unionByName(second).groupBy("event_id").agg(best.alias("b")).select("event_id", F.col("b.parent_id").alias("parent_id"))
+def _plan(bounded: DataFrame, start: int, end: int, p: Params) -> tuple[float, int]:
+    """near_km and the width of time buckets that make the fewest pairs, from counts per cell."""
+    sizes = F.explode(F.array(*(F.lit(float(k)) for k in NEAR_KM))).alias("km")
+    cells = bounded.select("x", "y", "z", sizes).groupBy("km", _cell(F.col("km")).alias("cell")).agg(F.count("*").cast("double").alias("n"))
+    space = {r.km: r.pairs * 13.5 / 3 for r in cells.groupBy("km").agg(F.sum(F.col("n") * F.col("n")).alias("pairs")).collect()}  # a row per km; the earth's surface meets a third of the cubes
+    means = bounded.agg(F.count("*").alias("n"), *(F.avg(_back(k, start, p)).alias(f"m{k}") for k in NEAR_KM)).first()
+    span = max(1, end - start)
+    cost = {k: space[float(k)] + means.n * means.n * min(1.0, 2.0 * means[f"m{k}"] / span) for k in NEAR_KM}
+    best = min(cost, key=cost.get)
+    return float(best), max(1, int(means[f"m{best}"]))
 
 
 def with_parents(catalog: DataFrame, p: Params = DEFAULT) -> DataFrame:
