@@ -15,11 +15,16 @@ def parse_origin_time(text: Column) -> Column:
     Days are checked against 31 only: a day that its month lacks rolls over into the next month. 12 AM is
     midnight; hours above 12 are taken as they are with AM, and must stay below 24 with PM.
     """
-    part = lambda n: F.nullif(F.regexp_extract(text, PATTERN, n), F.lit(""))
-    day, year, hour, minute = (part(n).cast("int") for n in (1, 3, 4, 5))
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), part(2)).cast("int")
+    fields = F.when(text.rlike(PATTERN), F.split(F.regexp_replace(text, PATTERN, "$1 $2 $3 $4 $5 $6"), " "))
+    # a lambda names the fields once; spelled out, they would be parsed again at each use
+    return F.get(F.transform(F.array(fields), _seconds), 0)
+
+
+def _seconds(part: Column) -> Column:
+    day, year, hour, minute = (F.get(part, n).cast("int") for n in (0, 2, 3, 4))
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.get(part, 1)).cast("int")
     # 12 counts as 0 before PM adds its twelve hours
-    hours = F.when(hour == 12, 0).otherwise(hour) + F.when(F.lower(part(6)) == "pm", 12).otherwise(0)
+    hours = F.when(hour == 12, 0).otherwise(hour) + F.when(F.lower(F.get(part, 5)) == "pm", 12).otherwise(0)
     days = F.unix_date(F.make_date(year, F.nullif(month, F.lit(0)), F.lit(1))) + day - 1
     seconds = days.cast("long") * 86400 + hours * 3600 + minute * 60
     return F.when(day.between(1, 31) & (hours < 24) & (minute < 60), seconds)

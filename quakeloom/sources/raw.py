@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from quakeloom.functions.dates import fractional_year, parse_free, parse_origin_time
 from quakeloom.functions.ordering import numbered
+from quakeloom.session import cut
 
 #: Columns of a raw file.
 REQUIRED = ("Date-Time", "Latitude", "Longitude", "Depth", "Magnitude", "Location", "Month", "Year")
@@ -73,7 +74,8 @@ def input_gate(rows: DataFrame) -> DataFrame:
 
 def catalog(rows: DataFrame) -> DataFrame:
     """Valid rows with event_id in file order (row_no); time order is left to those who need it."""
-    good = parsed(rows).where("valid")
+    needed = ["row_no", "Date-Time", "Location", "Month", "sort_time", "year", *NUMBERS]
+    good = cut(parsed(rows).where("valid").select(*needed))  # numbering reads the rows twice
     good = numbered(good, "row_no", name="event_id", bucket_seconds=100_000)
     years = fractional_year(F.col("sort_time"), F.col("year"))
     return good.select("event_id", F.col("Date-Time").alias("origin_time"), "sort_time", *NUMBERS, F.col("Location").alias("location_text"), F.col("Month").alias("month"), "year", years.alias("origin_time_years"))
