@@ -32,7 +32,8 @@ def build(master: str | None = None, shuffle_partitions: int | None = None, **co
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers of a running session import this package from its folder."""
+    """Let Python workers of a running session import this package from its folder; times are UTC."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     environment = spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in known:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quakeloom.functions.ordering import counted_before, numbered
 from quakeloom.operators import features, metrics, mixture, models, neighbors, range_join, reports, sampling, targets
 from quakeloom.plans import workflow
+from quakeloom.session import cut
 from quakeloom.sources import sinks
 from quakeloom.streaming import scorer
 from tests.test_fixtures import CSV
@@ -74,7 +75,7 @@ def test_samples(spark):
 def test_metric_corner_cases(spark):
     df = spark.createDataFrame([("a", 1, 0.3), ("a", 0, 0.1 * 3), ("a", 1, 1.0), ("b", 1, 0.5), ("c", 0, 0.2)], "k string, label int, probability double")
     bins = {(r.k, r.bin): r.n for r in metrics.reliability(df, ["k"]).collect()}
-    assert bins == {("a", 2): 1, ("a", 3): 1, ("a", 9): 1, ("b", 5): 1, ("c", 2): 1} or bins[("a", 3)] == 1
+    assert bins == {("a", 2): 1, ("a", 3): 1, ("a", 9): 1, ("b", 5): 1, ("c", 2): 1}
     auc = {r.k: r.roc_auc for r in metrics.roc_auc(df, ["k"]).collect()}
     assert auc["b"] is None and auc["c"] is None
     assert {r.k: r.average_precision for r in metrics.average_precision(df, ["k"]).collect()}["c"] is None
@@ -107,7 +108,7 @@ def test_mixture(spark):
 @pytest.fixture(scope="module")
 def trained(spark):
     df, _ = catalog(spark, 500, 4)
-    rows = workflow.training_set(workflow.cluster(df)).localCheckpoint()
+    rows = cut(workflow.training_set(workflow.cluster(df)))
     return df, rows
 
 
