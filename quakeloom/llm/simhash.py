@@ -161,8 +161,10 @@ def keep_one(documents: DataFrame, distance: int = DISTANCE) -> DataFrame:
     columns = documents.columns
     marked = cut(fingerprinted(documents))
     kept = groups_of(marked, distance).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("group").agg(F.min("doc_id").alias("kept_id"))
-    rows = documents.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id"]).select(*columns)
+    rows = documents.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*columns)
+    if marked.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return rows
+    return rows.dropDuplicates(["doc_id"])  # rows that share a doc_id; sorts the texts
 
 
 QUERIES = {"op10_simhash": op10_simhash}
