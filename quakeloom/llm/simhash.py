@@ -119,7 +119,9 @@ def links(distinct: DataFrame, distance: int = DISTANCE, groups: int = GROUPS) -
     masks = _group_masks(groups)
     # a cell's name is hashed to one number; should two cells meet in it, they are searched together
     cells = [F.xxhash64(F.lit(n), F.col("u").bitwiseAND(F.lit(reduce(int.__or__, some)))) for n, some in enumerate(combinations(masks, groups - distance))]
-    placed = distinct.select("fp", embedded(F.col("fp")).alias("u")).select("fp", F.explode(F.array(*cells)).alias("cell"))
+    # one row becomes seventy: they are dealt out before, as the few bytes here wouldn't call for many tasks
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = distinct.repartition(tasks, "fp").select("fp", embedded(F.col("fp")).alias("u")).select("fp", F.explode(F.array(*cells)).alias("cell"))
     # the XOR of two members tells their Hamming distance: most cells of two are chance meetings
     shared = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("head"), F.bit_xor("fp").alias("x"))
     shared = shared.where((F.col("n") > 2) | (F.col("n") == 2) & (F.bit_count("x") <= distance)).drop("n", "x")
