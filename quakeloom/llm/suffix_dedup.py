@@ -144,6 +144,13 @@ class _Chunk:
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=_NAMES)
 
 
+    def packed(self) -> Iterator[pa.RecordBatch]:
+        """The same with n and kind in one number: fewer bytes for the largest shuffle."""
+        for kind, k1, k2, doc, s, n in self.out:
+            columns = [k1, k2, doc, s, (n << 3) | kind]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["k1", "k2", "doc", "s", "nk"])
+
+
 def _numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
     return [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
 
@@ -168,7 +175,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         few = keep[~crowded]
         for kind, some in ((BLOCK, few[~twice[few]]), (REPEATING, few[twice[few]])):
             chunk.put(kind, name[some], key[some], row[some], at[some], (end - start)[some])
-        yield from chunk.marks()
+        yield from chunk.packed()
 
 
 def _second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +278,8 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     hi = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 33) if repeated else F.lit(0).cast("long")
     rows = documents.select("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1)).cast("long").alias("pid"), hi.alias("hi"), "text")
 
-    marks = rows.select("pid", "hi", "text").mapInArrow(_first_pass, _MARK).repartition("k1")
+    marks = rows.select("pid", "hi", "text").mapInArrow(_first_pass, "k1 bigint, k2 bigint, doc bigint, s bigint, nk bigint").repartition("k1")
+    marks = marks.select(F.col("nk").bitwiseAND(F.lit(7)).cast("int").alias("kind"), "k1", "k2", "doc", "s", F.shiftright("nk", 3).alias("n"))
     block = F.col("kind").isin(BLOCK, REPEATING, NOTE)
     name = Window.partitionBy("block", "k1")
     marks = marks.withColumn("block", block).withColumn("rank", F.rank().over(Window.partitionBy("block", "k1", "k2").orderBy("doc", "s")))
