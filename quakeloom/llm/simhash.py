@@ -158,15 +158,26 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups_of(marked).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(documents: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """One row per group of near duplicates: the one with the least doc_id (nulls last)."""
-    columns = documents.columns
-    marked = cut(fingerprinted(documents))
-    kept = groups_of(marked, distance).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("group").agg(F.min("doc_id").alias("kept_id"))
-    rows = documents.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*columns)
-    if marked.groupBy("doc_id").count().where("count > 1").isEmpty():
+def keyed(documents: DataFrame) -> DataFrame:
+    """doc_id, text_key (a hash of the text as it stands) and fp of every row."""
+    return fingerprinted(documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), "text_key")
+
+
+def survivors(documents: DataFrame, grouped: DataFrame) -> DataFrame:
+    """One row of `documents` per group of `grouped` (doc_id, text_key, group): the one with the least
+    doc_id (nulls last), then the least text_key. Only rows equal in both are the same row repeated."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("x")
+    kept = grouped.groupBy("group").agg(first).select(F.col("x.doc_id").alias("kept_id"), F.col("x.text_key").alias("kept_key"))
+    rows = documents.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_key")), "left_semi").select(*documents.columns)
+    if grouped.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
         return rows
-    return rows.dropDuplicates(["doc_id"])  # rows that share a doc_id; sorts the texts
+    # rows that share doc_id and text; sorts the texts
+    return rows.withColumn("__text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "__text_key"]).drop("__text_key")
+
+
+def keep_one(documents: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """One row per group of near duplicates: the one with the least doc_id (nulls last, then by text)."""
+    return survivors(documents, groups_of(cut(keyed(documents)), distance).select("doc_id", "text_key", "group"))
 
 
 QUERIES = {"op10_simhash": op10_simhash}
