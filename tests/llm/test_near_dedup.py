@@ -1,7 +1,11 @@
 """The pipeline's near-dedup stage: which rows stay, and which near copies are found."""
 
+import random
+
+import corpus_pipeline
 from quakeloom.llm import simhash
-from tests.llm.helpers import documents
+from tests.llm.helpers import documents, prose
+from tests.llm.test_group_operators import WORD, brute_components, brute_fingerprint, near_copies
 
 
 def test_a_row_of_every_group_stays(spark):
@@ -10,3 +14,31 @@ def test_a_row_of_every_group_stays(spark):
     for _ in range(2):
         kept = simhash.keep_one(documents(spark, rows)).select("doc_id", "text").collect()
         assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [(3, "a b c d e"), (None, "x y z"), (None, "u v w"), (7, "k l m n"), (7, "o p q r"), (8, "")]))
+
+
+def brute_groups(rows):
+    """Ids joined by fingerprints within 4 bits, or by a five-word Jaccard similarity of 0.8."""
+    parent = brute_components({i: brute_fingerprint(t) for i, t in rows})
+    sets = {}
+    for i, t in rows:
+        words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    links = 0
+    for i in sets:
+        for j in sets:
+            if i < j and parent[i] != parent[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0:
+                links += 1
+                low, high = sorted((parent[i], parent[j]))
+                parent = {k: low if p == high else p for k, p in parent.items()}
+    return parent, links
+
+
+def test_stage_joins_all_pairs_of_similarity(spark):
+    rng = random.Random(5)
+    passage = prose(rng, 40)
+    rows = near_copies() + [(500 + i, passage + " " + prose(rng, 60)) for i in range(40)] + [(600, "one two THREE"), (601, "One two three"), (602, "one two four")]
+    long = prose(rng, 1600).split()
+    rows += [(700, " ".join(long)), (701, " ".join(w if i % 80 else "other" for i, w in enumerate(long)))]
+    groups, links = brute_groups(rows)
+    kept = corpus_pipeline.near_dedup(spark, documents(spark, rows), "").select("doc_id").collect()
+    assert links > 0 and sorted(r.doc_id for r in kept) == sorted(set(groups.values()))
