@@ -13,6 +13,7 @@ itself, repeated rows too; offsets are code points, ends exclusive; columns othe
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -56,6 +57,19 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 
 
+#: What follows the header line of a private key: long runs of base64, lines of base64 only (quoted,
+#: indented or with written-out line breaks too), headers of encrypted keys, and the END line.
+_SEPARATOR, _PAD, _BREAK = rb"""(?:[\s>#*"'`,;]|\\[nrt])*+""", rb"""[ \t>#*"'`,;]*+""", rb"(?:\r\n?|\n|(?:\\r)?\\n)"
+_RUN = rb"[A-Za-z0-9+/]"
+KEY_BODY = re.compile(b"".join([
+    rb"(?:", _SEPARATOR, _RUN, rb"{16,}+={0,2}",
+    rb"|", _SEPARATOR, _RUN, rb"++={0,2}(?=", _SEPARATOR, rb"-----END )",
+    rb"|", _PAD, rb"(?:", _BREAK, _PAD, rb")++", _RUN, rb"++={0,2}(?=", _PAD, rb"(?:", _BREAK, rb"|\Z))",
+    rb"|", _SEPARATOR, rb"(?:Proc-Type|DEK-Info|Comment|Version):[^\r\n\\]*+)*+",
+    rb"(?:", _SEPARATOR, rb"-----END (?:[A-Z]+ )*PRIVATE KEY-----)?",
+]))
+
+
 @lru_cache(maxsize=8)
 def _compiled(rules: tuple[Rule, ...]) -> tuple:
     """The backward automaton of all rules, and per rule the forward ones of prefix and whole."""
@@ -106,7 +120,8 @@ _SECRETS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("e
 
 
 def redact(documents: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]") -> DataFrame:
-    """The documents with each secret's value replaced by `mask`; overlapping values by one mask.
+    """The documents with each secret's value replaced by `mask`; overlapping values by one mask. A private
+    key goes with its body.
 
     Text and, where there is one, n_chars change; all other columns pass through, nulls stay null.
     """
@@ -118,7 +133,7 @@ def redact(documents: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[
             new, lengths = [], []
             for text in texts:
                 raw, kept, at = (text or "").encode(), [], 0
-                for start, end in _merged([(v, e) for _, _, e, v in find(raw, rules)]):
+                for start, end in _merged([(v, KEY_BODY.match(raw, e).end() if rules[n].kind == "private_key" else e) for _, n, e, v in find(raw, rules)]):
                     kept += [raw[at:start], mask.encode()]
                     at = end
                 new.append(text if not kept else b"".join([*kept, raw[at:]]).decode())
