@@ -10,7 +10,9 @@ n - ceil(0.8 n) + 1 of each. Any order serves; here shingles that a sample shows
 so that a passage of many texts makes few meetings. Which shingles the sample holds changes the work only.
 
 Dense cells: as for the fingerprints, a first round compares each member with its cell's smallest set,
-a second one members of different groups so far. Each pair is verified on the whole sets.
+a second one members of different groups so far. Each pair is verified on the whole sets, after a bound:
+a text's sketch holds the parity of its shingles per bucket, and two sketches never differ in more buckets
+than the sets differ in shingles.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from quakeloom.session import cut
 WORDS, PART, WHOLE = 5, 4, 5
 #: One text in so many is sampled for common shingles; so often there is common; so many are told to tasks.
 SAMPLED, OFTEN, MOST = 16, 8, 100_000
+#: Buckets of a sketch, in 64-bit words.
+SKETCH = 16
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -88,6 +92,21 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "text_key bigint, tokens array<bigint>")
 
 
+def sketches(texts: DataFrame) -> DataFrame:
+    """text_key, n (size of the set) and sketch of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in textscan.chunks(batches):
+            hashes, owners = shingles(batch.column("text"))
+            bits = np.zeros((batch.num_rows, SKETCH * 64), bool)
+            np.logical_xor.at(bits, (owners, textscan.mix(hashes.view(np.uint64)) % np.uint64(SKETCH * 64)), True)
+            words = np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel()
+            found = pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, SKETCH, dtype=np.int32)), pa.array(words))
+            yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(np.bincount(owners, minlength=batch.num_rows).astype(np.int32)), found], names=["text_key", "n", "sketch"])
+
+    return texts.mapInArrow(run, "text_key bigint, n int, sketch array<bigint>")
+
+
 def common_shingles(documents: DataFrame) -> np.ndarray:
     """The most frequent shingles of a sample of the texts; a fixed number at most."""
     counts = _placed(_texts(documents).where(F.pmod("text_key", F.lit(SAMPLED)) == 0), None).groupBy("token").agg(F.count("*").alias("times"))
@@ -99,19 +118,24 @@ def _long_enough(a: Column, b: Column) -> Column:
     return F.least(a, b) * WHOLE >= F.greatest(a, b) * PART
 
 
-def verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pairs (a, b and more) of text_keys whose whole sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("text_key")).unionByName(pairs.select(F.col("b").alias("text_key"))).distinct()
+def verified(pairs: DataFrame, documents: DataFrame, drawn: DataFrame) -> DataFrame:
+    """The pairs (a, b and more) of text_keys whose whole sets are similar enough. drawn: all sketches."""
+    of = lambda df, side: df.select(*(F.col(c).alias(side if c == "text_key" else f"{side}_{c}") for c in df.columns))
+    apart = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    # similarity PART / WHOLE leaves sets this many shingles to differ in
+    close = apart * (WHOLE + PART) <= (F.col("a_n") + F.col("b_n")) * (WHOLE - PART)
+    likely = cut(pairs.join(of(drawn, "a"), "a").join(of(drawn, "b"), "b").where(close).select(*pairs.columns))
+    wanted = likely.select(F.col("a").alias("text_key")).unionByName(likely.select(F.col("b").alias("text_key"))).distinct()
     sets = cut(_sets(_texts(documents).join(wanted, "text_key", "left_semi")).dropDuplicates(["text_key"]))
-    of = lambda side: sets.select(F.col("text_key").alias(side), F.col("tokens").alias(f"{side}_tokens"))
     both = F.size(F.array_intersect("a_tokens", "b_tokens"))
     either = F.size("a_tokens") + F.size("b_tokens") - both
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(both * WHOLE >= either * PART).select(*pairs.columns)
+    return likely.join(of(sets, "a"), "a").join(of(sets, "b"), "b").where(both * WHOLE >= either * PART).select(*pairs.columns)
 
 
 def groups(documents: DataFrame, grouped: DataFrame) -> DataFrame:
     """`grouped` (doc_id, text_key, group) with groups joined wherever texts of two are similar."""
     parts = grouped.select("text_key", F.col("group").alias("part")).distinct()
+    drawn = cut(sketches(_texts(documents)).dropDuplicates(["text_key"]))
     cell = Window.partitionBy("token")
     shared = _placed(_texts(documents), common_shingles(documents)).select("*", F.min("text_key").over(cell).alias("lo"), F.max("text_key").over(cell).alias("hi"))
     shared = shared.where("lo <> hi").select("token", "text_key", "n").join(parts, "text_key").distinct()
@@ -121,7 +145,7 @@ def groups(documents: DataFrame, grouped: DataFrame) -> DataFrame:
 
     tried = mixed.where((F.col("part") != F.col("head.part")) & _long_enough(F.col("n"), F.col("head.n")))
     tried = cut(tried.select(F.col("head.text_key").alias("a"), F.col("text_key").alias("b"), F.col("head.part").alias("part_a"), F.col("part").alias("part_b")).distinct())
-    first = components(verified(tried, documents), "part_a", "part_b")
+    first = components(verified(tried, documents, drawn), "part_a", "part_b")
 
     now = mixed.drop("head").join(first.withColumnRenamed("node", "part"), "part", "left").select("token", "text_key", "n", F.coalesce("component", "part").alias("part"))
     sizes = now.groupBy("token", "part").agg(F.count("*").alias("members"))
@@ -134,7 +158,7 @@ def groups(documents: DataFrame, grouped: DataFrame) -> DataFrame:
     parts_of = F.when(F.col("text_key_a") < F.col("text_key_b"), F.struct("part_a", "part_b")).otherwise(F.struct(F.col("part_b").alias("part_a"), F.col("part_a").alias("part_b")))
     found = found.select(*ordered, parts_of.alias("x")).select("a", "b", "x.*").distinct()
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = components(verified(cut(found.join(known, ["a", "b"], "left_anti")), documents), "part_a", "part_b")
+    second = components(verified(cut(found.join(known, ["a", "b"], "left_anti")), documents, drawn), "part_a", "part_b")
 
     out = grouped.join(first.select(F.col("node").alias("group"), F.col("component").alias("joined")), "group", "left").select("doc_id", "text_key", F.coalesce("joined", "group").alias("group"))
     return out.join(second.select(F.col("node").alias("group"), F.col("component").alias("joined")), "group", "left").select("doc_id", "text_key", F.coalesce("joined", "group").alias("group"))
