@@ -48,21 +48,23 @@ def _around(km: float) -> Column:
     return F.explode(F.flatten(F.flatten(rows)))
 
 
-def parents(catalog: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """event_id and parent_id of every event with an earlier event at another place."""
+def parents(catalog: DataFrame, p: Params = DEFAULT, history: DataFrame | None = None) -> DataFrame:
+    """event_id and parent_id of every event with an earlier event (of `history`, if given) at another place."""
     lat, lon = F.radians("latitude"), F.radians("longitude")
-    prepared = catalog.select(
+    prepared = lambda df: df.select(
         "event_id", F.col("sort_time").alias("t"), F.col("magnitude").alias("mag"), lat.alias("lat"), lon.alias("lon"), F.cos(lat).alias("cos"),
         (F.cos(lat) * F.cos(lon)).alias("x"), (F.cos(lat) * F.sin(lon)).alias("y"), F.sin(lat).alias("z"),
     )
-    events = cut(prepared)
+    events = cut(prepared(catalog))
+    past = events if history is None else cut(prepared(history))
     pair_columns = ["event_id", "t", "mag", "lat", "lon", "cos"]
     as_parent = lambda df, *more: df.select(*(F.col(c).alias(f"p_{c}") for c in pair_columns), *more)
     earlier = F.col("p_t") < F.col("t")
 
-    large = cut(events.orderBy(F.desc("mag"), "t", "event_id").limit(LARGEST))
-    start, end = events.agg(F.min("t"), F.max("t")).first()
-    if start is None:
+    large = cut(past.orderBy(F.desc("mag"), "t", "event_id").limit(LARGEST))
+    every = events if history is None else events.unionByName(past)
+    start, end = every.agg(F.min("t"), F.max("t")).first()
+    if start is None or large.isEmpty():
         return events.select("event_id", F.col("event_id").alias("parent_id")).limit(0)
     rest_below = large.agg(F.min("mag")).first()[0]  # no other event is larger
     with_large = events.join(F.broadcast(as_parent(large)), earlier).withColumn("eta", _eta(p))
@@ -70,7 +72,10 @@ def parents(catalog: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
     before = Window.partitionBy("cell").orderBy("t", "event_id").rowsBetween(-LAST, -1)
     mine = F.struct(*(F.col(c).alias(f"p_{c}") for c in pair_columns))
-    recent = events.withColumn("cell", _cell(16.0)).withColumn("last", F.collect_list(mine).over(before)).withColumn("p", F.explode("last")).select(*pair_columns, "p.*").where(earlier)
+    mixed = events.withColumns({"asks": F.lit(True), "gives": F.lit(history is None)})
+    if history is not None:
+        mixed = mixed.unionByName(past.withColumns({"asks": F.lit(False), "gives": F.lit(True)}))
+    recent = mixed.withColumn("cell", _cell(16.0)).withColumn("last", F.collect_list(F.when(F.col("gives"), mine)).over(before)).where("asks").withColumn("p", F.explode("last")).select(*pair_columns, "p.*").where(earlier)
     second = recent.withColumn("eta", _eta(p)).groupBy("event_id").agg(F.min("eta").alias("eta"))
 
     bounds = first.unionByName(second).groupBy("event_id").agg(F.min("eta").alias("bound"))
@@ -83,10 +88,10 @@ def parents(catalog: DataFrame, p: Params = DEFAULT) -> DataFrame:
     found = lambda pairs: pairs.where(under).withColumn("eta", _eta(p)).groupBy("event_id").agg(F.min(F.struct("eta", "p_t", "p_event_id")).alias("b"))
     keep = [*pair_columns, "bound"]
     by_size = bounded.select(keep).join(F.broadcast(as_parent(large)), earlier)
-    by_place = bounded.select(*keep, _around(near_km).alias("cell")).join(as_parent(events, _cell(near_km).alias("cell")), "cell").where(earlier)
+    by_place = bounded.select(*keep, _around(near_km).alias("cell")).join(as_parent(past, _cell(near_km).alias("cell")), "cell").where(earlier)
     back = _back(near_km, start, p)
     buckets = F.explode(F.sequence(F.floor((F.col("t") - back) / bucket), F.floor(F.col("t") / bucket)))
-    by_time = bounded.select(*keep, buckets.alias("bucket")).join(as_parent(events, F.floor(F.col("t") / bucket).alias("bucket")), "bucket").where(earlier)
+    by_time = bounded.select(*keep, buckets.alias("bucket")).join(as_parent(past, F.floor(F.col("t") / bucket).alias("bucket")), "bucket").where(earlier)
     best = found(by_size).unionByName(found(by_place)).unionByName(found(by_time)).groupBy("event_id").agg(F.min("b").alias("b"))
     return best.select("event_id", F.col("b.p_event_id").alias("parent_id"))
 
@@ -127,12 +132,7 @@ def with_parents(catalog: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 def parents_of_queries(queries: DataFrame, history: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Serving form: event_id and parent_id of query events among the strictly earlier history."""
-    past = history.where(F.col("magnitude") >= p.m_c).select(*(F.col(c).alias(f"p_{c}") for c in ("event_id", "sort_time", "latitude", "longitude", "magnitude")))
-    pairs = queries.join(past, F.col("p_sort_time") < F.col("sort_time"))
-    km = geo.haversine_km(F.col("latitude"), F.col("longitude"), F.col("p_latitude"), F.col("p_longitude"))
-    eta = geo.log10_eta(F.col("sort_time") - F.col("p_sort_time"), km, F.col("p_magnitude"), p)
-    best = pairs.withColumn("eta", eta).where("eta IS NOT NULL").groupBy("event_id").agg(F.min(F.struct("eta", "p_sort_time", "p_event_id")).alias("b"))
-    return best.select("event_id", F.col("b.p_event_id").alias("parent_id"))
+    return parents(queries, p, history.where(F.col("magnitude") >= p.m_c))
 
 
 def eta_histogram(linked: DataFrame, width: float = 0.1) -> DataFrame:

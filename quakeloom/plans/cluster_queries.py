@@ -182,3 +182,12 @@ def serving_parents(spark, sf_dir):
     """Parents of one event in fifty, found as a serving request finds them."""
     whole = catalog(spark, sf_dir)
     return neighbors.parents_of_queries(whole.where("event_id % 50 = 0"), whole, P)
+
+
+@_query(sql(LINKED, f"""SELECT event_id, arg_min(parent_id, lt + {P.d_f}e0 * log10(d) - {P.b} * pm) AS parent_id FROM (
+  SELECT q.event_id, i.event_id AS parent_id, log10((q.sort_time - i.sort_time) / 31557600e0) AS lt, {km('q', 'i')} AS d, i.magnitude AS pm FROM catalog q JOIN kept i ON i.sort_time < q.sort_time)
+  WHERE d > 0 GROUP BY event_id"""))
+def serving_parents_all(spark, sf_dir):
+    """Parents of all events, found as a serving request finds them."""
+    whole = catalog(spark, sf_dir)
+    return neighbors.parents_of_queries(whole, whole, P)

@@ -66,6 +66,14 @@ def global_activity_serving(spark, sf_dir):
     return _rounded(features.global_activity_serving(whole.where("event_id % 10 = 0"), whole, P))
 
 
+@_query(sql(f"{KEPT}, g AS (SELECT event_id, {_SERVE}, least(1826.25e0, greatest(1e0 / 24e0, (sort_time - (SELECT min(sort_time) FROM kept)) / 86400e0)) AS days FROM catalog q)",
+            f"SELECT event_id, c1 AS events_past_1d, c7 AS events_past_7d, c30 AS events_past_30d, {r6(f'CASE WHEN c_all = 0 THEN 1e0 ELSE {_RATIO} END')} AS seis_traffic_ratio_30d FROM g"))
+def global_activity_serving_all(spark, sf_dir):
+    """Counts before every event, as a serving request sees them."""
+    whole = catalog(spark, sf_dir)
+    return _rounded(features.global_activity_serving(whole, whole, P))
+
+
 _NEAR = f"""{KEPT}, near AS MATERIALIZED (SELECT q.event_id, q.sort_time AS t, h.sort_time AS ht, h.event_id AS hid, h.magnitude AS m, {km('q', 'h')} AS km FROM kept q JOIN kept h
   ON h.sort_time >= q.sort_time - 2592000 AND (h.sort_time < q.sort_time OR (h.sort_time = q.sort_time AND h.event_id < q.event_id))
   AND abs(h.latitude - q.latitude) <= 100 / 111.32e0 AND abs(h.longitude - q.longitude) <= 100 / (111.32e0 * greatest(cos(radians(q.latitude)), 0.1e0))
