@@ -4,7 +4,9 @@ functions only.
 Every line or sentence of a whole text that speaks of a licence is a header. Equal headers are scored
 once. Headers and templates are sparse vectors of token counts times inverse document frequency over
 all distinct headers and templates; the best template of cosine `threshold` or more names the header's
-license, and the best header names the file's. A licence file (LICENSE, COPYING and the like) gives its
+license, and the best header names the file's. The texts of licence files are vectors as a whole too, of
+token counts, and are compared with the characteristic paragraphs of full license texts; the share of a
+paragraph's weight that a text covers in the same proportions must reach `WHOLE_THRESHOLD`. A licence file (LICENSE, COPYING and the like) gives its
 license to its directory. A file without a license of its own takes that of its nearest ancestor
 directory, found by joining the directories' ancestors with the licensed ones.
 
@@ -32,6 +34,19 @@ TEMPLATES = (
     ("MPL-2.0", "This work is subject to the terms of the Mozilla Public License, version 2.0."),
 )
 THRESHOLD = 0.7
+#: Characteristic paragraphs of the full texts, for licence files without a title line.
+FULL_TEXTS = (
+    ("Apache-2.0", """Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form."""),
+    ("BSD-2-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""),
+    ("BSD-3-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""),
+    ("GPL-3.0", """The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software and other practical works are designed to take away your freedom to share and change the works. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change all versions of a program, to make sure it remains free software for all its users."""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."""),
+    ("LGPL-3.0", """This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."""),
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""),
+    ("MPL-2.0", """Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license under intellectual property rights (other than patent or trademark) Licensable by such Contributor to use, reproduce, make available, modify, display, perform, distribute, and otherwise exploit its Contributions, either on an unmodified basis, with Modifications, or as part of a Larger Work."""),
+)
+#: Covered share of a paragraph.
+WHOLE_THRESHOLD = 0.9
 HEADER, SPLIT, TOKEN = r"(?i)licen[cs]", r"\n|(?<=[.!?])[ \t]+", r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|copyright)[^/]*$"
 
@@ -67,18 +82,45 @@ def scored(distinct: DataFrame, templates=TEMPLATES, threshold: float = THRESHOL
     return near.groupBy("header").agg(best.alias("x")).select("header", F.col("x.license").alias("license"), (-F.col("x.farness")).alias("cosine"))
 
 
+def whole_files(files: DataFrame, texts=FULL_TEXTS, threshold: float = WHOLE_THRESHOLD) -> DataFrame:
+    """doc_id, path, license and cosine of the licence files that hold a full text's paragraph.
+
+    Words in pairs, as prose shares single words with any license. The vectors are token counts over the
+    whole text, cut at the paragraph's own counts: the file may hold more than the paragraph. Ties go to
+    the longest paragraph, as one license's conditions hold another's.
+    """
+    spark = files.sparkSession
+    given = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(n).alias("license"), F.lit(t).alias("text")) for n, t in texts))).alias("x")).select("x.*")
+    words = F.filter(_tokens(F.coalesce(F.col("text"), F.lit(""))), lambda t: ~t.rlike(r"^\d+\.?$"))
+    couples = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    count = lambda df, *keys: df.select(*keys, words.alias("w")).select(*keys, F.explode(couples(F.col("w"))).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("tf"))
+    theirs = count(given, "license")
+    lengths = theirs.groupBy("license").agg(F.sum(F.col("tf") * F.col("tf")).alias("length"))
+    ours = count(files.where(F.col("path").rlike(LICENSE_FILE)), "doc_id", "path")
+    cut_off = F.least(F.col("tf"), F.col("v"))
+    dots = ours.join(F.broadcast(theirs.withColumnRenamed("tf", "v")), "token").groupBy("doc_id", "path", "license").agg(F.sum(cut_off * F.col("v")).alias("dot"), F.sum(cut_off * cut_off).alias("norm"))
+    # the cosine with the file's cut vector, which lies within the paragraph
+    cosine = F.floor(F.col("dot") / F.sqrt(F.col("norm") * F.col("length")) * 1e6 + 0.5) / 1e6
+    near = dots.join(F.broadcast(lengths), "license").select("doc_id", "path", "license", "length", cosine.alias("cosine")).where(F.col("cosine") >= threshold)
+    best = F.max(F.struct("length", "cosine", "license")).alias("x")
+    return near.groupBy("doc_id", "path").agg(best).select("doc_id", "path", F.col("x.license").alias("license"), F.col("x.cosine").alias("cosine"))
+
+
 def directory(path: Column) -> Column:
     """Path without its last part; the root is the empty string."""
     return F.regexp_replace(F.coalesce(path, F.lit("")), r"/?[^/]*$", "")
 
 
 def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, path, license, how ('header' or 'inherited') and cosine of every file; null without a license."""
+    """doc_id, path, license, how ('header', 'text' or 'inherited') and cosine of every file; null without a license."""
     files = files.select("doc_id", "path", "text")
     found = cut(headers(files))
     named = found.join(scored(found.select("header").distinct(), templates, threshold), "header")
-    best = F.min(F.struct((-F.col("cosine")).alias("farness"), "license")).alias("x")
-    own = named.groupBy("doc_id", "path").agg(best).select(F.col("doc_id").alias("own_id"), F.col("path").alias("own_path"), F.col("x.license").alias("own"), (-F.col("x.farness")).alias("cosine"))
+    # a header says by name what a full text only tells by its words
+    mine = ["doc_id", "path", "license", "cosine"]
+    ranked = named.select(*mine, F.lit(0).alias("rank")).unionByName(whole_files(files).select(*mine, F.lit(1).alias("rank")))
+    best = F.min(F.struct("rank", (-F.col("cosine")).alias("farness"), "license")).alias("x")
+    own = ranked.groupBy("doc_id", "path").agg(best).select(F.col("doc_id").alias("own_id"), F.col("path").alias("own_path"), F.col("x.license").alias("own"), F.col("x.rank").alias("rank"), (-F.col("x.farness")).alias("cosine"))
 
     licensed = own.where(F.col("own_path").rlike(LICENSE_FILE)).groupBy(directory(F.col("own_path")).alias("ancestor")).agg(F.min(F.struct((-F.col("cosine")).alias("farness"), F.col("own").alias("license"))).alias("x"))
     licensed = licensed.select("ancestor", F.col("x.license").alias("given"))
@@ -89,7 +131,7 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
 
     out = files.select("doc_id", "path", directory(F.col("path")).alias("dir"))
     out = out.join(own, F.col("doc_id").eqNullSafe(F.col("own_id")) & F.col("path").eqNullSafe(F.col("own_path")), "left").join(nearest, "dir", "left")
-    how = F.when(F.col("own").isNotNull(), "header").when(F.col("given").isNotNull(), "inherited")
+    how = F.when(F.col("rank") == 1, "text").when(F.col("own").isNotNull(), "header").when(F.col("given").isNotNull(), "inherited")
     return out.select("doc_id", "path", F.coalesce("own", "given").alias("license"), how.alias("how"), "cosine")
 
 
