@@ -91,11 +91,6 @@ def _earlier(keys: tuple[np.ndarray, ...], place: np.ndarray) -> tuple[np.ndarra
     return first, later
 
 
-def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """All numbers of the ranges that start at `starts`."""
-    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-
-
 class _Chunk:
     """Byte strings with their documents, and the marks that are made of them.
 
@@ -132,7 +127,7 @@ class _Chunk:
         if not len(rows):
             return
         keys = textscan.window_hashes(self.data, LENGTH), textscan.window_hashes(self.data, LENGTH, _OTHER_BASE)
-        at, rows, send = _ranges(self.offsets[rows] + starts, sizes), np.repeat(rows, sizes), np.repeat(send, sizes)
+        at, rows, send = textscan.ranges(self.offsets[rows] + starts, sizes), np.repeat(rows, sizes), np.repeat(send, sizes)
         k1, k2, starts = keys[0][at], keys[1][at], at - self.offsets[rows] + self.base[rows]
         first, later = _earlier((k1, k2), self.row_place[rows] | starts)
         self.remove(rows[later], starts[later], starts[later] + LENGTH)
@@ -199,7 +194,7 @@ def _second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chunk.put(COMPARE, k1[wanted].astype(np.int64).view(np.uint64), k2[wanted].astype(np.int64).view(np.uint64), row[wanted], s[wanted], n[wanted])
             at = chunk.offsets[row[wanted]] + s[wanted]
             size = n[wanted] + LENGTH - 1
-            flat = chunk.data[_ranges(at, size)]
+            flat = chunk.data[textscan.ranges(at, size)]
             binary = pa.Array.from_buffers(pa.large_binary(), len(wanted), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64)), pa.py_buffer(flat)])
             yield from (marked.append_column("bytes", binary.cast(pa.binary())) for marked in chunk.marks())
 

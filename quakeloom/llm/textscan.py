@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text that one scan holds at once; a longer single text is scanned alone.
 CHUNK_BYTES = 2 << 20
@@ -19,7 +20,6 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE_KEYS = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 2**64)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -75,29 +75,49 @@ def mix(keys: np.ndarray) -> np.ndarray:
     return keys ^ (keys >> np.uint64(31))
 
 
-_POWERS: dict[int, np.ndarray] = {}
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges that start at `starts`."""
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    """The first n powers of a base; a worker keeps the longest row it has made."""
-    known = _POWERS.get(base)
-    if known is None or len(known) < n:
-        known = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
-        known[0] = 1
-        _POWERS[base] = np.cumprod(known, out=known)
-    return known[:n]
+def strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The byte spans as an Arrow array."""
+    sizes = ends - starts
+    stops = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(stops), pa.py_buffer(data[ranges(starts, sizes)])])
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each byte span that depends on its bytes alone, not on its place.
+def span_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number per byte span, the same exactly for equal bytes of this buffer."""
+    return strings(data, starts, ends).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def row_ids(*columns: np.ndarray) -> np.ndarray:
+    """A number per row, the same exactly for rows that are equal in all columns.
 
-    A prefix sum of byte keys times powers of an odd base gives each span's polynomial; the base's
-    inverse modulo 2^64 moves it to the origin.
+    Rows are sorted by a key of all columns; should rows that differ meet in a key, by the columns themselves.
     """
-    n = len(data)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_KEYS[data] * _powers(_BASE, n), out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * _powers(_BASE_INVERSE, n + 1)[starts])
+    n = len(columns[0])
+    keys = np.zeros(n, np.uint64)
+    for c in columns:
+        keys = mix(keys * np.uint64(0xD6E8FEB86659FD93) + c.astype(np.uint64))
+    order = np.argsort(keys, kind="stable")
+    differ = lambda: np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)
+    new = differ()
+    if (new & (keys[order][1:] == keys[order][:-1])).any():
+        order = np.lexsort(columns[::-1])
+        new = differ()
+    out = np.empty(n, np.int64)
+    out[order] = np.concatenate([[0], np.cumsum(new)])[:n]
+    return out
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """XXH64 of each byte span; equal spans are hashed once."""
+    found = strings(data, starts, ends).dictionary_encode()
+    digest = xxhash.xxh64_intdigest
+    each = np.fromiter(map(digest, found.dictionary.to_pylist()), np.uint64, len(found.dictionary))
+    return each[found.indices.to_numpy(zero_copy_only=False)]
 
 
 def gram_hashes(keys: np.ndarray, groups: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

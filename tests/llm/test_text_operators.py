@@ -38,6 +38,36 @@ def test_statistics(spark):
     assert got == {i: brute_stats(t) for i, t in rows}
 
 
+def thue_morse(n, letters="ab"):
+    out = [0]
+    while len(out) < n:
+        out += [1 - x for x in out]
+    return "".join(letters[x] for x in out[:n])
+
+
+def test_statistics_compare_bytes(spark):
+    """Words and lines whose polynomial keys modulo 2 ** 64 are the same for every base."""
+    words = [thue_morse(n, letters) for n in (1024, 2048, 4096) for letters in ("ab", "ba")]
+    rows = [(0, "\n".join(words)), (1, " ".join(words)), (2, " ".join(words[:2] * 3 + words[1::-1] * 3)), (3, "\n".join(words[:2] * 2))]
+    got = {r.doc_id: tuple(r[c] for c in quality_rules.STATS) for r in quality_rules.statistics(documents(spark, rows)).collect()}
+    assert got == {i: brute_stats(t) for i, t in rows} and got[0][3] == 0 and got[3][3] == 2
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 2)), min_size=1, max_size=40))
+def test_row_ids(rows):
+    import numpy as np
+
+    from quakeloom.llm import textscan
+
+    columns = [np.array(c, np.int64) for c in zip(*rows)]
+    for mix in (textscan.mix, lambda keys: keys * np.uint64(0)):  # all keys the same: the columns decide
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(textscan, "mix", mix)
+            ids = textscan.row_ids(*columns).tolist()
+        assert len(set(zip(ids, rows))) == len(set(ids)) == len(set(rows))
+
+
 def labels(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
 
@@ -54,6 +84,26 @@ def test_cutoffs_are_certified_only_by_enough_labels(spark):
     assert kept.columns == docs.columns and kept.count() == 6000
 
 
+def test_small_strata_take_the_pooled_step(spark):
+    clean, noisy = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}###" for i in range(60))
+    rows = [(i, clean) for i in range(400)] + [(400 + i, noisy) for i in range(9)]
+    lang = F.when(F.col("doc_id") < 300, "en").when(F.col("doc_id") == 408, "xx").otherwise(F.array(F.lit("de"), F.lit("fr"), F.lit(None))[F.col("doc_id").cast("int") % 3])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", lang)
+    good = labels(spark, [(i, 1, 0) for i in range(400)])
+    stats = quality_rules.statistics(docs, "lang")
+    found = {r.stratum_key: r.pooled for r in quality_rules.limits(stats, good).collect()}
+    assert found == {"en": False, "de": True, "fr": True, None: True}
+    # a stratum without a holdout loses nothing
+    assert {r.doc_id for r in quality_rules.judge(docs, good).where("NOT kept").collect()} == set(range(400, 408))
+
+
+def test_steps_are_nested_and_stop_at_the_first_failure():
+    plan = quality_rules.RiskPlan()
+    assert quality_rules.certified({}, 2000, 0.01, plan) == plan.steps - 1
+    assert quality_rules.certified({3: 200}, 2000, 0.01, plan) == 2
+    assert quality_rules.certified({0: 200}, 2000, 0.01, plan) is None and quality_rules.certified({}, 20, 0.01, plan) is None
+
+
 def test_bound_is_clopper_pearson():
     # the upper bound of 0 among n at confidence 1 - e is 1 - e ** (1 / n)
     for n, e in ((50, 0.05), (300, 0.003)):
