@@ -8,11 +8,18 @@ looked for among the shingles themselves, exactly.
 Candidates: in one order of all shingles, two sets of similarity 0.8 share one of the first
 n - ceil(0.8 n) + 1 of each. Any order serves; here shingles that a sample shows to be common come last,
 so that a passage of many texts makes few meetings. Which shingles the sample holds changes the work only.
+A shingle that only one text has among its first makes no cell.
 
-Dense cells: as for the fingerprints, a first round compares each member with its cell's smallest set,
-a second one members of different groups so far. Each pair is verified on the whole sets, after a bound:
-a text's sketch holds the parity of its shingles per bucket, and two sketches never differ in more buckets
-than the sets differ in shingles.
+Dense cells: in first rounds each text is compared with one member of its cells only, the one that shares
+most of its first shingles; in the last round members of different groups so far are compared. Links found
+this way give the same groups as all pairs.
+
+Verification: a text's sketch holds the parity of its shingles per bucket, and two sketches never differ in
+more buckets than the sets differ in shingles, which rules most chance pairs out. What is left is compared
+by the whole texts.
+
+Defined results: texts without words have an empty set and are like no other; null text counts as empty;
+repeated rows and equal texts are one text.
 """
 
 from __future__ import annotations
@@ -21,19 +28,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quakeloom.llm import simhash, textscan
-from quakeloom.llm.components import components
+from quakeloom.llm.components import components, join_counted
 from quakeloom.session import cut
 
 #: Similarity of near copies, as a fraction.
 WORDS, PART, WHOLE = 5, 4, 5
 #: One text in so many is sampled for common shingles; so often there is common; so many are told to tasks.
 SAMPLED, OFTEN, MOST = 16, 8, 100_000
-#: Buckets of a sketch, in 64-bit words.
+#: Least buckets of a sketch, in 64-bit words; a larger set has as many buckets as shingles, or more.
 SKETCH = 16
+#: Rounds in which each text is compared with one other.
+ROUNDS = 2
+#: So many keys of texts at most are sent to all tasks; more meet the texts by a shuffle.
+BROADCAST_TEXTS = 2_000_000
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -61,48 +72,44 @@ def _texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.xxhash64("text").alias("text_key"), "text")
 
 
+def _once(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch without repeated text_keys."""
+    keys = batch.column("text_key").to_numpy()
+    return batch.take(pa.array(np.sort(np.unique(keys, return_index=True)[1])))
+
+
 def _placed(texts: DataFrame, common: np.ndarray | None) -> DataFrame:
-    """text_key, n (size of the set) and token: the first shingles of each text, or all if `common` is None."""
+    """text_key and token: the first shingles of each text, or all if `common` is None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textscan.chunks(batches):
+        for batch in map(_once, textscan.chunks(batches)):
             hashes, owners = shingles(batch.column("text"))
-            sizes = np.bincount(owners, minlength=batch.num_rows)
             if common is not None:
+                sizes = np.bincount(owners, minlength=batch.num_rows)
                 order = np.lexsort((hashes, np.isin(hashes, common), owners))
                 hashes = hashes[order]
                 rank = np.arange(len(owners)) - (np.cumsum(sizes) - sizes)[owners]
                 first = rank <= sizes[owners] - -(-PART * sizes[owners] // WHOLE)
                 hashes, owners = hashes[first], owners[first]
-            yield pa.RecordBatch.from_arrays([batch.column("text_key").take(pa.array(owners)), pa.array(sizes[owners].astype(np.int32)), pa.array(hashes)], names=["text_key", "n", "token"])
+            yield pa.RecordBatch.from_arrays([batch.column("text_key").take(pa.array(owners)), pa.array(hashes)], names=["text_key", "token"])
 
-    return texts.mapInArrow(run, "text_key bigint, n int, token bigint")
-
-
-def _sets(texts: DataFrame) -> DataFrame:
-    """text_key and all shingles of each text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textscan.chunks(batches):
-            hashes, owners = shingles(batch.column("text"))
-            ends = np.cumsum(np.bincount(owners, minlength=batch.num_rows))
-            found = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(hashes))
-            yield pa.RecordBatch.from_arrays([batch.column("text_key"), found], names=["text_key", "tokens"])
-
-    return texts.mapInArrow(run, "text_key bigint, tokens array<bigint>")
+    return texts.mapInArrow(run, "text_key bigint, token bigint")
 
 
 def sketches(texts: DataFrame) -> DataFrame:
     """text_key, n (size of the set) and sketch of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textscan.chunks(batches):
+        for batch in map(_once, textscan.chunks(batches)):
             hashes, owners = shingles(batch.column("text"))
-            bits = np.zeros((batch.num_rows, SKETCH * 64), bool)
-            np.logical_xor.at(bits, (owners, textscan.mix(hashes.view(np.uint64)) % np.uint64(SKETCH * 64)), True)
-            words = np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel()
-            found = pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, SKETCH, dtype=np.int32)), pa.array(words))
-            yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(np.bincount(owners, minlength=batch.num_rows).astype(np.int32)), found], names=["text_key", "n", "sketch"])
+            sizes = np.bincount(owners, minlength=batch.num_rows)
+            width = SKETCH << np.ceil(np.log2(np.maximum(sizes / (SKETCH * 64), 1))).astype(np.int64)
+            ends = np.cumsum(width)
+            bucket = textscan.mix(hashes.view(np.uint64)) & (width[owners] * 64 - 1).astype(np.uint64)
+            odd = np.bincount(bucket.astype(np.int64) + ((ends - width) * 64)[owners], minlength=int(width.sum()) * 64) & 1
+            words = np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+            found = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(words))
+            yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(sizes.astype(np.int32)), found], names=["text_key", "n", "sketch"])
 
     return texts.mapInArrow(run, "text_key bigint, n int, sketch array<bigint>")
 
@@ -114,54 +121,85 @@ def common_shingles(documents: DataFrame) -> np.ndarray:
     return np.array([r.token for r in rows], np.int64)
 
 
-def _long_enough(a: Column, b: Column) -> Column:
+def _fits(a: Column, b: Column) -> Column:
+    """Whether sets of these sizes can be similar enough."""
     return F.least(a, b) * WHOLE >= F.greatest(a, b) * PART
 
 
-def verified(pairs: DataFrame, documents: DataFrame, drawn: DataFrame) -> DataFrame:
-    """The pairs (a, b and more) of text_keys whose whole sets are similar enough. drawn: all sketches."""
-    of = lambda df, side: df.select(*(F.col(c).alias(side if c == "text_key" else f"{side}_{c}") for c in df.columns))
-    apart = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+def likely(pairs: DataFrame, drawn: DataFrame) -> DataFrame:
+    """The pairs (a, b and more) of text_keys of sets of similar sizes that sketches don't rule out. drawn: all sketches."""
+    of = lambda side: drawn.select(*(F.col(c).alias(side if c == "text_key" else f"{side}_{c}") for c in drawn.columns))
+    # of similar sets, one may have twice as many buckets as the other: its halves are laid upon each other
+    half = lambda x: F.zip_with(F.slice(x, 1, (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, (F.size(x) / 2).cast("int")), lambda u, v: u.bitwiseXOR(v))
+    narrow = lambda x, y: F.when(F.size(x) > F.size(y), half(F.col(x))).otherwise(F.col(x))
+    apart = F.aggregate(F.zip_with(narrow("a_sketch", "b_sketch"), narrow("b_sketch", "a_sketch"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     # similarity PART / WHOLE leaves sets this many shingles to differ in
     close = apart * (WHOLE + PART) <= (F.col("a_n") + F.col("b_n")) * (WHOLE - PART)
-    likely = cut(pairs.join(of(drawn, "a"), "a").join(of(drawn, "b"), "b").where(close).select(*pairs.columns))
-    wanted = likely.select(F.col("a").alias("text_key")).unionByName(likely.select(F.col("b").alias("text_key"))).distinct()
-    sets = cut(_sets(_texts(documents).join(wanted, "text_key", "left_semi")).dropDuplicates(["text_key"]))
-    both = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    either = F.size("a_tokens") + F.size("b_tokens") - both
-    return likely.join(of(sets, "a"), "a").join(of(sets, "b"), "b").where(both * WHOLE >= either * PART).select(*pairs.columns)
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(close).select(*pairs.columns)
+
+
+def verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
+    """part_a and part_b of the pairs (a, b, part_a, part_b) of text_keys whose whole texts are similar enough."""
+    wanted = cut(pairs.select(F.col("a").alias("text_key")).unionByName(pairs.select(F.col("b").alias("text_key"))).distinct())
+    if wanted.count() <= BROADCAST_TEXTS:
+        wanted = F.broadcast(wanted)
+    texts = _texts(documents).join(wanted, "text_key", "left_semi").dropDuplicates(["text_key"])
+    of = lambda side: texts.select(F.col("text_key").alias(side), F.col("text").alias(f"text_{side}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in textscan.chunks(batches, "text_a"):
+            sets = [shingles(batch.column(f"text_{side}")) for side in "ab"]
+            sizes = [np.bincount(owners, minlength=batch.num_rows) for _, owners in sets]
+            hashes, owners = (np.concatenate(x) for x in zip(*sets))
+            order = np.lexsort((hashes, owners))
+            same = (np.diff(hashes[order]) == 0) & (np.diff(owners[order]) == 0)
+            both = np.bincount(owners[order][1:][same], minlength=batch.num_rows)
+            keep = (both > 0) & (both * WHOLE >= (sizes[0] + sizes[1] - both) * PART)
+            yield batch.select(["part_a", "part_b"]).filter(pa.array(keep))
+
+    return pairs.join(of("b"), "b").join(of("a"), "a").select("part_a", "part_b", "text_a", "text_b").mapInArrow(run, "part_a bigint, part_b bigint")
+
+
+def _joined(df: DataFrame, found: DataFrame, part: str) -> DataFrame:
+    """`df` with its parts replaced by the components that they belong to."""
+    named = found.select(F.col("node").alias(part), F.col("component").alias("_joined"))
+    return df.join(named, part, "left").withColumn(part, F.coalesce("_joined", part)).drop("_joined").select(*df.columns)
 
 
 def groups(documents: DataFrame, grouped: DataFrame) -> DataFrame:
     """`grouped` (doc_id, text_key, group) with groups joined wherever texts of two are similar."""
-    parts = grouped.select("text_key", F.col("group").alias("part")).distinct()
     drawn = cut(sketches(_texts(documents)).dropDuplicates(["text_key"]))
-    cell = Window.partitionBy("token")
-    shared = _placed(_texts(documents), common_shingles(documents)).select("*", F.min("text_key").over(cell).alias("lo"), F.max("text_key").over(cell).alias("hi"))
-    shared = shared.where("lo <> hi").select("token", "text_key", "n").join(parts, "text_key").distinct()
-    head = F.min(F.struct("n", "text_key", "part")).over(cell).alias("head")
-    mixed = shared.select("*", head, F.min("part").over(cell).alias("lo"), F.max("part").over(cell).alias("hi")).where("lo <> hi")
-    mixed = cut(mixed.select("token", "text_key", "n", "part", "head"))
-
-    tried = mixed.where((F.col("part") != F.col("head.part")) & _long_enough(F.col("n"), F.col("head.n")))
-    tried = cut(tried.select(F.col("head.text_key").alias("a"), F.col("text_key").alias("b"), F.col("head.part").alias("part_a"), F.col("part").alias("part_b")).distinct())
-    first = components(verified(tried, documents, drawn), "part_a", "part_b")
-
-    now = mixed.drop("head").join(first.withColumnRenamed("node", "part"), "part", "left").select("token", "text_key", "n", F.coalesce("component", "part").alias("part"))
-    sizes = now.groupBy("token", "part").agg(F.count("*").alias("members"))
-    main = sizes.groupBy("token").agg(F.max_by("part", F.struct("members", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    still = cut(now.join(main, "token"))
-    one = lambda side: still.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("text_key", "n", "part")))
-    found = one("a").join(still.where("part <> main").select("token", *(F.col(c).alias(f"{c}_b") for c in ("text_key", "n", "part"))), "token")
-    found = found.where((F.col("part_a") != F.col("part_b")) & _long_enough(F.col("n_a"), F.col("n_b")))
-    ordered = [f("text_key_a", "text_key_b").alias(c) for f, c in ((F.least, "a"), (F.greatest, "b"))]
-    parts_of = F.when(F.col("text_key_a") < F.col("text_key_b"), F.struct("part_a", "part_b")).otherwise(F.struct(F.col("part_b").alias("part_a"), F.col("part_a").alias("part_b")))
-    found = found.select(*ordered, parts_of.alias("x")).select("a", "b", "x.*").distinct()
-    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = components(verified(cut(found.join(known, ["a", "b"], "left_anti")), documents, drawn), "part_a", "part_b")
-
-    out = grouped.join(first.select(F.col("node").alias("group"), F.col("component").alias("joined")), "group", "left").select("doc_id", "text_key", F.coalesce("joined", "group").alias("group"))
-    return out.join(second.select(F.col("node").alias("group"), F.col("component").alias("joined")), "group", "left").select("doc_id", "text_key", F.coalesce("joined", "group").alias("group"))
+    parts = grouped.select("text_key", F.col("group").alias("part")).distinct().join(drawn.select("text_key", "n"), "text_key")
+    placed = cut(_placed(_texts(documents), common_shingles(documents)))
+    total = placed.count()
+    shared = placed.groupBy("token").agg(F.count("*").alias("n"), F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).where("lo <> hi").select("token", "n")
+    cells = cut(join_counted(placed, shared, "token", total).join(parts, "text_key").distinct())
+    tried = None
+    for number in range(ROUNDS):
+        # a cell's head: another text in each round
+        ordered = F.xxhash64("text_key", F.lit(number))
+        heads = cells.groupBy("token").agg(F.count("*").alias("members"), F.min("part").alias("lo"), F.max("part").alias("hi"), F.min_by(F.struct("text_key", "n", "part"), ordered).alias("head"))
+        cells = cut(join_counted(cells, heads.where("lo <> hi").select("token", F.col("members").alias("n"), "head"), "token", total))
+        pairs = cells.where((F.col("part") != F.col("head.part")) & _fits(F.col("n"), F.col("head.n"))).groupBy(F.col("text_key").alias("a"), F.col("head.text_key").alias("b"), F.col("part").alias("part_a"), F.col("head.part").alias("part_b")).agg(F.count("*").alias("times"))
+        pairs = likely(pairs, drawn).groupBy("a").agg(F.max_by(F.struct("b", "part_a", "part_b"), F.struct("times", "b")).alias("x")).select("a", "x.*")
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        found = components(verified(pairs, documents), "part_a", "part_b")
+        once = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        tried = once if tried is None else tried.unionByName(once)
+        cells = cut(_joined(cells.select("token", "text_key", "n", "part"), found, "part"))
+        grouped = _joined(grouped, found, "group")
+
+    sizes = cells.groupBy("token", "part").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("token").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n")).where("parts > 1").drop("parts")
+    still = cut(join_counted(cells, main, "token", total))
+    one = lambda df, side: df.select("token", F.col("text_key").alias(side), F.col("n").alias(f"n_{side}"), F.col("part").alias(f"part_{side}"))
+    pairs = one(still, "a").join(one(still.where("part <> main"), "b"), "token").where((F.col("part_a") != F.col("part_b")) & _fits(F.col("n_a"), F.col("n_b")))
+    # both ways where both are outside the largest group
+    swap = F.col("a") > F.col("b")
+    either = lambda x, y, name: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name)
+    pairs = pairs.select(either("a", "b", "a"), either("b", "a", "b"), either("part_a", "part_b", "part_a"), either("part_b", "part_a", "part_b")).distinct()
+    pairs = cut(likely(pairs.join(tried, ["a", "b"], "left_anti"), drawn))
+    return _joined(grouped, components(verified(pairs, documents), "part_a", "part_b"), "group")
 
 
 def keep_one(documents: DataFrame) -> DataFrame:

@@ -7,10 +7,11 @@ Embedding: the 64 bits are cut into 32 segments of two bits, and a fingerprint i
 segments' bit counts. Their Manhattan distance never exceeds the Hamming distance. Counts are written
 in thermometer code (0: 00, 1: 01, 2: 11), which makes the Manhattan distance a popcount of an XOR.
 
-Grid: the segments form 8 groups. Two fingerprints at Manhattan distance 4 or less agree in at least 4
-groups, so each is put into the 70 cells that four groups' counts name, and pairs are looked for
-within cells only: an exact range join, then the exact Hamming check. More groups make more cells per
-fingerprint but fewer chance meetings in a cell.
+Grid: the segments form groups. Two fingerprints at Manhattan distance 4 or less agree in all but 4 of
+them at least, so each is put into the cells that these groups' counts name, for every choice of groups,
+and pairs are looked for within cells only: an exact range join, then the exact Hamming check. The grid
+is refined with the number of fingerprints: more groups mean more cells for each, and finer ones, in
+which fewer others meet it by chance. The number of groups is the one with the least work of both kinds.
 
 Dense cells: in a first round every member is compared with its cell's least fingerprint only, which
 is linear and joins nearly all of a large group of near copies. In a second round, members of a cell's
@@ -24,6 +25,7 @@ least non-null doc_id (null where there is none). Columns other than doc_id and
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -35,10 +37,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakeloom.llm import textscan
-from quakeloom.llm.components import components
+from quakeloom.llm.components import components, join_counted
 from quakeloom.session import cut, table
 
-SHINGLE, SEED, DISTANCE, GROUPS = 4, 42, 4, 8
+SHINGLE, SEED, DISTANCE = 4, 42, 4
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 #: Shingles whose bits are counted at once.
@@ -114,25 +116,42 @@ def _group_masks(groups: int) -> list[int]:
     return [_signed(sum(3 << 2 * s for s in range(a, b))) for a, b in zip(cuts, cuts[1:])]
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE, groups: int = GROUPS) -> DataFrame:
-    """(node, component) of the fingerprints (column fp, distinct) with another within `distance`."""
+def grid_groups(n: int, distance: int = DISTANCE) -> int:
+    """How many groups of segments make the least work for n fingerprints: cells of each, and chance partners there.
+
+    Bits are taken as even and independent: counts of two bits then agree in 3 of 8 cases.
+    """
+    agree = lambda g: 0.375 ** (32 * (g - distance) / g)
+    return min(range(distance + 1, 21), key=lambda g: math.comb(g, distance) * (1 + n * agree(g) / 2))
+
+
+def cells(distinct: DataFrame, distance: int, groups: int) -> DataFrame:
+    """fp and cell: a row for each choice of all but `distance` groups."""
     masks = _group_masks(groups)
     # a cell's name is hashed to one number; should two cells meet in it, they are searched together
-    cells = [F.xxhash64(F.lit(n), F.col("u").bitwiseAND(F.lit(reduce(int.__or__, some)))) for n, some in enumerate(combinations(masks, groups - distance))]
-    # one row becomes seventy: they are dealt out before, as the few bytes here wouldn't call for many tasks
+    names = [F.xxhash64(F.lit(n), F.col("u").bitwiseAND(F.lit(reduce(int.__or__, some)))) for n, some in enumerate(combinations(masks, groups - distance))]
+    # one row becomes many: they are dealt out before, as the few bytes here wouldn't call for many tasks
     tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = distinct.repartition(tasks, "fp").select("fp", embedded(F.col("fp")).alias("u")).select("fp", F.explode(F.array(*cells)).alias("cell"))
+    return distinct.repartition(tasks, "fp").select("fp", embedded(F.col("fp")).alias("u")).select("fp", F.explode(F.array(*names)).alias("cell"))
+
+
+def links(distinct: DataFrame, distance: int = DISTANCE, groups: int | None = None) -> DataFrame:
+    """(node, component) of the fingerprints (column fp, distinct) with another within `distance`."""
+    count = distinct.count()
+    groups = groups or grid_groups(count, distance)
+    rows = count * math.comb(groups, distance)
+    placed = cells(distinct, distance, groups)
     # the XOR of two members tells their Hamming distance: most cells of two are chance meetings
     shared = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("head"), F.bit_xor("fp").alias("x"))
-    shared = shared.where((F.col("n") > 2) | (F.col("n") == 2) & (F.bit_count("x") <= distance)).drop("n", "x")
-    members = cut(placed.join(shared, "cell"))
+    shared = shared.where((F.col("n") > 2) | (F.col("n") == 2) & (F.bit_count("x") <= distance)).drop("x")
+    members = cut(join_counted(placed, shared, "cell", rows))
     near = lambda a, b: (F.bit_count(embedded(F.col(a)).bitwiseXOR(embedded(F.col(b)))) <= distance) & (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance)
 
     first = components(members.where(F.col("fp") != F.col("head")).where(near("fp", "head")).select("fp", "head"), "fp", "head")
     known = members.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("cell", "fp", F.coalesce("component", "fp").alias("part"))
     sizes = known.groupBy("cell", "part").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("cell").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    mixed = cut(known.join(mixed, "cell"))
+    mixed = sizes.groupBy("cell").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n")).where("parts > 1").drop("parts")
+    mixed = cut(join_counted(known, mixed, "cell", rows))
     minor = mixed.where("part <> main").select("cell", F.col("fp").alias("a"), F.col("part").alias("part_a"))
     found = minor.join(mixed.select("cell", F.col("fp").alias("b"), F.col("part").alias("part_b")), "cell")
     found = found.where(F.col("part_a") != F.col("part_b")).where(near("a", "b")).select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).distinct()
@@ -145,11 +164,12 @@ def links(distinct: DataFrame, distance: int = DISTANCE, groups: int = GROUPS) -
 
 def groups_of(marked: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """`marked` (doc_id, fp and more) with group (a fingerprint) and component_id (least doc_id of the group)."""
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     found = distinct.join(links(distinct.select("fp"), distance).withColumnRenamed("node", "fp"), "fp", "left")
-    found = found.select("fp", "least", F.coalesce("component", "fp").alias("group"))
-    heads = found.groupBy("group").agg(F.min("least").alias("component_id"))
-    return marked.join(found.join(heads, "group").select("fp", "group", "component_id"), "fp")
+    found = cut(found.select("fp", "least", F.coalesce("component", "fp").alias("group"), "n"))
+    heads = found.groupBy("group").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    grouped = cut(join_counted(found.select("fp", "group", F.col("n").alias("rows")), heads, "group", found.count()))
+    return join_counted(marked, grouped.withColumnRenamed("rows", "n"), "fp", marked.count())
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quakeloom.llm import quality_rules, simhash
 from tests.llm.helpers import documents, prose
-from tests.llm.test_group_operators import brute_components, brute_fingerprint, brute_tiles, near_copies, tokens
+from tests.llm.test_group_operators import brute_tiles, near_copies, tokens
+from tests.llm.test_near_dedup import brute_groups
 from tests.llm.test_text_operators import brute_pieces, brute_secrets, brute_stats
 
 
@@ -43,7 +44,7 @@ def test_stages(spark, tables, tmp_path):
             assert sorted(map(repr, after)) == sorted(repr(r) for r in before if not failed(r[1]))
         elif name == "SimHash near-dedup":
             key = lambda i: i if i is not None else 10**9
-            found = brute_components({key(i): brute_fingerprint(t) for i, t in before})
+            found, _ = brute_groups([(key(i), t) for i, t in before])
             assert sorted(key(i) for i, _ in after) == sorted(set(found.values()))
         elif name == "benchmark decontamination":
             leaks = {t for _, t in before for _, item in items if brute_tiles(tokens(item), tokens(t)) * 2 >= len(tokens(item))}
@@ -61,5 +62,27 @@ def test_run_equals_stages(spark, tables):
     assert got.count() > 0 and got.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
 
 
+def test_rows_that_share_an_id_pass_all_stages(spark, tmp_path):
+    """Null and repeated doc_ids of different texts: a row per group comes out, no text is lost."""
+    import random
+
+    rng = random.Random(31)
+    rows = [(rng.choice([None, None, 3, 4, 5]), prose(rng, 80)) for _ in range(40)]
+    documents(spark, rows + rows[:7]).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, str(tmp_path))
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in docs.collect()))) == sorted(map(repr, rows))
+
+
+def test_empty_tables_pass_all_stages(spark, tmp_path):
+    documents(spark, []).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_stages_use_the_operators_defaults():
     assert simhash.keep_one.__defaults__ == (simhash.DISTANCE,) and quality_rules.RiskPlan() in quality_rules.keep.__defaults__
