@@ -7,8 +7,11 @@ is left of the others, and so on (ties: earliest in the item, then in the docume
 tokens is left. Marked tiles never overlap on either side, so that reordered passages count in full and
 a repeated phrase counts once. A document is contaminated if tiles cover half of an item's tokens.
 
-The benchmark is a query set: its items are dealt into blocks of a bounded number of bytes, each block
-is sent to the tasks, and every document meets every block. Documents are never shuffled.
+Documents and items meet by a join on seeds. Of each item the rarest seeds are enough to find its documents:
+the most common ones are left out for as long as they cover less of the item than a contaminated document
+must. For the documents and items found, the places of all shared seeds are joined, and each pair is tiled
+by itself. Documents' seeds are shuffled only if a Bloom filter of the benchmark's seeds lets them pass; it
+has a fixed largest size, beyond which more seeds pass. Texts aren't shuffled, and equal texts are tiled once.
 
 Defined results: null or empty documents and items, and items of fewer than five tokens, match nothing;
 repeated rows are each judged; repeated items each count; columns other than doc_id, text and item_id
@@ -18,21 +21,24 @@ are not read, and pass through when documents are filtered.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakeloom.llm import textscan
-from quakeloom.session import table
+from quakeloom.session import cut, table
 
 #: Tokens of the shortest tile, and percent of an item's tokens that tiles must cover.
 LEAST, COVERAGE = 5, 50
-#: Benchmark text that is sent to the tasks at once.
-BLOCK_BYTES = 8 << 20
+#: Largest size of the filter in bits, a power of two; bits set per seed.
+FILTER_BITS, FILTER_HASHES = 1 << 27, 4
+#: So many contaminated texts at most are sent to all tasks; more meet the documents by a shuffle.
+BROADCAST_TEXTS = 1_000_000
 
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
@@ -47,25 +53,6 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     return textscan.span_hashes(_LOWER[data], starts, ends), docs, len(offsets) - 1
 
 
-@dataclass(frozen=True)
-class Items:
-    """A block of the benchmark: tokens per item, and the sorted seeds with item and position."""
-
-    ids: list
-    tokens: list[np.ndarray]
-    seeds: np.ndarray
-    item: np.ndarray
-    position: np.ndarray
-
-    @staticmethod
-    def of(ids: list, texts: list, least: int) -> Items:
-        keys, owner, _ = tokens(pa.array(texts, pa.string()))
-        seeds, first = textscan.gram_hashes(keys, owner, least)
-        edges = np.searchsorted(owner, np.arange(len(ids) + 1))
-        order = np.argsort(seeds, kind="stable")
-        return Items(ids, [keys[a:b] for a, b in zip(edges, edges[1:])], seeds[order], owner[first[order]], (first - edges[owner[first]])[order])
-
-
 def tiles(pairs: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy tiling: (item position, document position, length). pairs: rows of such positions of shared seeds."""
     order = np.lexsort((pairs[:, 0], pairs[:, 1] - pairs[:, 0]))
@@ -90,89 +77,152 @@ def tiles(pairs: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     return found
 
 
-def _matches(texts: pa.Array, items: Items, least: int, coverage: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """(document, item, tiles, covered tokens, item's tokens) of contaminated documents of a chunk."""
-    keys, docs, n = tokens(texts)
-    grams, first = textscan.gram_hashes(keys, docs, least)
-    if not len(grams) or not len(items.seeds):
-        return
-    low = np.searchsorted(items.seeds, grams)
-    hit = np.flatnonzero(items.seeds[np.minimum(low, len(items.seeds) - 1)] == grams)
-    low, count = low[hit], np.searchsorted(items.seeds, grams[hit], side="right") - low[hit]
-    seed = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
-    place = np.repeat(first[hit], count)
-    edges = np.searchsorted(docs, np.arange(n + 1))
-    order = np.lexsort((items.item[seed], docs[place]))
-    seed, place = seed[order], place[order]
-    owner, item = docs[place], items.item[seed]
-    breaks = np.flatnonzero(np.diff(owner, append=-1) | np.diff(item, append=-1)) + 1
-    start = 0
-    for stop in breaks.tolist():
-        d, k = int(owner[start]), int(item[start])
-        size = len(items.tokens[k])
-        position = items.position[seed[start:stop]]
-        # each seed touches `least` tokens, and tiles cover no others
-        if len(np.unique(position)) * least * 100 >= coverage * size:
-            found = tiles(np.column_stack([position, place[start:stop] - edges[d]]), least)
-            covered = sum(x[2] for x in found)
-            if covered * 100 >= coverage * size:
-                yield d, k, len(found), covered, size
-        start = stop
-
-
-def _over_blocks(benchmark: DataFrame, least: int) -> list:
-    """The benchmark in blocks of about BLOCK_BYTES, broadcast one by one."""
-    source = benchmark.select("item_id", "text").where("text IS NOT NULL")
-    size = source.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    blocks = -(-size // BLOCK_BYTES) or 1
-    out = []
-    for b in range(blocks):
-        rows = source.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()  # about BLOCK_BYTES
-        out.append(benchmark.sparkSession.sparkContext.broadcast(Items.of([r.item_id for r in rows], [r.text for r in rows], least)))
-    return out
+def _seeds(keys: np.ndarray, owners: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Running keys of `least` tokens, the text of each, and where it starts there in tokens."""
+    seeds, first = textscan.gram_hashes(keys, owners, least)
+    owner = owners[first]
+    return seeds, owner, first - np.searchsorted(owners, owner)
+
+
+def _listed(seeds: np.ndarray, owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Each text's distinct seeds, the text of each, and all its places there."""
+    order = np.lexsort((place, seeds, owner))
+    seeds, owner, place = seeds[order], owner[order], place[order]
+    new = np.flatnonzero(np.concatenate([[True], (seeds[1:] != seeds[:-1]) | (owner[1:] != owner[:-1])])[: len(seeds)])
+    places = pa.ListArray.from_arrays(pa.array(np.append(new, len(seeds)).astype(np.int32)), pa.array(place.astype(np.int32)))
+    return seeds[new].view(np.int64), owner[new], places
+
+
+def item_seeds(items: DataFrame, least: int = LEAST) -> DataFrame:
+    """item, n_tokens, seed and positions (all its places in the item) of `items` (item, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in textscan.chunks(batches):
+            keys, owners, n = tokens(batch.column("text"))
+            seeds, owner, places = _listed(*_seeds(keys, owners, least))
+            sizes = np.bincount(owners, minlength=n)
+            yield pa.RecordBatch.from_arrays([batch.column("item").take(pa.array(owner)), pa.array(sizes[owner]), pa.array(seeds), places], names=["item", "n_tokens", "seed", "positions"])
+
+    return items.mapInArrow(run, "item bigint, n_tokens bigint, seed bigint, positions array<int>")
+
+
+def rare_seeds(seeds: DataFrame, least: int = LEAST, coverage: int = COVERAGE) -> DataFrame:
+    """item and seed: all but the most common seeds, which together cover less than `coverage` percent of the item."""
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["items", "seed"], ascending=False)
+        n, covered, count, left_out = int(rows["n_tokens"].iloc[0]), set(), 0, 0
+        for positions in rows["positions"]:
+            covered.update(p + k for p in positions for k in range(least))
+            if len(covered) * 100 >= coverage * n:
+                break
+            left_out += 1
+        return rows.iloc[left_out:][["item", "seed"]]
+
+    frequency = seeds.groupBy("seed").agg(F.count("*").alias("items"))
+    return seeds.join(frequency, "seed").groupBy("item").applyInPandas(choose, "item bigint, seed bigint")
+
+
+def _bits(seeds: np.ndarray, size: int) -> list[np.ndarray]:
+    """Positions of each seed in a filter of `size` bits."""
+    return [(textscan.mix(seeds.view(np.uint64) + np.uint64((n + 1) * 0x9E3779B97F4A7C15 % 2**64)) & np.uint64(size - 1)).astype(np.int64) for n in range(FILTER_HASHES)]
+
+
+def seed_filter(seeds: DataFrame) -> Broadcast:
+    """A Bloom filter of the seeds, FILTER_BITS at most, in 64-bit words."""
+    n = seeds.count()
+    size = min(FILTER_BITS, max(1 << 10, 1 << (16 * n).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(_bits(batch.column("seed").to_numpy(), size))))], names=["bit"])
+
+    marked = seeds.select("seed").mapInArrow(run, "bit bigint")
+    words = marked.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("bits")).toArrow()
+    out = np.zeros(size >> 6, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return seeds.sparkSession.sparkContext.broadcast(out)
+
+
+def _text_keys() -> list[Column]:
+    """Two numbers that tell texts apart."""
+    return [F.xxhash64("text").alias("k1"), F.octet_length("text").alias("k2")]
+
+
+def seed_hits(documents: DataFrame, known: Broadcast, least: int = LEAST) -> DataFrame:
+    """k1, k2, seed and places of the seeds of each text that the filter lets pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = known.value
+        for batch in textscan.chunks(batches):
+            keys, owners, _ = tokens(batch.column("text"))
+            seeds, owner, place = _seeds(keys, owners, least)
+            hit = np.arange(len(seeds))
+            for n in range(FILTER_HASHES):
+                at = _bits(seeds[hit], len(words) * 64)[n]
+                hit = hit[(words[at >> 6] >> (at & 63)) & 1 == 1]
+            if len(hit):
+                seeds, owner, places = _listed(seeds[hit], owner[hit], place[hit])
+                own = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([batch.column("k1").take(own), batch.column("k2").take(own), pa.array(seeds), places], names=["k1", "k2", "seed", "places"])
+
+    return documents.select(*_text_keys(), "text").mapInArrow(run, "k1 bigint, k2 int, seed bigint, places array<int>")
+
+
+def _tiled(pairs: DataFrame, least: int, coverage: int) -> DataFrame:
+    """The contaminated ones of `pairs` (k1, k2, item, n_tokens, shared: positions and places of each shared seed)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, out = [], []
+            for n, (size, shared) in enumerate(zip(batch.column("n_tokens").to_pylist(), batch.column("shared").to_pylist())):
+                # each seed touches `least` tokens, and tiles cover no others
+                if sum(len(s["positions"]) for s in shared) * least * 100 < coverage * size:
+                    continue
+                met = [np.stack(np.meshgrid(s["positions"], s["places"], indexing="ij"), -1).reshape(-1, 2) for s in shared]
+                found = tiles(np.concatenate(met), least)
+                covered = sum(x[2] for x in found)
+                if covered * 100 >= coverage * size:
+                    keep.append(n)
+                    out.append((len(found), covered, size))
+            if keep:
+                numbers = [pa.array(np.array(x, np.int64)) for x in zip(*out)]
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep)) for c in ("k1", "k2", "item")] + numbers, names=["k1", "k2", "item", "n_tiles", "covered", "n_tokens"])
+
+    return pairs.mapInArrow(run, "k1 bigint, k2 int, item bigint, n_tiles bigint, covered bigint, n_tokens bigint")
+
+
+def _found(documents: DataFrame, benchmark: DataFrame, least: int, coverage: int) -> tuple[DataFrame, DataFrame]:
+    """Contaminated texts (k1, k2) with their items, and the benchmark's rows (item, item_id)."""
+    rows = benchmark.where("text IS NOT NULL").select("item_id", F.xxhash64("text").alias("item"), "text")
+    seeds = cut(item_seeds(rows.select("item", "text").dropDuplicates(["item"]), least))
+    rare = cut(rare_seeds(seeds, least, coverage))
+    hits = cut(seed_hits(documents, seed_filter(seeds), least).groupBy("k1", "k2", "seed").agg(F.first("places").alias("places")))
+    likely = hits.select("k1", "k2", "seed").join(rare, "seed").select("k1", "k2", "item").distinct()
+    met = likely.join(seeds, "item").join(hits, ["k1", "k2", "seed"])
+    # a group has as many rows as the item has seeds, at most
+    shared = met.groupBy("k1", "k2", "item").agg(F.first("n_tokens").alias("n_tokens"), F.collect_list(F.struct("positions", "places")).alias("shared"))
+    return cut(_tiled(shared, least, coverage)), rows.select("item", "item_id")
+
+
+def _by_text(found: DataFrame) -> DataFrame:
+    """`found`, to be sent to all tasks if it is small."""
+    return F.broadcast(found) if found.count() <= BROADCAST_TEXTS else found
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: int = COVERAGE) -> DataFrame:
     """doc_id, item_id, n_tiles, covered and n_tokens of each document and item that it contains."""
-    source = documents.select("doc_id", "text")
-    kind = benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {dict(source.dtypes)['doc_id']}, item_id {kind}, n_tiles bigint, covered bigint, n_tokens bigint"
-
-    def scan(held) -> Callable:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in textscan.chunks(batches):
-                found = list(_matches(batch.column("text"), held.value, least, coverage))
-                if found:
-                    columns = [np.array(x, np.int64) for x in zip(*found)]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(pa.array(columns[0])), pa.array([held.value.ids[k] for k in columns[1]]), *map(pa.array, columns[2:])],
-                        names=["doc_id", "item_id", "n_tiles", "covered", "n_tokens"],
-                    )
-
-        return run
-
-    parts = [source.mapInArrow(scan(held), schema) for held in _over_blocks(benchmark, least)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    found, items = _found(documents, benchmark, least, coverage)
+    named = cut(found.join(items, "item"))
+    return documents.select("doc_id", *_text_keys()).join(_by_text(named), ["k1", "k2"]).select("doc_id", "item_id", "n_tiles", "covered", "n_tokens")
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: int = COVERAGE) -> DataFrame:
     """The documents that aren't contaminated, with all their columns."""
-
-    def scan(held) -> Callable:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in textscan.chunks(batches):
-                keep = np.ones(batch.num_rows, bool)
-                keep[[d for d, *_ in _matches(batch.column("text"), held.value, least, coverage)]] = False
-                yield batch.filter(pa.array(keep))
-
-        return run
-
-    for held in _over_blocks(benchmark, least):
-        documents = documents.mapInArrow(scan(held), documents.schema)
-    return documents
+    found, _ = _found(documents, benchmark, least, coverage)
+    texts = _by_text(cut(found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()))
+    same = (F.xxhash64("text") == F.col("_k1")) & (F.octet_length("text") == F.col("_k2"))
+    return documents.join(texts, same, "left_anti")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,17 +149,33 @@ def test_tiling(spark):
     assert clean.columns == documents(spark, rows).columns
 
 
-def test_benchmark_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("name, value", (("FILTER_BITS", 1 << 10), ("BROADCAST_TEXTS", 0), ("FILTER_BITS", 1 << 27)))
+def test_seed_join(spark, monkeypatch, name, value):
+    """The filter's size and the way of the join don't matter; repeated items and documents each count; any type of item_id."""
     rng = random.Random(4)
     items = [(i, prose(rng, 30)) for i in range(20)]
-    bench = spark.createDataFrame(items + items[:2], "item_id long, text string")
-    docs = documents(spark, [(i, prose(rng, 10) + " " + t) for i, t in items])
-    whole = sorted(map(tuple, decontamination.contaminated(docs, bench).collect()))
-    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 500)
-    assert sorted(map(tuple, decontamination.contaminated(docs, bench).collect())) == whole and len(whole) == 22
+    bench = spark.createDataFrame(items + items[:2] + [(None, items[0][1])], "item_id int, text string")
+    rows = [(i, prose(rng, 10) + " " + t) for i, t in items]
+    docs = documents(spark, rows + rows[:3])
+    monkeypatch.setattr(decontamination, name, value)
+    got = decontamination.contaminated(docs, bench)
+    assert dict(got.dtypes)["item_id"] == "int"
+    assert sorted((r.doc_id, r.item_id) for r in got.where("item_id IS NOT NULL").collect()) == sorted([(i, i) for i, _ in rows] + [(0, 0), (1, 1)] + [(0, 0), (0, 0), (1, 1), (1, 1), (2, 2)])
+    assert got.where("item_id IS NULL").count() == 2
     assert decontamination.clean(docs, bench).count() == 0
 
 
+def test_common_seeds_alone_make_no_candidates(spark):
+    """Seeds that most items share are left out, and a document that has no others isn't looked at."""
+    rng = random.Random(6)
+    phrase = prose(rng, 12)
+    bench = spark.createDataFrame([(i, phrase + " " + prose(rng, 30)) for i in range(9)], "item long, text string")
+    seeds = decontamination.item_seeds(bench)
+    rare = decontamination.rare_seeds(seeds)
+    common = seeds.groupBy("seed").count().where("count = 9")
+    assert common.count() == len(tokens(phrase)) - 4 and rare.join(common, "seed").count() == 0 and rare.count() > 0
+
+
 def test_decontamination_awkward(spark):
     bench = spark.createDataFrame([(1, None)], "item_id long, text string")
     assert decontamination.contaminated(documents(spark), bench).count() == 0
