@@ -1,8 +1,8 @@
 """Best-fit packing of token pieces into fixed-length sequences, hierarchically.
 
 A document is tokenised and closed by an end id; longer ones are cut into pieces of the capacity, the
-first of which may be shorter. Pieces are spread evenly and each partition packs its own by best fit
-in decreasing length. Its full bins, and those that nothing can be gained from, are final. The rest
+first of which may be shorter. Pieces are dealt out evenly, so many to a task as its memory holds, and
+each partition packs its own by best fit in decreasing length. Its full bins, and those that nothing can be gained from, are final. The rest
 are items of the next round, in which groups of partitions are merged, and so on up a tree.
 
 What a partition passes on is bounded without loss: after best fit any two of its bins exceed the
@@ -31,8 +31,8 @@ from quakeloom.llm import textscan
 from quakeloom.session import cut, table
 
 CAPACITY, END_ID, FAN_IN = 1024, 2, 8
-#: Items that a task packs at once; a larger partition is packed in several such blocks.
-BLOCK = 1_000_000
+#: Pieces that are dealt to a task: there are as many tasks as that takes.
+TASK_PIECES = 200_000
 #: Outside this range the two libraries' Unicode tables may differ; there the slower one decides.
 _RARE = re.compile("[^\x00-ɏ‐-‧]|<\\|endoftext\\|>|[\x1c-\x1f\x85]")
 
@@ -113,8 +113,8 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int], l
     return bins, offsets, fills
 
 
-def _packed(block: pa.Table, capacity: int, carry: int, last: bool, first_bin: int) -> tuple[pa.Table, int]:
-    """The block with bin, offset and done; the number of bins."""
+def _packed(block: pa.Table, capacity: int, carry: int, last: bool, first_bin: int) -> pa.Table:
+    """The block with bin, offset and done."""
     keys = [(n, "ascending") for n in block.schema.names if n != "length"]
     block = block.sort_by([("length", "descending"), *keys])
     bins, offsets, fills = best_fit(block.column("length").to_pylist(), capacity)
@@ -126,7 +126,7 @@ def _packed(block: pa.Table, capacity: int, carry: int, last: bool, first_bin: i
     bins = np.array(bins, np.int64)
     for name, values in (("bin", bins + first_bin), ("offset", np.array(offsets, np.int64)), ("fill", fill[bins]), ("done", done[bins])):
         block = block.append_column(name, pa.array(values))
-    return block, len(fill)
+    return block
 
 
 def _round(items: DataFrame, level: int, capacity: int, fan_in: int, last: bool) -> DataFrame:
@@ -134,18 +134,10 @@ def _round(items: DataFrame, level: int, capacity: int, fan_in: int, last: bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a bin's number names its round, partition and place there
-        next_bin = (level << 56) + (TaskContext.get().partitionId() << 32)
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= BLOCK:
-                block, n = _packed(pa.Table.from_batches(held), capacity, fan_in, last, next_bin)
-                next_bin, held, rows = next_bin + n, [], 0
-                yield from block.to_batches()
+        first_bin = (level << 56) + (TaskContext.get().partitionId() << 32)
+        held = list(batches)
         if held:
-            yield from _packed(pa.Table.from_batches(held), capacity, fan_in, last, next_bin)[0].to_batches()
+            yield from _packed(pa.Table.from_batches(held), capacity, fan_in, last, first_bin).to_batches()
 
     schema = ", ".join(f"{n} {t}" for n, t in items.dtypes)
     return items.mapInArrow(run, f"{schema}, bin bigint, offset bigint, fill bigint, done boolean")
@@ -154,11 +146,12 @@ def _round(items: DataFrame, level: int, capacity: int, fan_in: int, last: bool)
 def pack(pieces: DataFrame, capacity: int = CAPACITY, fan_in: int = FAN_IN) -> DataFrame:
     """`pieces` (length of at most `capacity`, and columns that tell them apart) with sequence_id and offset."""
     columns = pieces.columns
-    keys = [c for c in columns if c != "length"]
-    packed = cut(_round(pieces.repartition(*keys), 0, capacity, fan_in, last=False))
+    pieces = cut(pieces)  # so that the count doesn't tokenize, and the dealing is the same should a task run again
+    width = max(1, -(-pieces.count() // TASK_PIECES))
+    packed = cut(_round(pieces.repartition(width), 0, capacity, fan_in, last=False))
     final = [packed.where("done").select(*columns, F.col("bin").alias("sequence_id"), "offset")]
     moving = packed.where("NOT done")
-    level, width = 1, packed.rdd.getNumPartitions()
+    level = 1
     while True:
         width = -(-width // fan_in)
         items = moving.groupBy("bin").agg(F.first("fill").alias("length")).withColumnRenamed("bin", "item").repartition(width, "item")
