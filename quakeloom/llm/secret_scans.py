@@ -1,7 +1,8 @@
 """Secret scans with one combined deterministic automaton.
 
 All rules are compiled into one automaton that reads a text backwards, so that a single pass over its
-bytes marks every place where some rule's match starts. From the leftmost mark of each rule a small
+bytes marks every place where some rule's match starts. Pieces of texts are read side by side, a byte of
+each at a time. From the leftmost mark of each rule a small
 automaton of that rule runs forward to the longest end; marks before that end are skipped. This gives
 the leftmost, longest, non-overlapping matches per rule. Matches that are too short are dropped after
 that, and still hide what they cover.
@@ -18,12 +19,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakeloom.llm import textscan
-from quakeloom.llm.automata import compile_rules
+from quakeloom.llm.automata import Dfa, compile_rules
 from quakeloom.session import table
 
 
@@ -78,25 +80,84 @@ def _compiled(rules: tuple[Rule, ...]) -> tuple:
     return compile_rules(parts, backward=True, anywhere=True), forward
 
 
-def find(data: bytes, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, int, int, int]]:
-    """(start, rule number, end, start of the value) of every secret, in bytes, by start then rule."""
+#: Bytes of a text that one lane of the backward pass reads, and bytes before these from which it guesses its state.
+LANE, WARM = 512, 48
+
+
+def _read(step: np.ndarray, data: np.ndarray, state: np.ndarray, begin: np.ndarray, stop: np.ndarray, first: int | None = None) -> tuple[np.ndarray, list]:
+    """All lanes at once, a byte of each at a time, from `begin` (exclusive) down to `stop`: the states in the end
+    and, if `first` is given, places and states of all steps to a state from `first` on, with the lane."""
+    order = np.argsort(stop - begin, kind="stable")
+    at, now, lengths = begin[order] - 1, state[order].copy(), (begin - stop)[order]
+    hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    active = np.searchsorted(-lengths, -np.arange(int(lengths[0]) if len(lengths) else 0), side="left")
+    for i, n in enumerate(active.tolist()):
+        now[:n] = step[now[:n] + data[at[:n] - i]]
+        if first is not None:
+            hit = np.flatnonzero(now[:n] >= first)
+            if len(hit):
+                hits.append((order[hit], at[hit] - i, now[hit]))
+    out = np.empty_like(now)
+    out[order] = now
+    return out, hits
+
+
+def _marks(auto: Dfa, step: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where matches start in the texts of a buffer, in order, and the bits of their rules.
+
+    Texts are cut into lanes that are read side by side. A lane's first state is guessed from the bytes
+    before it; where that isn't the state in which the lane before ended, it is read again from there.
+    """
+    sizes = np.diff(offsets)
+    lanes = -(-sizes // LANE)
+    text = np.repeat(np.arange(len(sizes)), lanes)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+    end = offsets[1:][text]
+    begin = end - place * LANE
+    stop = np.maximum(offsets[:-1][text], begin - LANE)
+    guess, _ = _read(step, data, np.full(len(text), auto.start), np.minimum(end, begin + WARM), begin)
+    last, hits = _read(step, data, guess, begin, stop, auto.first_accept)
+    while len(wrong := np.flatnonzero((place > 0) & (guess != np.concatenate([[auto.start], last[:-1]])[: len(last)]))):
+        guess[wrong] = last[wrong - 1]
+        hits = [(lane[k], at[k], state[k]) for lane, at, state in hits if len(k := np.flatnonzero(~np.isin(lane, wrong)))]
+        again, more = _read(step, data, guess[wrong], begin[wrong], stop[wrong], auto.first_accept)
+        last[wrong] = again
+        hits += [(wrong[lane], at, state) for lane, at, state in more]
+    if not hits:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at, state = (np.concatenate(x) for x in list(zip(*hits))[1:])
+    order = np.argsort(at)
+    return at[order], np.array(auto.accepts)[state[order] >> 8]
+
+
+@lru_cache(maxsize=8)
+def _table_of(rules: tuple[Rule, ...]) -> np.ndarray:
+    return np.array(_compiled(rules)[0].step, np.int64)
+
+
+def find_all(data: np.ndarray, offsets: np.ndarray, rules: tuple[Rule, ...] = RULES) -> list[list[tuple[int, int, int, int]]]:
+    """(start, rule number, end, start of the value) of every secret of each text, in its bytes, by start then rule."""
     marks, forward = _compiled(rules)
-    step, first, accepts, state = marks.step, marks.first_accept, marks.accepts, marks.start
-    last, hits = len(data) - 1, []
-    for i, byte in enumerate(reversed(data)):
-        state = step[state + byte]
-        if state >= first:
-            hits.append((last - i, accepts[state >> 8]))
-    found, covered = [], [0] * len(rules)
-    for at, bits in reversed(hits):
-        for n, rule in enumerate(rules):
-            if bits >> n & 1 and at >= covered[n]:
-                prefix, whole = forward[n]
-                covered[n] = end = whole.longest(data, at)
-                value = max(prefix.longest(data, at), at)
-                if end - (at if rule.whole else value) >= rule.shortest:
-                    found.append((at, n, end, value))
-    return found
+    at, bits = _marks(marks, _table_of(rules), data, offsets)
+    out: list[list[tuple[int, int, int, int]]] = [[] for _ in range(len(offsets) - 1)]
+    owner = np.searchsorted(offsets, at, side="right") - 1
+    for d in np.unique(owner).tolist():
+        raw, found, covered = data[offsets[d] : offsets[d + 1]].tobytes(), out[d], [0] * len(rules)
+        own = slice(*np.searchsorted(owner, [d, d + 1]).tolist())
+        for start, which in zip((at[own] - offsets[d]).tolist(), bits[own].tolist()):
+            for n, rule in enumerate(rules):
+                if which >> n & 1 and start >= covered[n]:
+                    prefix, whole = forward[n]
+                    covered[n] = end = whole.longest(raw, start)
+                    value = max(prefix.longest(raw, start), start)
+                    if end - (start if rule.whole else value) >= rule.shortest:
+                        found.append((start, n, end, value))
+    return out
+
+
+def find(data: bytes, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, int, int, int]]:
+    """The secrets of one text."""
+    return find_all(np.frombuffer(data, np.uint8), np.array([0, len(data)]), rules)[0]
 
 
 def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -105,11 +166,11 @@ def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textscan.chunks(batches):
             data, offsets = textscan.buffer(batch.column("text"))
-            points, raw = textscan.code_points(data), data.tobytes()
+            points = textscan.code_points(data)
             out = []
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            for a, found in zip(offsets[:-1].tolist(), find_all(data, offsets, rules)):
                 place = lambda i, a=a: int(points[a + i] - points[a])
-                out.append([{"kind": rules[n].kind, "start": place(s), "end": place(e), "value_start": place(v)} for s, n, e, v in find(raw[a:b], rules)])
+                out.append([{"kind": rules[n].kind, "start": place(s), "end": place(e), "value_start": place(v)} for s, n, e, v in found])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, _SECRETS)], names=["doc_id", "secrets"])
 
     source = documents.select("doc_id", "text")
@@ -131,16 +192,16 @@ def redact(documents: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[
         for batch in textscan.chunks(batches):
             texts = batch.column("text").to_pylist()
             new, lengths = [], []
-            for text in texts:
-                raw, kept, at = (text or "").encode(), [], 0
-                for start, end in _merged([(v, KEY_BODY.match(raw, e).end() if rules[n].kind == "private_key" else e) for _, n, e, v in find(raw, rules)]):
+            for text, found in zip(texts, find_all(*textscan.buffer(batch.column("text")), rules)):
+                raw, kept, at = text.encode() if found else b"", [], 0
+                for start, end in _merged([(v, KEY_BODY.match(raw, e).end() if rules[n].kind == "private_key" else e) for _, n, e, v in found]):
                     kept += [raw[at:start], mask.encode()]
                     at = end
                 new.append(text if not kept else b"".join([*kept, raw[at:]]).decode())
                 lengths.append(len(new[-1]) if kept else None)
             columns = dict(zip(batch.schema.names, batch.columns)) | {"text": pa.array(new, pa.string())}
             if "n_chars" in columns:
-                columns["n_chars"] = pa.array([o if n is None else n for n, o in zip(lengths, columns["n_chars"].to_pylist())], pa.int64())
+                columns["n_chars"] = pa.array([o if n is None else n for n, o in zip(lengths, columns["n_chars"].to_pylist())], columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return source.mapInArrow(run, source.schema)
@@ -171,7 +232,9 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     found = []
     for n, r in enumerate(RULES):
-        whole = (f"(?i:{r.prefix})" if r.ignore_case else r.prefix) + f"({r.value})"
+        # ASCII letters only: a case-insensitive group would take in the long s and the Kelvin sign
+        either = re.sub(r"\\x[0-9a-f]{2}|[a-z]", lambda m: m[0] if m[0][0] == "\\" else f"[{m[0]}{m[0].upper()}]", r.prefix)
+        whole = (either if r.ignore_case else r.prefix) + f"({r.value})"
         quoted = whole.replace("'", "''")
         found.append(f"""SELECT doc_id, {n} AS k, '{r.kind}' AS kind, unnest(list_zip(regexp_extract_all(text, '{quoted}', 0), regexp_extract_all(text, '{quoted}', 1),
   string_split_regex(text, '{quoted}'), range(0, len(regexp_extract_all(text, '{quoted}')) + 1))) AS z, {r.shortest} AS shortest, {str(r.whole).lower()} AS whole FROM d""")

@@ -132,7 +132,7 @@ def test_quality_awkward_inputs(spark):
 def brute_secrets(text):
     out = []
     for n, r in enumerate(secret_scans.RULES):
-        pattern = (f"(?i:{r.prefix})" if r.ignore_case else r.prefix) + f"({r.value})"
+        pattern = (f"(?ai:{r.prefix})" if r.ignore_case else r.prefix) + f"({r.value})"
         for m in re.finditer(pattern, text or ""):
             if len(m[0] if r.whole else m[1]) >= r.shortest:
                 out.append((m.start(), n, m.end(), m.start(1)))
@@ -153,6 +153,30 @@ def test_automaton_equals_regexes(pieces):
     assert got == brute_secrets(text)
 
 
+def test_lanes_read_as_one(monkeypatch):
+    """Texts far longer than a lane, whose state a guess can't know, and every number of types of n_chars."""
+    import numpy as np
+
+    rng = random.Random(9)
+    texts_ = ["token = " + "a" * 3000, "deadbeef" * 400, "", "x" * 5000, "password=" + " " * 900 + "z" * 40, "".join(rng.choices(PIECES, k=900)), "-----BEGIN " + "RSA " * 300 + "PRIVATE KEY-----"]
+    raw = [t.encode() for t in texts_]
+    offsets = np.cumsum([0, *map(len, raw)])
+    expected = [secret_scans.find(r) for r in raw]
+    for lane, warm in ((64, 0), (100, 3), (1 << 20, 0)):
+        monkeypatch.setattr(secret_scans, "LANE", lane)
+        monkeypatch.setattr(secret_scans, "WARM", warm)
+        assert secret_scans.find_all(np.frombuffer(b"".join(raw), np.uint8), offsets) == expected
+    assert [[(secret_scans.RULES[n].kind, s, e, v) for s, n, e, v in found] for found in expected if found][0] == brute_secrets(texts_[0])
+
+
+@pytest.mark.parametrize("kind", ("int", "long", "short"))
+def test_redaction_keeps_the_type_of_n_chars(spark, kind):
+    docs = documents(spark, [(0, "token=abcdefghijklmnop"), (1, None)]).withColumn("n_chars", F.col("n_chars").cast(kind))
+    done = secret_scans.redact(docs)
+    assert done.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
+    assert {r.doc_id: r.n_chars for r in done.collect()} == {0: len("token=[SECRET]"), 1: None}
+
+
 def test_secret_scan_and_redaction(spark):
     rng = random.Random(3)
     rows = list(enumerate(texts() + ["".join(rng.choices(PIECES, k=20)) for _ in range(30)] + ["é password = 'abcdefghijkl' é"]))
@@ -224,6 +248,18 @@ def test_packing_merges_partitions(spark):
     assert len(fill) <= -(-sum(fill.values()) // 1024) * 1.02
 
 
+def test_packing_by_tasks_of_few_pieces(spark, monkeypatch):
+    """However few pieces a task holds, the result is near the one of a single task."""
+    rows = spark.range(80, numPartitions=1).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 40, 300).otherwise(700).cast("long").alias("length"))
+    more = spark.range(4000, numPartitions=3).select(F.col("id").alias("doc_id"), (F.pmod(F.xxhash64("id"), F.lit(900)) + 1).alias("length"))
+    one = [packing.pack(x, 1024).select("sequence_id").distinct().count() for x in (rows, more)]
+    assert one[0] == 40
+    monkeypatch.setattr(packing, "TASK_PIECES", 200)
+    packed = packing.pack(more, 1024)
+    assert packed.count() == 4000 and packed.select("sequence_id").distinct().count() <= one[1] * 1.04
+    assert packing.pack(rows, 1024).select("sequence_id").distinct().count() == 40
+
+
 def test_packing_awkward(spark):
     assert packed_rows(spark, empty(spark), 1024) == []
     same = spark.range(300).select(F.col("id").alias("doc_id"), F.lit(600).cast("long").alias("length"))
