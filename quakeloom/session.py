@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Largest Arrow batch that is made for a Python worker.
+ARROW_BYTES = 4 << 20
 #: Folder that holds the package; Python workers need it on their path.
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -32,8 +35,10 @@ def build(master: str | None = None, shuffle_partitions: int | None = None, **co
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers of a running session import this package from its folder; times are UTC."""
+    """Let Python workers of a running session import this package from its folder; times are UTC, and rows go to
+    Python workers a few megabytes at a time."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     environment = spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in known:
@@ -41,17 +46,31 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables, which all executors see: spark.checkpoint.dir.
+
+    Only a local session that names none (a test) gets a temporary one; on a cluster, where executors
+    wouldn't see it, that is an error.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
+    if not folder:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="quakeloom-checkpoint-")
+        context.setCheckpointDir(folder)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint `df` in the cluster's shared folder, so that lost executors can't take it along.
+    """Write `df` as a table in the shared folder and read it from there, so that lost executors can't take it along.
 
-    The folder is spark.checkpoint.dir; only a session that names none (a local test) gets a
-    temporary one.
+    A written table has a size of its own; a checkpoint would keep the estimate of its plan, which grows without bound
+    from join to join.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quakeloom-checkpoint-"))
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
