@@ -7,27 +7,19 @@ from pyspark.sql import functions as F
 
 from quakeloom.session import cut
 
-#: A key of so many rows is hot, or of one in so many of all rows; that bounds how many hot keys there are.
-HOT_ROWS, HOT_KEYS = 10_000, 100_000
 
+def join_once(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
+    """Inner join of `rows` with `keyed`, an aggregate of one row per key.
 
-def join_counted(rows: DataFrame, counted: DataFrame, key: str, total: int) -> DataFrame:
-    """Inner join of `rows` with `counted`: one row per key, n its rows in `rows`, and more. total: rows in all.
-
-    Hot keys, HOT_KEYS at most, are sent to all tasks, so that their rows stay where they are; the
-    others meet by key, where none has many rows.
+    The aggregate is cut first, so that it isn't made twice and both sides are plain shuffles, whose hot
+    partitions adaptive execution splits.
     """
-    if total <= HOT_ROWS:
-        return rows.join(counted.drop("n"), key)
-    hot = F.col("n") > max(HOT_ROWS, total // HOT_KEYS)
-    few = F.broadcast(counted.where(hot).drop("n"))
-    rest = rows.join(few.select(key), key, "left_anti").join(counted.where(~hot).drop("n"), key)
-    return rest.unionByName(rows.join(few, key))
+    return rows.join(cut(keyed), key)
 
 
-def _toward_least(pairs: DataFrame, total: int) -> DataFrame:
+def _toward_least(pairs: DataFrame) -> DataFrame:
     """Each (u, v) with the least neighbour of u. The minimum is pre-aggregated per task."""
-    return join_counted(pairs, pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "u", total)
+    return join_once(pairs, pairs.groupBy("u").agg(F.min("v").alias("m")), "u")
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -45,8 +37,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if not state[0]:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _toward_least(both, 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
-        small = _toward_least(cut(large), 2 * state[0])
+        large = _toward_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
+        small = _toward_least(cut(large))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         now = cut(small.where("u <> v").distinct())
     node = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

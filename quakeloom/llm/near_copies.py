@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quakeloom.llm import simhash, textscan
-from quakeloom.llm.components import components, join_counted
+from quakeloom.llm.components import components, join_once
 from quakeloom.session import cut
 
 #: Similarity of near copies, as a fraction.
@@ -171,15 +171,14 @@ def groups(documents: DataFrame, grouped: DataFrame) -> DataFrame:
     drawn = cut(sketches(_texts(documents)).dropDuplicates(["text_key"]))
     parts = grouped.select("text_key", F.col("group").alias("part")).distinct().join(drawn.select("text_key", "n"), "text_key")
     placed = cut(_placed(_texts(documents), common_shingles(documents)))
-    total = placed.count()
-    shared = placed.groupBy("token").agg(F.count("*").alias("n"), F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).where("lo <> hi").select("token", "n")
-    cells = cut(join_counted(placed, shared, "token", total).join(parts, "text_key").distinct())
+    shared = placed.groupBy("token").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).where("lo <> hi").select("token")
+    cells = cut(join_once(placed, shared, "token").join(parts, "text_key").distinct())
     tried = None
     for number in range(ROUNDS):
         # a cell's head: another text in each round
         ordered = F.xxhash64("text_key", F.lit(number))
-        heads = cells.groupBy("token").agg(F.count("*").alias("members"), F.min("part").alias("lo"), F.max("part").alias("hi"), F.min_by(F.struct("text_key", "n", "part"), ordered).alias("head"))
-        cells = cut(join_counted(cells, heads.where("lo <> hi").select("token", F.col("members").alias("n"), "head"), "token", total))
+        heads = cells.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min_by(F.struct("text_key", "n", "part"), ordered).alias("head"))
+        cells = cut(join_once(cells, heads.where("lo <> hi").select("token", "head"), "token"))
         pairs = cells.where((F.col("part") != F.col("head.part")) & _fits(F.col("n"), F.col("head.n"))).groupBy(F.col("text_key").alias("a"), F.col("head.text_key").alias("b"), F.col("part").alias("part_a"), F.col("head.part").alias("part_b")).agg(F.count("*").alias("times"))
         pairs = likely(pairs, drawn).groupBy("a").agg(F.max_by(F.struct("b", "part_a", "part_b"), F.struct("times", "b")).alias("x")).select("a", "x.*")
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
@@ -190,8 +189,8 @@ def groups(documents: DataFrame, grouped: DataFrame) -> DataFrame:
         grouped = _joined(grouped, found, "group")
 
     sizes = cells.groupBy("token", "part").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("token").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n")).where("parts > 1").drop("parts")
-    still = cut(join_counted(cells, main, "token", total))
+    main = sizes.groupBy("token").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    still = cut(join_once(cells, main, "token"))
     one = lambda df, side: df.select("token", F.col("text_key").alias(side), F.col("n").alias(f"n_{side}"), F.col("part").alias(f"part_{side}"))
     pairs = one(still, "a").join(one(still.where("part <> main"), "b"), "token").where((F.col("part_a") != F.col("part_b")) & _fits(F.col("n_a"), F.col("n_b")))
     # both ways where both are outside the largest group

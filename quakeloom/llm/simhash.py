@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakeloom.llm import textscan
-from quakeloom.llm.components import components, join_counted
+from quakeloom.llm.components import components, join_once
 from quakeloom.session import cut, table
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -139,19 +139,18 @@ def links(distinct: DataFrame, distance: int = DISTANCE, groups: int | None = No
     """(node, component) of the fingerprints (column fp, distinct) with another within `distance`."""
     count = distinct.count()
     groups = groups or grid_groups(count, distance)
-    rows = count * math.comb(groups, distance)
     placed = cells(distinct, distance, groups)
     # the XOR of two members tells their Hamming distance: most cells of two are chance meetings
     shared = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("head"), F.bit_xor("fp").alias("x"))
-    shared = shared.where((F.col("n") > 2) | (F.col("n") == 2) & (F.bit_count("x") <= distance)).drop("x")
-    members = cut(join_counted(placed, shared, "cell", rows))
+    shared = shared.where((F.col("n") > 2) | (F.col("n") == 2) & (F.bit_count("x") <= distance)).select("cell", "head")
+    members = cut(join_once(placed, shared, "cell"))
     near = lambda a, b: (F.bit_count(embedded(F.col(a)).bitwiseXOR(embedded(F.col(b)))) <= distance) & (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance)
 
     first = components(members.where(F.col("fp") != F.col("head")).where(near("fp", "head")).select("fp", "head"), "fp", "head")
     known = members.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("cell", "fp", F.coalesce("component", "fp").alias("part"))
     sizes = known.groupBy("cell", "part").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("cell").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n")).where("parts > 1").drop("parts")
-    mixed = cut(join_counted(known, mixed, "cell", rows))
+    mixed = sizes.groupBy("cell").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    mixed = cut(join_once(known, mixed, "cell"))
     minor = mixed.where("part <> main").select("cell", F.col("fp").alias("a"), F.col("part").alias("part_a"))
     found = minor.join(mixed.select("cell", F.col("fp").alias("b"), F.col("part").alias("part_b")), "cell")
     found = found.where(F.col("part_a") != F.col("part_b")).where(near("a", "b")).select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).distinct()
@@ -164,12 +163,11 @@ def links(distinct: DataFrame, distance: int = DISTANCE, groups: int | None = No
 
 def groups_of(marked: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """`marked` (doc_id, fp and more) with group (a fingerprint) and component_id (least doc_id of the group)."""
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = distinct.join(links(distinct.select("fp"), distance).withColumnRenamed("node", "fp"), "fp", "left")
-    found = cut(found.select("fp", "least", F.coalesce("component", "fp").alias("group"), "n"))
-    heads = found.groupBy("group").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
-    grouped = cut(join_counted(found.select("fp", "group", F.col("n").alias("rows")), heads, "group", found.count()))
-    return join_counted(marked, grouped.withColumnRenamed("rows", "n"), "fp", marked.count())
+    found = cut(found.select("fp", "least", F.coalesce("component", "fp").alias("group")))
+    named = join_once(found.select("fp", "group"), found.groupBy("group").agg(F.min("least").alias("component_id")), "group")
+    return join_once(marked, named, "fp")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

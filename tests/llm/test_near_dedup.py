@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from quakeloom.llm import components, near_copies as copies, simhash
+from quakeloom.llm import near_copies as copies, simhash
 from tests.llm.helpers import documents, prose
 from tests.llm.test_group_operators import WORD, brute_components, brute_fingerprint, near_copies
 
@@ -36,9 +36,9 @@ def brute_groups(rows):
     return parent, links
 
 
-@pytest.mark.parametrize("hot", (10_000, 2))
-def test_stage_joins_all_pairs_of_similarity(spark, monkeypatch, hot):
-    monkeypatch.setattr(components, "HOT_ROWS", hot)
+@pytest.mark.parametrize("most", (2_000_000, 0))
+def test_stage_joins_all_pairs_of_similarity(spark, monkeypatch, most):
+    monkeypatch.setattr(copies, "BROADCAST_TEXTS", most)
     rng = random.Random(5)
     passage = prose(rng, 40)
     rows = near_copies() + [(500 + i, passage + " " + prose(rng, 60)) for i in range(40)] + [(600, "one two THREE"), (601, "One two three"), (602, "one two four")]
