@@ -10,8 +10,8 @@ n - ceil(0.8 n) + 1 of each. Any order serves; here shingles that a sample shows
 so that a passage of many texts makes few meetings. Which shingles the sample holds changes the work only.
 A shingle that only one text has among its first makes no cell.
 
-Dense cells: in first rounds each text is compared with one member of its cells only, the one that shares
-most of its first shingles; in the last round members of different groups so far are compared. Links found
+Dense cells: in first rounds a few members of each cell offer themselves, and each text is compared only
+with the one of these that shares most of its first shingles; in the last round members of different groups so far are compared. Links found
 this way give the same groups as all pairs.
 
 Verification: a text's sketch holds the parity of its shingles per bucket, and two sketches never differ in
@@ -41,8 +41,8 @@ WORDS, PART, WHOLE = 5, 4, 5
 SAMPLED, OFTEN, MOST = 16, 8, 100_000
 #: Least buckets of a sketch, in 64-bit words; a larger set has as many buckets as shingles, or more.
 SKETCH = 16
-#: Rounds in which each text is compared with one other.
-ROUNDS = 2
+#: Rounds in which each text is compared with one other, and members of a cell that offer themselves for it.
+ROUNDS, HEADS = 2, 6
 #: So many keys of texts at most are sent to all tasks; more meet the texts by a shuffle.
 BROADCAST_TEXTS = 2_000_000
 
@@ -126,6 +126,16 @@ def _fits(a: Column, b: Column) -> Column:
     return F.least(a, b) * WHOLE >= F.greatest(a, b) * PART
 
 
+def _enough(times: Column, a: Column, b: Column) -> Column:
+    """Whether sets of these sizes that share so many of their first shingles, or fewer, can be similar enough.
+
+    Of the set whose first shingles end earlier in the order, no other than these are among the first of both,
+    so that the sets share as many more as it has others, at most.
+    """
+    others = F.ceil(F.greatest(a, b) * PART / WHOLE) - 1
+    return (times + others) * (WHOLE + PART) >= (a + b) * PART
+
+
 def likely(pairs: DataFrame, drawn: DataFrame) -> DataFrame:
     """The pairs (a, b and more) of text_keys of sets of similar sizes that sketches don't rule out. drawn: all sketches."""
     of = lambda side: drawn.select(*(F.col(c).alias(side if c == "text_key" else f"{side}_{c}") for c in drawn.columns))
@@ -175,13 +185,15 @@ def groups(documents: DataFrame, grouped: DataFrame) -> DataFrame:
     cells = cut(join_once(placed, shared, "token").join(parts, "text_key").distinct())
     tried = None
     for number in range(ROUNDS):
-        # a cell's head: another text in each round
-        ordered = F.xxhash64("text_key", F.lit(number))
-        heads = cells.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min_by(F.struct("text_key", "n", "part"), ordered).alias("head"))
-        cells = cut(join_once(cells, heads.where("lo <> hi").select("token", "head"), "token"))
-        pairs = cells.where((F.col("part") != F.col("head.part")) & _fits(F.col("n"), F.col("head.n"))).groupBy(F.col("text_key").alias("a"), F.col("head.text_key").alias("b"), F.col("part").alias("part_a"), F.col("head.part").alias("part_b")).agg(F.count("*").alias("times"))
-        pairs = likely(pairs, drawn).groupBy("a").agg(F.max_by(F.struct("b", "part_a", "part_b"), F.struct("times", "b")).alias("x")).select("a", "x.*")
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        # a cell's heads: other texts in each round
+        some = lambda i: F.min_by(F.struct("text_key", "n", "part"), F.xxhash64("text_key", F.lit(i)))
+        heads = cells.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.array_distinct(F.array(*(some(number * HEADS + i) for i in range(HEADS)))).alias("heads"))
+        cells = cut(join_once(cells, heads.where("lo <> hi").select("token", "heads"), "token"))
+        offered = cells.select("text_key", "n", "part", F.explode("heads").alias("head")).where((F.col("part") != F.col("head.part")) & _fits(F.col("n"), F.col("head.n")))
+        pairs = offered.groupBy(F.col("text_key").alias("a"), F.col("head.text_key").alias("b"), F.col("part").alias("part_a"), F.col("head.part").alias("part_b")).agg(F.count("*").alias("times"))
+        # one pair a text before any sketch is looked up: a large group of near copies has many heads
+        pairs = pairs.groupBy("a").agg(F.max_by(F.struct("b", "part_a", "part_b"), F.struct("times", "b")).alias("x")).select("a", "x.*")
+        pairs = cut(likely(pairs, drawn))
         found = components(verified(pairs, documents), "part_a", "part_b")
         once = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         tried = once if tried is None else tried.unionByName(once)
@@ -196,7 +208,8 @@ def groups(documents: DataFrame, grouped: DataFrame) -> DataFrame:
     # both ways where both are outside the largest group
     swap = F.col("a") > F.col("b")
     either = lambda x, y, name: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name)
-    pairs = pairs.select(either("a", "b", "a"), either("b", "a", "b"), either("part_a", "part_b", "part_a"), either("part_b", "part_a", "part_b")).distinct()
+    pairs = pairs.select(either("a", "b", "a"), either("b", "a", "b"), either("part_a", "part_b", "part_a"), either("part_b", "part_a", "part_b"), either("n_a", "n_b", "n_a"), either("n_b", "n_a", "n_b"))
+    pairs = pairs.groupBy(*pairs.columns).agg(F.count("*").alias("times")).where(_enough(F.col("times"), F.col("n_a"), F.col("n_b"))).select("a", "b", "part_a", "part_b")
     pairs = cut(likely(pairs.join(tried, ["a", "b"], "left_anti"), drawn))
     return _joined(grouped, components(verified(pairs, documents), "part_a", "part_b"), "group")
 
