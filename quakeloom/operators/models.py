@@ -7,16 +7,17 @@ fills missing values by the median and adds 0/1 columns that tell where, since n
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import Imputer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, IsotonicRegression, LinearRegression, LinearRegressionModel, RandomForestRegressionModel, RandomForestRegressor
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakeloom.functions import geo
@@ -44,6 +45,13 @@ class Size:
     seed: int = 42
 
 
+_FITTED = {
+    "forest": (RandomForestClassificationModel, RandomForestRegressionModel),
+    "gbt": (GBTClassificationModel, GBTRegressionModel),
+    "logit": (LogisticRegressionModel, LinearRegressionModel),
+}
+
+
 @dataclass
 class Model:
     """Fitted stages of one family: the preparation, the zone models and the regressors by target."""
@@ -56,9 +64,21 @@ class Model:
     def save(self, path: str) -> None:
         self.prepare.write().overwrite().save(f"{path}/prepare")
         for i, m in enumerate(self.zone):
-            m.write().overwrite().save(f"{path}/zone_{i}")
+            if m is not None:
+                m.write().overwrite().save(f"{path}/zone_{i}")
         for t, m in self.regressors.items():
             m.write().overwrite().save(f"{path}/{t}")
+        told = {"family": self.family, "zone": [m is not None for m in self.zone], "regressors": sorted(self.regressors)}
+        spark = SparkSession.active()
+        spark.createDataFrame([(json.dumps(told),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/model")
+
+    @staticmethod
+    def load(path: str) -> Model:
+        """What `save` wrote."""
+        told = json.loads(SparkSession.active().read.text(f"{path}/model").first()[0])
+        classifier, regressor = _FITTED[told["family"]]
+        zone = [classifier.load(f"{path}/zone_{i}") if there else None for i, there in enumerate(told["zone"])]
+        return Model(told["family"], PipelineModel.load(f"{path}/prepare"), zone, {t: regressor.load(f"{path}/{t}") for t in told["regressors"]})
 
 
 def _prepare(features: list[str]) -> Pipeline:
@@ -131,16 +151,22 @@ def _probabilities(model: Model, ready: DataFrame) -> DataFrame:
 
 
 def score(model: Model, rows: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
-    """`rows` with the probabilities of CLASSES and predicted_ values; distances back in km, not below 0."""
+    """`rows` with the probabilities of CLASSES and predicted_ values; distances back in km, not below 0.
+
+    Targets that `train` skipped get nulls."""
     columns = rows.columns
     ready = model.prepare.transform(rows).select(*columns, "features")
     wanted = only or (ZONE, *REGRESSION)
     if ZONE in wanted and model.zone:
         ready = _probabilities(model, ready)
+    elif ZONE in wanted:
+        ready = ready.withColumns({p: F.lit(None).cast("double") for p in CLASSES})
     for target in REGRESSION:
         if target in wanted and target in model.regressors:
             value = F.greatest(F.expm1("prediction"), F.lit(0.0)) if target in LOGGED else F.col("prediction")
             ready = model.regressors[target].transform(ready).withColumn(f"predicted_{target}", value).drop("prediction")
+        elif target in wanted:
+            ready = ready.withColumn(f"predicted_{target}", F.lit(None).cast("double"))
     return ready.drop("features")
 
 
@@ -155,8 +181,8 @@ def score_table(scored: DataFrame, family: str) -> tuple[DataFrame, DataFrame]:
     """Long tables of the metrics operators: classes and regressions."""
     classes = F.explode(F.array(*(F.struct(F.lit(t).alias("target"), F.col(t).cast("int").alias("label"), F.col(p).alias("probability")) for p, t in CLASSES.items())))
     values = F.explode(F.array(*(F.struct(F.lit(t).alias("target"), F.col(t).alias("actual"), F.col(f"predicted_{t}").alias("predicted")) for t in REGRESSION if f"predicted_{t}" in scored.columns)))
-    out = (scored.select(F.lit(family).alias("family"), x.alias("x")).select("family", "x.*") for x in (classes, values))
-    return tuple(out)
+    long = (scored.select(F.lit(family).alias("family"), x.alias("x")).select("family", "x.*") for x in (classes, values))
+    return tuple(df.where(f"{c} IS NOT NULL") for df, c in zip(long, ("probability", "predicted")))
 
 
 def backtest(train_rows: DataFrame, test_rows: DataFrame, families: tuple[str, ...] = FAMILIES, size: Size = Size()) -> DataFrame:
@@ -171,10 +197,13 @@ def backtest(train_rows: DataFrame, test_rows: DataFrame, families: tuple[str, .
 
 
 def importance(model: Model, features: list[str] | None = None) -> list[tuple[str, float]]:
-    """Features of a tree family's first zone model by falling importance."""
+    """Features of a family's first zone model by falling importance; of logit, the sum of their absolute coefficients."""
     features = features or feature_names()
     names = features + [f"missing {f}" for f in features if f in SPARSE]
-    values = model.zone[0].featureImportances.toArray()
+    fitted = next((m for m in model.zone if m is not None), None)
+    if fitted is None:
+        return []
+    values = abs(fitted.coefficientMatrix.toArray()).sum(axis=0) if model.family == "logit" else fitted.featureImportances.toArray()
     return sorted(zip(names, map(float, values)), key=lambda x: (-x[1], x[0]))
 
 
