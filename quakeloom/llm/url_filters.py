@@ -5,6 +5,9 @@ a page. For other pages the host decides: trust flows along links from hosts tha
 (personalised PageRank), distrust flows against links from hosts that rules mostly block, since linking
 to a bad host is a sign of one. A host whose distrust exceeds its trust is blocked.
 
+A score is the sum over walks of every length: round by round, what arrived anew is passed on along the
+links, until what is still under way can't come to more than `residual` percent of all. Hosts without
+links give their share back to the seeds, which is the same as scaling the sums to `mass` at the end.
 Scores are whole numbers, so that sums don't depend on the order of the rows. Links to the same host
 don't count, repeated links count once. Edges and scores stay distributed; sums into a hub are
 pre-aggregated per task.
@@ -52,14 +55,27 @@ RULES = (
 
 @dataclass(frozen=True)
 class Flow:
-    """damping: percent that follows links; mass: units dealt to the seeds; ratio: percent of the trust
-    that distrust must exceed to block."""
+    """damping: percent that follows links; mass: units of trust, and of distrust, in all; residual: percent of
+    the mass that may be left under way; ratio: percent of the trust that distrust must exceed to block."""
 
     damping: int = 85
-    rounds: int = 8
+    residual: int = 1
     mass: int = 10**15
     ratio: int = 100
 
+    @property
+    def settled(self) -> int:
+        """Units that arrive in a round after which no more than the residual follows."""
+        return self.mass * self.residual * (100 - self.damping) // (100 * self.damping)
+
+    @property
+    def rounds(self) -> int:
+        """Rounds that always suffice, as a round passes on at most `damping` percent."""
+        left, n = 2 * self.mass * (100 - self.damping) // 100, 0
+        while left > self.settled:
+            left, n = left * self.damping // 100, n + 1
+        return n
+
 
 def host_of(url: Column) -> Column:
     rest = F.when(F.instr(url, "://") > 0, F.substr(url, F.instr(url, "://") + 3))
@@ -93,24 +109,23 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, flow: Flow = Flow()) -> DataFrame:
-    """(host, trust, distrust) after `flow.rounds`. seeds: host, good and bad (0 or 1 each)."""
+    """(host, trust, distrust) of every host that has any. seeds: host, good and bad (0 or 1 each)."""
     edges = cut(edges)
     totals = seeds.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
-    share = lambda c, n: (F.col(c) * (flow.mass // max(n or 0, 1))).cast("long")
-    start = cut(seeds.select("host", share("good", totals.good).alias("good"), share("bad", totals.bad).alias("bad")))
-    state = start.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
-    if edges.isEmpty():
-        return state
-    out_links = edges.groupBy("src").agg(F.count("*").alias("outs"))
-    in_links = edges.groupBy("dst").agg(F.count("*").alias("ins"))
-    forward = cut(edges.join(out_links, "src"))
-    backward = cut(edges.join(in_links, "dst"))
-    base = start.selectExpr("host", f"good * {100 - flow.damping} div 100 AS trust", f"bad * {100 - flow.damping} div 100 AS distrust")
-    for _ in range(flow.rounds):
-        ahead = forward.join(state, F.col("src") == F.col("host")).selectExpr("dst AS host", f"trust * {flow.damping} div (100 * outs) AS trust", "0L AS distrust")
-        back = backward.join(state, F.col("dst") == F.col("host")).selectExpr("src AS host", "0L AS trust", f"distrust * {flow.damping} div (100 * ins) AS distrust")
-        state = cut(base.unionByName(ahead).unionByName(back).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")))
-    return state
+    share = lambda c, n: f"cast({c} as bigint) * {flow.mass // max(n or 0, 1) * (100 - flow.damping) // 100} AS "
+    new = cut(seeds.where("good + bad > 0").selectExpr("host", share("good", totals.good) + "trust", share("bad", totals.bad) + "distrust"))
+    forward = cut(edges.join(edges.groupBy("src").agg(F.count("*").alias("outs")), "src"))
+    backward = cut(edges.join(edges.groupBy("dst").agg(F.count("*").alias("ins")), "dst"))
+    arrived = new
+    while (new.agg(F.sum(F.col("trust") + F.col("distrust"))).first()[0] or 0) > flow.settled:
+        ahead = forward.join(new, F.col("src") == F.col("host")).selectExpr("dst AS host", f"trust * {flow.damping} div (100 * outs) AS trust", "0L AS distrust")
+        back = backward.join(new, F.col("dst") == F.col("host")).selectExpr("src AS host", "0L AS trust", f"distrust * {flow.damping} div (100 * ins) AS distrust")
+        new = cut(ahead.unionByName(back).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")))
+        arrived = arrived.unionByName(new)
+    scores = cut(arrived.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")))
+    whole = scores.agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")).first()
+    scaled = lambda c, n: f"cast({c} as decimal(19,0)) * {flow.mass} div {max(n or 0, 1)} AS {c}"
+    return scores.selectExpr("host", scaled("trust", whole.trust), scaled("distrust", whole.distrust))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, flow: Flow = Flow()) -> DataFrame:
@@ -137,9 +152,11 @@ def _oracle(flow: Flow = Flow()) -> str:
     steps = []
     for i in range(flow.rounds):
         steps.append(f"""s{i + 1} AS MATERIALIZED (SELECT host, sum(trust)::BIGINT AS trust, sum(distrust)::BIGINT AS distrust FROM (
-  SELECT host, good * {100 - flow.damping} // 100 AS trust, bad * {100 - flow.damping} // 100 AS distrust FROM start
-  UNION ALL SELECT dst, trust * {flow.damping} // (100 * outs), 0 FROM e JOIN s{i} ON src = host
-  UNION ALL SELECT src, 0, distrust * {flow.damping} // (100 * ins) FROM e JOIN s{i} ON dst = host) GROUP BY host)""")
+  SELECT dst AS host, trust * {flow.damping} // (100 * outs) AS trust, 0 AS distrust FROM e JOIN s{i} ON src = host
+  UNION ALL SELECT src, 0, distrust * {flow.damping} // (100 * ins) FROM e JOIN s{i} ON dst = host)
+  WHERE (SELECT sum(trust + distrust) FROM s{i}) > {flow.settled} GROUP BY host)""")
+    share = lambda c: f"(2 * {c} > n)::BIGINT * ({flow.mass} // greatest(1, sum((2 * {c} > n)::BIGINT) OVER ()) * {100 - flow.damping} // 100)::BIGINT"
+    scaled = lambda c: f"(sum({c}) * {flow.mass} // greatest(1, sum(sum({c})) OVER ()))::BIGINT AS {c}"
     return rf"""
 WITH rules(rh, rp, rv) AS (VALUES {rules}),
 p AS MATERIALIZED (SELECT row_number() OVER () AS row_no, page_id, html,
@@ -149,14 +166,12 @@ r AS (SELECT row_no, rh || rp AS rule, rv FROM p JOIN rules ON (host = rh OR end
   QUALIFY row_number() OVER (PARTITION BY row_no ORDER BY length(rh || rp) DESC) = 1),
 m AS MATERIALIZED (SELECT p.*, rule, rv FROM p LEFT JOIN r USING (row_no)),
 h AS (SELECT host, count(*) AS n, count(*) FILTER (rv = 'allow') AS a, count(*) FILTER (rv = 'block') AS b FROM m WHERE host <> '' GROUP BY host),
-start AS MATERIALIZED (SELECT host, (2 * a > n)::BIGINT * ({flow.mass} // greatest(1, sum((2 * a > n)::BIGINT) OVER ()))::BIGINT AS good,
-  (2 * b > n)::BIGINT * ({flow.mass} // greatest(1, sum((2 * b > n)::BIGINT) OVER ()))::BIGINT AS bad FROM h),
+s0 AS MATERIALIZED (SELECT host, {share('a')} AS trust, {share('b')} AS distrust FROM h),
 l AS (SELECT host AS src, unnest(regexp_extract_all(html, '{LINK.replace("'", "''")}', 1)) AS link FROM m),
 d AS (SELECT DISTINCT src, translate(regexp_extract(link, '{ELSEWHERE}', 1), '{UPPER}', '{LOWER}') AS dst FROM l),
 e AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY src) AS outs, count(*) OVER (PARTITION BY dst) AS ins FROM d WHERE src <> dst AND src <> '' AND dst <> ''),
-s0 AS (SELECT host, good AS trust, bad AS distrust FROM start),
 {", ".join(steps)},
-s AS (SELECT * FROM s0 WHERE NOT EXISTS (FROM e) UNION ALL SELECT * FROM s{flow.rounds} WHERE EXISTS (FROM e))
+s AS (SELECT host, {scaled('trust')}, {scaled('distrust')} FROM ({" UNION ALL ".join(f"FROM s{i}" for i in range(flow.rounds + 1))}) GROUP BY host)
 SELECT page_id, m.host, path, rule, coalesce(rv, CASE WHEN distrust * 100 > trust * {flow.ratio} THEN 'block' ELSE 'allow' END) AS verdict,
   coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust FROM m LEFT JOIN s USING (host)"""
 

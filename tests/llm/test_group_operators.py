@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -222,12 +223,32 @@ def test_propagation_equals_matrix_powers(spark):
     got = {r.host: (r.trust, r.distrust) for r in url_filters.propagate(spark.createDataFrame([(h, good[h], 1 - good[h]) for h in hosts], "host string, good int, bad int"), spark.createDataFrame(sorted(edges), "src string, dst string"), flow).collect()}
     outs = {h: sum(a == h for a, _ in edges) for h in hosts}
     ins = {h: sum(b == h for _, b in edges) for h in hosts}
-    start = {h: (good[h] * (flow.mass // 3), (1 - good[h]) * (flow.mass // 9)) for h in hosts}
-    now = start
-    for _ in range(flow.rounds):
-        trust = {h: start[h][0] * 15 // 100 + sum(now[a][0] * 85 // (100 * outs[a]) for a, b in edges if b == h) for h in hosts}
-        now = {h: (trust[h], start[h][1] * 15 // 100 + sum(now[b][1] * 85 // (100 * ins[b]) for a, b in edges if a == h)) for h in hosts}
-    assert got == now
+    new = {h: (good[h] * (flow.mass // 3 * 15 // 100), (1 - good[h]) * (flow.mass // 9 * 15 // 100)) for h in hosts}
+    total, rounds = dict(new), 0
+    while sum(map(sum, new.values())) > flow.settled:
+        trust = {h: sum(new[a][0] * 85 // (100 * outs[a]) for a, b in edges if b == h) for h in hosts}
+        new = {h: (trust[h], sum(new[b][1] * 85 // (100 * ins[b]) for a, b in edges if a == h)) for h in hosts}
+        total, rounds = {h: (total[h][0] + new[h][0], total[h][1] + new[h][1]) for h in hosts}, rounds + 1
+    whole = [sum(t[i] for t in total.values()) for i in (0, 1)]
+    assert got == {h: tuple(t[i] * flow.mass // whole[i] for i in (0, 1)) for h, t in total.items()}
+    assert rounds <= flow.rounds
+
+    # the stationary distribution of walks that start anew at the seeds, also from hosts without links
+    want = np.array([good[h] / 3 for h in hosts])
+    start = want
+    for _ in range(400):
+        flowed = np.array([sum(want[hosts.index(a)] / outs[a] for a, b in edges if b == h) for h in hosts])
+        loose = sum(want[i] for i, h in enumerate(hosts) if not outs[h])
+        want = 0.15 * start + 0.85 * (flowed + loose * start)
+    assert sum(abs(got[h][0] / flow.mass - want[i]) for i, h in enumerate(hosts)) < 0.02
+
+
+def test_an_unrelated_link_does_not_change_scores(spark):
+    seeds = spark.createDataFrame([("a", 1, 0), ("b", 0, 1), ("c", 0, 0), ("d", 0, 0)], "host string, good int, bad int")
+    flow = url_filters.Flow()
+    for edges in ([], [("c", "d")]):
+        got = {tuple(r) for r in url_filters.propagate(seeds, spark.createDataFrame(edges, "src string, dst string"), flow).collect()}
+        assert got == {("a", flow.mass, 0), ("b", 0, flow.mass)}
 
 
 # ---- chat formatting
@@ -287,6 +308,16 @@ def test_audit(spark):
     assert warc_fixity.audit(a.limit(0), a.limit(0)).count() == 0
 
 
+def test_audit_tells_null_from_minus_one_and_finds_offsets(spark):
+    rows = [(None, "u", "x"), (-1, "v", "y"), (4, "w", "é" * 10**6), (7, "w", "z"), (4097, "t", "")]
+    a = pages(spark, rows)
+    assert [(r.number, r.status) for r in warc_fixity.audit(a, pages(spark, rows[1:])).collect()] == [(None, "missing")]
+    assert [(r.number, r.status) for r in warc_fixity.audit(a, pages(spark, [(None, "u", "!")] + rows[1:])).collect()] == [(None, "changed")]
+    size = {r.number: r.n_bytes for r in warc_fixity.record_digests(a).collect()}
+    got = {r.number: (r.file, r.offset, r.offset_b, r.status) for r in warc_fixity.audit(a, pages(spark, rows[:2] + [(7, "w", "q"), (4097, "t", "s")])).collect()}
+    assert got == {4: (0, 0, None, "missing"), 7: (0, size[4], 0, "changed"), 4097: (1, 0, 0, "changed")}
+
+
 def test_repeated_records(spark):
     twice = pages(spark, [(1, "u", "x"), (1, "u", "y"), (2, "u", "z")])
     assert warc_fixity.audit(twice, pages(spark, [(1, "u", "y"), (2, "u", "z"), (1, "u", "x")])).count() == 0
