@@ -1,4 +1,5 @@
-"""Queries that fit models. Sums inside the fits depend on the partitions, so no SQL can match them."""
+"""The training set, and queries that fit models on it. Sums inside the fits depend on the partitions, so that
+SQL can match the training set only."""
 
 from __future__ import annotations
 
@@ -7,7 +8,9 @@ from pyspark.sql import functions as F
 
 from quakeloom.functions import geo
 from quakeloom.operators import clusters, features, mixture, models, sampling, targets
+from quakeloom.plans import catalog_queries, feature_queries
 from quakeloom.plans.cluster_queries import linked
+from quakeloom.plans.oracle import KEPT, LINKED, r6, sql
 from quakeloom.session import cut
 
 SIZE = models.Size(trees=20, depth=5, rounds=8)
@@ -45,7 +48,7 @@ def ensemble_scores(spark, sf_dir):
 
 def backtest_metrics(spark, sf_dir):
     parts = sampling.checked_split(cut(training_set(spark, sf_dir)))
-    return models.backtest(parts["train"], parts["validate"], ("forest", "logit"), SIZE)
+    return models.backtest(parts["train"], parts["validate"], size=SIZE)
 
 
 def calibration_study(spark, sf_dir):
@@ -70,4 +73,17 @@ QUERIES = {
     "calibration_study": calibration_study,
     "serve_event_json": serve_event_json,
 }
-ORACLE_SQL = {}
+#: The SQL of each part of the training set, by event.
+_PARTS = {
+    **{n: feature_queries.ORACLE_SQL[n] for n in ("parent_features", "global_activity", "traffic_ratio", "local_activity", "nearest_recent", "local_b_value", "forecast_targets")},
+    "time_parts": catalog_queries.ORACLE_SQL["time_parts"],
+    "physics": catalog_queries.ORACLE_SQL["advanced_features"],
+    "base": sql(KEPT, f"SELECT event_id, sort_time, {', '.join(f'{r6(c)} AS {c}' for c in ('magnitude', 'depth_km', 'latitude', 'longitude'))} FROM kept"),
+    "eta": sql(LINKED, f"SELECT event_id, {r6('pow(10e0, log10_eta)')} AS eta FROM linked"),
+}
+_RENAMED = {f"nearest_recent_event_{c}_past_30d": f"nearest_recent.{c}" for c in ("distance_km", "magnitude", "age_days")} | {"magnitude": "base.magnitude"}
+_COLUMNS = ["event_id", "sort_time", *features.names(), *targets.names()]
+ORACLE_SQL = {
+    "training_rows": f"SELECT {', '.join(f'{_RENAMED.get(c, c)} AS {c}' for c in _COLUMNS)} FROM ({_PARTS['base']}) base "
+    + " ".join(f"JOIN ({part}) {name} USING (event_id)" for name, part in _PARTS.items() if name != "base")
+}
