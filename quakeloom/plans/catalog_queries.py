@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from quakeloom.functions import geo
 from quakeloom.functions.dates import fractional_year, parse_origin_time
 from quakeloom.operators import diagnostics, features
 from quakeloom.plans.oracle import CATALOG, KEPT, P, r6, sql
-from quakeloom.session import cut
+from quakeloom.session import cut, shared_folder
 from quakeloom.sources import raw
 from quakeloom.sources.derived import catalog
 
@@ -52,6 +54,14 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(rows)  # as a file would, it keeps the making of the text out of its parsing
 
 
+def raw_files(spark, sf_dir):
+    """The raw rows, written as CSV files in row order and read from there."""
+    path = f"{shared_folder(spark).rstrip('/')}/raw-{uuid.uuid4().hex}"
+    rows = raw_rows(spark, sf_dir)
+    rows.repartitionByRange("row_no").sortWithinPartitions("row_no").drop("row_no").write.csv(path, header=True, quote='"', escape='"')
+    return raw.read_csv(spark, path)
+
+
 _VALID = "\"Date-Time\" <> 'bad-date' AND lat <> 'x' AND mag <> 'not-a-number'"
 
 
@@ -62,6 +72,20 @@ def catalog_normalized(spark, sf_dir):
     return raw.catalog(raw_rows(spark, sf_dir)).select("event_id", "sort_time", "latitude", "longitude", "depth_km", "magnitude")
 
 
+@_query(sql(RAW, f"""SELECT row_number() OVER (ORDER BY row_no) AS event_id, epoch_us(strptime("Date-Time", '%d %B %Y - %I:%M %p')) // 1000000 AS sort_time,
+  lat::DOUBLE AS latitude, lon::DOUBLE AS longitude, depth::DOUBLE AS depth_km, mag::DOUBLE AS magnitude FROM raw WHERE {_VALID}"""))
+def catalog_from_files(spark, sf_dir):
+    """The same from CSV files, whose rows are numbered across files and blocks."""
+    return raw.catalog(raw_files(spark, sf_dir)).select("event_id", "sort_time", "latitude", "longitude", "depth_km", "magnitude")
+
+
+@_query(sql(RAW, f"""SELECT epoch_us(strptime("Date-Time", '%d %B %Y - %I:%M %p')) // 1000000 AS sort_time, lat::DOUBLE AS latitude, lon::DOUBLE AS longitude, depth::DOUBLE AS depth_km,
+  mag::DOUBLE AS magnitude FROM raw WHERE {_VALID}"""))
+def catalog_serving(spark, sf_dir):
+    """The serving form of the files' complete rows."""
+    return raw.normalized(raw_files(spark, sf_dir))
+
+
 @_query(sql(RAW, f"""SELECT count(*) AS total_rows, count(*) FILTER ({_VALID}) AS valid_rows, count(*) FILTER ("Date-Time" = 'bad-date') AS invalid_datetime,
   count(*) FILTER (lat = 'x') AS invalid_latitude, 0::BIGINT AS invalid_longitude, 0::BIGINT AS invalid_depth, count(*) FILTER (mag = 'not-a-number') AS invalid_magnitude,
   0::BIGINT AS invalid_year FROM raw"""))

@@ -164,9 +164,9 @@ def feature_skew(spark, sf_dir):
     return features.skew(features.global_activity(k, P), features.global_activity_serving(k, k, P), _SKEW_FEATURES)
 
 
-@_query(sql(f"{KEPT}, bins AS (SELECT floor((magnitude + 1e-9) / 0.1e0)::BIGINT AS i, count(*) AS n FROM kept GROUP BY 1), ends AS (SELECT min(i) AS a, max(i) AS b FROM bins)",
-            f"""SELECT g.i AS bin, {r6("sum(n * exp(-0.5e0 * ((bins.i - g.i) / 1.2e0) * ((bins.i - g.i) / 1.2e0))) / (SELECT sum(exp(-0.5e0 * (k / 1.2e0) * (k / 1.2e0))) FROM range(-5, 6) r(k))")} AS smoothed
-  FROM (SELECT unnest(range(a, b + 1)) AS i FROM ends) g JOIN bins ON bins.i BETWEEN g.i - 5 AND g.i + 5 GROUP BY g.i"""))
+@_query(sql(f"""{KEPT}, bins AS (SELECT floor((magnitude + 1e-9) / 0.1e0)::BIGINT AS i, count(*) AS n FROM kept GROUP BY 1), ends AS (SELECT min(i) AS a, max(i) - min(i) + 1 AS bins FROM bins),
+spread AS (SELECT a, ends.bins AS l, ((i + k - a) % (2 * l) + 2 * l) % (2 * l) AS x, n * exp(-0.5e0 * (k / 1.2e0) * (k / 1.2e0)) AS w FROM bins, ends, range(-5, 6) r(k))""",
+            f"SELECT a + least(x, 2 * l - 1 - x) AS bin, {r6('sum(w) / (SELECT sum(exp(-0.5e0 * (k / 1.2e0) * (k / 1.2e0))) FROM range(-5, 6) r(k))')} AS smoothed FROM spread GROUP BY 1"))
 def smoothed_bins(spark, sf_dir):
-    """Magnitude bins under a Gaussian kernel; beyond the ends there is nothing."""
+    """Magnitude bins under a Gaussian kernel; counts beyond the ends are reflected."""
     return sampling.smoothed_histogram(kept(spark, sf_dir), "magnitude", 0.1)

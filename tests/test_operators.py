@@ -169,3 +169,15 @@ def test_models_are_loaded_as_they_were_saved(spark, tmp_path, family):
     assert len(models.importance(found, names)) == 4 and models.as_json(models.score(found, rows)).count() == 80
     empty = models.Model(family, made.prepare)
     assert models.score(empty, rows).where("p_any IS NULL").count() == 80 and models.score_table(models.score(empty, rows), family)[0].count() == 0
+
+
+def test_smoothing_reflects_at_the_ends(spark):
+    import numpy as np
+
+    kernel = np.exp(-0.5 * (np.arange(-5, 6) / 1.2) ** 2)
+    for counts in ([4, 0, 1, 7, 2, 9, 1, 1, 3], [5, 2], [6]):
+        rows = [(0.05 + i / 10,) for i, n in enumerate(counts) for _ in range(n)]
+        got = {r.bin: r.smoothed for r in sampling.smoothed_histogram(spark.createDataFrame(rows, "m double"), "m", 0.1).collect()}
+        want = np.convolve(np.pad(np.array(counts, float), 5, mode="symmetric"), kernel / kernel.sum(), mode="valid")
+        assert [got[i] for i in range(len(counts))] == pytest.approx(list(want), abs=1e-6)
+    assert sampling.smoothed_histogram(spark.createDataFrame([], "m double"), "m", 0.1).count() == 0
