@@ -3,16 +3,17 @@ functions only.
 
 Every line or sentence of a whole text that speaks of a licence is a header. Equal headers are scored
 once. Headers and templates are sparse vectors of token counts times inverse document frequency over
-all distinct headers and templates; the best template of cosine `threshold` or more names the header's
-license, and the best header names the file's. The texts of licence files are vectors as a whole too, of
+all distinct headers and templates, of which a license may have several; the best template of cosine
+`threshold` or more names the header's license unless another license is nearly as close (a line that
+leaves the version open names none), and the best header names the file's. The texts of licence files are vectors as a whole too, of
 token counts, and are compared with the characteristic paragraphs of full license texts; the share of a
 paragraph's weight that a text covers in the same proportions must reach `WHOLE_THRESHOLD`. A licence file (LICENSE, COPYING and the like) gives its
 license to its directory. A file without a license of its own takes that of its nearest ancestor
 directory, found by joining the directories' ancestors with the licensed ones.
 
-Defined results: null and empty texts have no header; a null path lies in the root directory; ties
-between templates go to the first name, between headers of a file to the higher cosine; repeated rows
-are each answered; columns other than doc_id, path and text are not read.
+Defined results: null and empty texts have no header; a null path lies in the root directory; a header
+between two licenses has none; between headers of a file the higher cosine counts, then the first name;
+repeated rows are each answered; columns other than doc_id, path and text are not read.
 """
 
 from __future__ import annotations
@@ -22,18 +23,37 @@ from pyspark.sql import functions as F
 
 from quakeloom.session import cut, table
 
-#: The usual sentences by which texts state these licenses.
-TEMPLATES = (
+#: The usual sentences and titles by which texts state these licenses.
+STATEMENTS = (
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("Apache-1.1", "Licensed under the Apache Software License, Version 1.1."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "Licensed under GPL version 2 only."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "Licensed under GPL version 3 only."),
+    ("ISC", "Released under the ISC License."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
+    ("MIT", "The MIT License (MIT)"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("MPL-2.0", "This work is subject to the terms of the Mozilla Public License, version 2.0."),
 )
+#: Licenses whose machine-readable identifier also says "only" or "or later".
+VERSIONED = ("AGPL-3.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0")
+_NAMES = sorted({name for name, _ in STATEMENTS})
+_IDENTIFIERS = [(n, n) for n in _NAMES] + [(n, n + end) for n in VERSIONED for end in ("-only", "-or-later")]
+TEMPLATES = STATEMENTS + tuple((name, f"SPDX-License-Identifier: {i}") for name, i in _IDENTIFIERS)
 THRESHOLD = 0.7
+#: Largest distance (1 - cosine) to a header's license, as a share of the distance to the next one.
+CLEAR = 0.6
 #: Characteristic paragraphs of the full texts, for licence files without a title line.
 FULL_TEXTS = (
     ("Apache-2.0", """Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form."""),
@@ -64,22 +84,24 @@ def headers(files: DataFrame) -> DataFrame:
 def scored(distinct: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """header, license and cosine of the distinct headers that are like a template."""
     spark = distinct.sparkSession
-    given = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(n).alias("license"), F.lit(t).alias("header")) for n, t in templates))).alias("x")).select("x.*")
+    given = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(n).alias("license"), F.lit(t).alias("template"), F.lit(t).alias("header")) for n, t in templates))).alias("x")).select("x.*")
     count = lambda df, *keys: df.select(*keys, F.explode(_tokens(F.col("header"))).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("tf"))
-    ours, theirs = count(distinct, "header"), count(given, "license")
+    ours, theirs = count(distinct, "header"), count(given, "license", "template")
     each = ours.select("token").unionByName(theirs.select("token"))
     frequency = each.groupBy("token").agg(F.count("*").alias("df"))
     idf = frequency.select("token", (F.log(F.lit(distinct.count() + len(templates)) / F.col("df")) + 1).alias("idf"))
-    weigh = lambda df, key: df.join(idf, "token").select(key, "token", (F.col("tf") * F.col("idf")).alias("w"))
-    a, b = weigh(ours, "header"), weigh(theirs, "license")
+    weigh = lambda df, *keys: df.join(idf, "token").select(*keys, "token", (F.col("tf") * F.col("idf")).alias("w"))
+    a, b = weigh(ours, "header"), weigh(theirs, "license", "template")
     norms = a.groupBy("header").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    lengths = b.groupBy("license").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    lengths = b.groupBy("license", "template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     # templates are few and fixed: all their tokens fit every task
-    dots = a.join(F.broadcast(b.withColumnRenamed("w", "v")), "token").groupBy("header", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    dots = a.join(F.broadcast(b.withColumnRenamed("w", "v")), "token").groupBy("header", "license", "template").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
     cosine = F.floor(F.col("dot") / (F.col("norm") * F.col("length")) * 1e6 + 0.5) / 1e6
-    near = dots.join(norms, "header").join(F.broadcast(lengths), "license").select("header", "license", cosine.alias("cosine")).where(F.col("cosine") >= threshold)
-    best = F.min(F.struct((-F.col("cosine")).alias("farness"), "license"))
-    return near.groupBy("header").agg(best.alias("x")).select("header", F.col("x.license").alias("license"), (-F.col("x.farness")).alias("cosine"))
+    near = dots.join(norms, "header").join(F.broadcast(lengths), ["license", "template"]).groupBy("header", "license").agg(F.max(cosine).alias("cosine"))
+    ranked = F.sort_array(F.collect_list(F.struct("cosine", "license")), asc=False)  # one entry a license
+    best, rest = F.col("ranked")[0], F.try_element_at("ranked", F.lit(2))["cosine"]
+    clear = (best["cosine"] >= threshold) & (1.0 - best["cosine"] <= CLEAR * (1.0 - F.coalesce(rest, F.lit(0.0))))
+    return near.groupBy("header").agg(ranked.alias("ranked")).where(clear).select("header", best["license"].alias("license"), best["cosine"].alias("cosine"))
 
 
 def whole_files(files: DataFrame, texts=FULL_TEXTS, threshold: float = WHOLE_THRESHOLD) -> DataFrame:
@@ -151,19 +173,21 @@ _VALUES = ", ".join("('{}', '{}')".format(n, t) for n, t in TEMPLATES)
 ORACLE = rf"""
 WITH f AS MATERIALIZED (SELECT doc_id, text, concat_ws('/', coalesce(source, 'none'), doc_id // 1000, doc_id // 100) AS dir,
   concat_ws('/', coalesce(source, 'none'), doc_id // 1000, doc_id // 100, CASE WHEN doc_id % 50 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END) AS path FROM documents),
-tpl(license, header) AS (VALUES {_VALUES}),
+tpl(license, template) AS (VALUES {_VALUES}),
 l AS (SELECT DISTINCT doc_id, unnest(string_split_regex(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(10), 'g'), '\n')) AS header FROM f WHERE regexp_matches(text, '{HEADER}')),
 h AS MATERIALIZED (SELECT * FROM l WHERE regexp_matches(header, '{HEADER}')),
 dh AS MATERIALIZED (SELECT DISTINCT header FROM h),
 ot AS MATERIALIZED (SELECT header, token, count(*) AS tf FROM (SELECT header, unnest(regexp_extract_all(lower(header), '{TOKEN}')) AS token FROM dh) GROUP BY ALL),
-tt AS MATERIALIZED (SELECT license, token, count(*) AS tf FROM (SELECT license, unnest(regexp_extract_all(lower(header), '{TOKEN}')) AS token FROM tpl) GROUP BY ALL),
+tt AS MATERIALIZED (SELECT license, template, token, count(*) AS tf FROM (SELECT license, template, unnest(regexp_extract_all(lower(template), '{TOKEN}')) AS token FROM tpl) GROUP BY ALL),
 idf AS MATERIALIZED (SELECT token, ln((SELECT count(*) + {len(TEMPLATES)} FROM dh) / count(*)) + 1 AS idf FROM (SELECT token FROM ot UNION ALL SELECT token FROM tt) GROUP BY token),
 a AS MATERIALIZED (SELECT header, token, tf * idf AS w FROM ot JOIN idf USING (token)),
-b AS MATERIALIZED (SELECT license, token, tf * idf AS w FROM tt JOIN idf USING (token)),
-c AS (SELECT header, license, floor(sum(a.w * b.w) / (any_value(na.n) * any_value(nb.n)) * 1e6 + 0.5) / 1e6 AS cosine
+b AS MATERIALIZED (SELECT license, template, token, tf * idf AS w FROM tt JOIN idf USING (token)),
+c AS (SELECT header, license, template, floor(sum(a.w * b.w) / (any_value(na.n) * any_value(nb.n)) * 1e6 + 0.5) / 1e6 AS cosine
   FROM a JOIN b USING (token) JOIN (SELECT header, sqrt(sum(w * w)) AS n FROM a GROUP BY 1) na USING (header)
-  JOIN (SELECT license, sqrt(sum(w * w)) AS n FROM b GROUP BY 1) nb USING (license) GROUP BY header, license),
-best AS (SELECT header, license, cosine FROM c WHERE cosine >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY header ORDER BY cosine DESC, license) = 1),
+  JOIN (SELECT license, template, sqrt(sum(w * w)) AS n FROM b GROUP BY 1, 2) nb USING (license, template) GROUP BY header, license, template),
+ranked AS (SELECT header, license, max(cosine) AS cosine FROM c GROUP BY 1, 2),
+best AS (SELECT header, license, cosine FROM (SELECT *, row_number() OVER o AS place, lead(cosine) OVER o AS rest FROM ranked WINDOW o AS (PARTITION BY header ORDER BY cosine DESC, license DESC))
+  WHERE place = 1 AND cosine >= {THRESHOLD} AND 1e0 - cosine <= {CLEAR}::DOUBLE * (1e0 - coalesce(rest, 0e0))),
 own AS MATERIALIZED (SELECT doc_id, license, cosine FROM h JOIN best USING (header) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) = 1),
 lic AS (SELECT dir AS ancestor, license FROM own JOIN f USING (doc_id) WHERE doc_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, license) = 1),
 near AS (SELECT dir, max_by(license, length(ancestor)) AS given FROM (SELECT DISTINCT dir FROM f) JOIN lic ON starts_with(dir || '/', ancestor || '/') GROUP BY dir)

@@ -43,3 +43,29 @@ def test_full_texts_license_their_directory(spark):
     for n, name in enumerate(["MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause"]):
         expected |= {10 * n: (name, "text"), 10 * n + 1: (name, "inherited")}
     assert got == expected
+
+
+def test_lines_of_real_files(spark):
+    lines = {
+        "// SPDX-License-Identifier: MIT": "MIT",
+        "# SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+        "/* SPDX-License-Identifier: GPL-2.0-only */": "GPL-2.0",
+        "SPDX-License-Identifier: LGPL-3.0-or-later": "LGPL-3.0",
+        "SPDX-License-Identifier: LicenseRef-Own": None,
+        "The MIT License (MIT)": "MIT",
+        "MIT License": "MIT",
+        "BSD 2-Clause License": "BSD-2-Clause",
+        "BSD 3-Clause License": "BSD-3-Clause",
+        "ISC License": "ISC",
+        'Licensed under the Apache License, Version 2.0 (the "License");': "Apache-2.0",
+        "Licensed under the Apache Software License, Version 1.1": "Apache-1.1",
+        "Licensed under GPL version 2 only": "GPL-2.0",
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+        "This work is licensed under the GNU General Public License.": None,
+        "GNU GENERAL PUBLIC LICENSE": None,
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "MPL-2.0",
+        "my driving licence": None,
+    }
+    rows = [(n, f"d{n}/x.c", line) for n, line in enumerate(lines)]
+    got = {r.doc_id: r.license for r in license_scans.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert {line: got[n] for n, line in enumerate(lines)} == lines
