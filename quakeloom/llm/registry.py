@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quakeloom.llm import chat_format, decontamination, license_scans, packing, periodic_runs, quality_classifier, quality_rules, secret_scans, simhash, suffix_dedup, url_filters, warc_fixity
+from quakeloom.llm import chat_format, dataset_manifest, decontamination, license_scans, packing, periodic_runs, quality_classifier, quality_rules, secret_scans, simhash, suffix_dedup, url_filters, warc_fixity
 
-MODULES = (url_filters, suffix_dedup, decontamination, secret_scans, quality_rules, chat_format, packing, warc_fixity, license_scans, simhash, quality_classifier, periodic_runs)
+MODULES = (url_filters, suffix_dedup, decontamination, secret_scans, quality_rules, chat_format, packing, warc_fixity, license_scans, simhash, dataset_manifest, quality_classifier, periodic_runs)
 
 
 def queries() -> dict:
