@@ -1,10 +1,19 @@
 """Nearest-neighbour parents: of all earlier events, the one with the least eta.
 
-The join of every event with all earlier ones is pruned exactly. A first bound of each event's eta comes
-from the few largest events, which are compared with all, and from the last events of the same cell. A
-smaller event can only be the parent if it is nearer than `near_km`, or else so recent that the bound
-allows for it at that distance. So the rest is found by two joins on equal keys: cells of space, and
-buckets of time. `near_km` is chosen so that both joins together make the fewest pairs.
+The join of every event with all earlier ones is pruned exactly, by branch and bound over a pyramid of
+space-time cells:
+
+* The few largest events are compared with all, and the last events of the same cell: the first bound of each event's eta.
+* The rest is split into strata of magnitude. A bound and a stratum's largest magnitude give the event's reach: how
+  long ago, at each distance, a parent of the stratum may lie.
+* Space is cut into rings around the event, each four times as wide as the one before. In the innermost, whose width
+  follows from how dense the stratum is, or from the reach if that goes back to the start, the whole past is looked through.
+  In each ring further out a parent must be more recent than the reach at the ring's inner edge, so that rings
+  look back the less the wider they are. The last one, beyond all others, has no outer edge.
+* Each ring of each event asks the level of the pyramid whose cells are twice as wide as the ring and somewhat longer than it looks back.
+
+All that is one join on equal keys (level, cell, time bucket). For events that fill the same region and span more densely,
+bounds fall as their number grows, so that a ring finds about as many candidates as before.
 """
 
 from __future__ import annotations
@@ -17,12 +26,20 @@ from quakeloom.params import DEFAULT, EARTH_KM, YEAR_SECONDS, Params
 from quakeloom.session import cut
 
 #: Events that are compared with all others: a fixed number of small rows, sent to all tasks.
-LARGEST = 512
-#: Events of the same cell that give a first bound.
-LAST = 8
-NEAR_KM = (4, 8, 16, 32, 64, 128, 256)
+LARGEST = 256
+#: How many times as many events each further stratum reaches down to, and the least step of magnitude between two.
+STRATA_GROWTH, STRATA_STEP = 16, 0.3
+#: Events of the same cell, of one of TIME_PARTS equal parts of the span, that give a first bound.
+LAST, TIME_PARTS = 8, 64
+#: Outer edges of the rings; the last ring has none.
+RINGS_KM = tuple(4.0**k for k in range(-4, 5))
+#: Mean number of a stratum's events in the cell around an event, up to which the innermost ring may be as wide.
+FEW = 32
+#: Each time level has buckets so many times as long as the one before.
+TIME_GROWTH = 16
 #: More than any rounding of a bound, in log10 units.
 SLACK = 1e-9
+_PAIR = ("event_id", "t", "mag", "lat", "lon", "cos")
 
 
 def _eta(p: Params) -> Column:
@@ -33,103 +50,202 @@ def _eta(p: Params) -> Column:
     return geo.log10_eta(F.col("t") - F.col("p_t"), km, F.col("p_mag"), p)
 
 
-def _cell(km: float | Column) -> Column:
-    """Cube of this width on the sphere that holds the event: cells of space without poles or seams."""
-    radius = EARTH_KM / km
-    return F.struct(*(F.floor(F.col(c) * radius).alias(c) for c in ("x", "y", "z")))
-
-
-def _around(km: float) -> Column:
-    """The 27 cubes around the event: all places within `km` in a straight line, so on the ground too."""
-    radius = EARTH_KM / km
-    steps = F.array(*(F.lit(i) for i in (-1, 0, 1)))
-    shifted = lambda c: F.transform(steps, lambda i: F.floor(F.col(c) * radius) + i)
-    rows = F.transform(shifted("x"), lambda x: F.transform(shifted("y"), lambda y: F.transform(shifted("z"), lambda z: F.struct(x.alias("x"), y.alias("y"), z.alias("z")))))
-    return F.explode(F.flatten(F.flatten(rows)))
-
-
-def parents(catalog: DataFrame, p: Params = DEFAULT, history: DataFrame | None = None) -> DataFrame:
-    """event_id and parent_id of every event with an earlier event (of `history`, if given) at another place."""
+def _prepared(df: DataFrame) -> DataFrame:
     lat, lon = F.radians("latitude"), F.radians("longitude")
-    prepared = lambda df: df.select(
+    return df.select(
         "event_id", F.col("sort_time").alias("t"), F.col("magnitude").alias("mag"), lat.alias("lat"), lon.alias("lon"), F.cos(lat).alias("cos"),
         (F.cos(lat) * F.cos(lon)).alias("x"), (F.cos(lat) * F.sin(lon)).alias("y"), F.sin(lat).alias("z"),
     )
-    events = cut(prepared(catalog))
-    past = events if history is None else cut(prepared(history))
-    pair_columns = ["event_id", "t", "mag", "lat", "lon", "cos"]
-    as_parent = lambda df, *more: df.select(*(F.col(c).alias(f"p_{c}") for c in pair_columns), *more)
-    earlier = F.col("p_t") < F.col("t")
 
+
+def _as_parent(df: DataFrame, *more: Column) -> DataFrame:
+    return df.select(*(F.col(c).alias(f"p_{c}") for c in _PAIR), *more)
+
+
+def _key(*parts: Column) -> Column:
+    """One number for a cell. Cells that share a number by chance only add pairs."""
+    return F.xxhash64(*(p.cast("long") for p in parts))
+
+
+def _cube(width: Column | float) -> list[Column]:
+    """The cube of this width, in Earth radii, that holds the event: cells of space on the sphere, without poles or seams."""
+    return [F.floor(F.col(c) / width) for c in ("x", "y", "z")]
+
+
+def _above(cutoffs: list[float | None], value: Column) -> list[Column]:
+    """Per cutoff `value` where the parent's magnitude reaches it, else null."""
+    return [value if m is None else F.when(F.col("p_mag") >= m, value) for m in cutoffs]
+
+
+def _strata(past: DataFrame, below: float, cutoffs: list[float | None]) -> list[tuple[float, float, int]]:
+    """Least and largest magnitude of each stratum below the largest events, and which cutoff all its events are above."""
+    n, edges = past.count(), []
+    ranks = [LARGEST * STRATA_GROWTH**k for k in range(1, 20) if 4 * LARGEST * STRATA_GROWTH**k < n]
+    found = past.agg(F.percentile_approx("mag", [1 - r / n for r in ranks], 10_000)).first()[0] if ranks else []
+    asked = [m for m in cutoffs if m is not None and m < below]
+    for edge in sorted({*found, *asked}, reverse=True):
+        if edge in asked or (edges or [below])[-1] - edge >= STRATA_STEP:
+            edges.append(edge)
+    lows, highs = [*edges, float("-inf")], [below, *edges]
+    of = lambda low: max([i for i, m in enumerate(cutoffs) if m is None or m <= low], default=-1)
+    return [(low, high, of(low)) for low, high in zip(lows, highs) if of(low) >= 0]
+
+
+def _innermost(past: DataFrame, n_strata: int) -> list[int]:
+    """Per stratum the widest ring whose surroundings hold few of its events, on the mean over these events: a row per stratum and ring."""
+    levels = F.explode(F.array(*(F.struct(F.lit(j).alias("j"), _key(F.col("s"), F.lit(j), *_cube(2 * km / EARTH_KM)).alias("cell")) for j, km in enumerate(RINGS_KM))))
+    counts = past.select("s", levels.alias("c")).groupBy("s", "c.j", "c.cell").agg(F.count("*").cast("double").alias("n"))
+    means = {(r.s, r.j): r.mean for r in counts.groupBy("s", "j").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("mean")).collect()}
+    return [max([j for j in range(len(RINGS_KM)) if means.get((s, j), 0) <= FEW], default=0) for s in range(n_strata)]
+
+
+def _rings(bounded: DataFrame, inner: list[int], strata: list[tuple[float, float, int]], start: int, cutoffs: list[float | None], p: Params) -> DataFrame:
+    """A row for each event, stratum (s) and ring (j): how far to look back, the bound (eta_limit), and the length of time buckets."""
+    # an event only needs the cutoffs up to its own magnitude
+    own = sum((F.lit(1) if m is None else F.when(F.col("mag") >= m, 1).otherwise(0) for m in cutoffs), F.lit(0))
+    bounds = F.array(*(F.coalesce(f"bound{i}", F.lit(float("inf"))) for i in range(len(cutoffs))))
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("s"), F.lit(high).alias("high"), F.lit(c + 1).alias("c"), F.lit(j).alias("first")) for s, ((_, high, c), j) in enumerate(zip(strata, inner)))))
+    asks = bounded.withColumns({"own": own, "bounds": bounds, "stratum": each}).where("own > 0").select(*_PAIR, "x", "y", "z", "own", "bounds", "stratum.*")
+    asks = asks.withColumn("eta_limit", F.element_at("bounds", F.least("own", "c")) + SLACK).withColumn("whole", (F.col("t") - start).cast("double"))
+    asks = asks.withColumn("reach", F.pow(F.lit(10.0), F.col("eta_limit") + p.b * F.col("high")) * YEAR_SECONDS)
+    asks = asks.withColumn("j", F.explode(F.sequence("first", F.lit(len(RINGS_KM)))))
+    # rings that look back to the start are one with those inside them
+    powers = F.array(*(F.lit(km**p.d_f) for km in (RINGS_KM[0], *RINGS_KM, RINGS_KM[-1])))
+    back = lambda j: F.least(F.col("reach") / F.element_at(powers, j + 1), F.col("whole"))
+    inside = (F.col("j") < len(RINGS_KM)) & (back(F.col("j") + 1) >= F.col("whole"))
+    look = F.when(F.col("j") == F.col("first"), F.col("whole")).otherwise(back(F.col("j")))
+    rings = asks.where(~inside & (look >= 1)).select(*_PAIR, "x", "y", "z", "s", "j", F.ceil(look).alias("back"), "eta_limit")
+    level = F.ceil(F.log(F.col("back").cast("double")) / F.log(F.lit(float(TIME_GROWTH))) - SLACK)
+    return cut(rings.withColumn("length", F.pow(F.lit(float(TIME_GROWTH)), level).cast("long")))
+
+
+def _width() -> Column:
+    """Of a ring's cells, in Earth radii: twice the ring's."""
+    return F.element_at(F.array(*(F.lit(2 * km / EARTH_KM) for km in (*RINGS_KM, 1e6))), F.col("j") + 1)
+
+
+def _pairs(rings: DataFrame, past: DataFrame) -> DataFrame:
+    """Events with the earlier ones in the cells that their rings ask for."""
+    last = F.col("j") == len(RINGS_KM)
+    # the ball around the event reaches into two cells an axis at most, and into two time buckets
+    radius = F.col("width") / 2 * (1 + SLACK)
+    edges = {f"{c}{i}": F.when(last, 0).otherwise(F.floor((F.col(c) + sign * radius) / F.col("width"))).cast("long") for c in "xyz" for i, sign in ((0, -1), (1, 1))}
+    edges |= {"b0": F.floor((F.col("t") - F.col("back")) / F.col("length")), "b1": F.floor(F.col("t") / F.col("length"))}
+    placed = rings.withColumn("width", _width()).withColumns(edges)
+    keys = []
+    for corner in range(16):
+        at = [F.col(f"{c}{corner >> i & 1}") for i, c in enumerate("xyzb")]
+        new = [F.col(f"{c}1") > F.col(f"{c}0") for i, c in enumerate("xyzb") if corner >> i & 1]
+        square = sum(((a + 0.5) * (a + 0.5) for a in at[:3]), F.lit(0.0))
+        # half a cube's diagonal is 0.87 of its width; cubes further off the sphere are empty
+        on = last | (F.abs(F.sqrt(square) * F.col("width") - 1.0) <= F.col("width") * 0.9)
+        for more in new:
+            on = on & more
+        keys.append(F.when(on, _key(F.col("s"), F.col("j"), F.col("length"), *at)))
+    asks = placed.select(*_PAIR, "eta_limit", F.explode(F.array(*keys)).alias("key")).where("key IS NOT NULL")
+    used = F.broadcast(rings.select("s", "j", "length").distinct())  # strata x rings x time levels at most
+    mine = [F.when(last, 0).otherwise(c).cast("long") for c in _cube(F.col("width"))]
+    offers = _as_parent(past.join(used, "s").withColumn("width", _width()), _key(F.col("s"), F.col("j"), F.col("length"), *mine, F.floor(F.col("t") / F.col("length"))).alias("key"))
+    return asks.join(offers, "key").where(F.col("p_t") < F.col("t"))
+
+
+def _search(catalog: DataFrame, cutoffs: list[float | None], p: Params, history: DataFrame | None = None) -> list[DataFrame]:
+    """Pairs of which one is each event's best, with eta_limit, a bound of the eta that can be best: those with the largest events, then, if there are more, all others."""
+    events = cut(_prepared(catalog))
+    past = events if history is None else cut(_prepared(history))
+    earlier = F.col("p_t") < F.col("t")
     large = cut(past.orderBy(F.desc("mag"), "t", "event_id").limit(LARGEST))
     every = events if history is None else events.unionByName(past)
     start, end = every.agg(F.min("t"), F.max("t")).first()
-    if start is None or large.isEmpty():
-        return events.select("event_id", F.col("event_id").alias("parent_id")).limit(0)
-    rest_below = large.agg(F.min("mag")).first()[0]  # no other event is larger
-    with_large = events.join(F.broadcast(as_parent(large)), earlier).withColumn("eta", _eta(p))
-    first = with_large.groupBy("event_id").agg(F.min("eta").alias("eta"))
+    below = large.agg(F.min("mag")).first()[0]  # no other event is larger
+    with_large = lambda of: of.join(F.broadcast(_as_parent(large)), earlier)
+    least = lambda pairs: pairs.withColumn("eta", _eta(p)).groupBy("event_id").agg(*(F.min(c).alias(f"bound{i}") for i, c in enumerate(_above(cutoffs, F.col("eta")))))
+    if start is None or below is None:
+        return [with_large(events).withColumn("eta_limit", F.lit(float("inf")))]
 
     before = Window.partitionBy("cell").orderBy("t", "event_id").rowsBetween(-LAST, -1)
-    mine = F.struct(*(F.col(c).alias(f"p_{c}") for c in pair_columns))
+    mine = F.struct(*(F.col(c).alias(f"p_{c}") for c in _PAIR))
     mixed = events.withColumns({"asks": F.lit(True), "gives": F.lit(history is None)})
     if history is not None:
         mixed = mixed.unionByName(past.withColumns({"asks": F.lit(False), "gives": F.lit(True)}))
-    recent = mixed.withColumn("cell", _cell(16.0)).withColumn("last", F.collect_list(F.when(F.col("gives"), mine)).over(before)).where("asks").withColumn("p", F.explode("last")).select(*pair_columns, "p.*").where(earlier)
-    second = recent.withColumn("eta", _eta(p)).groupBy("event_id").agg(F.min("eta").alias("eta"))
-
-    bounds = first.unionByName(second).groupBy("event_id").agg(F.min("eta").alias("bound"))
-    # how far back a parent may lie that is no larger than the rest, at each distance: years times km ** d_f
-    reach = F.pow(F.lit(10.0), F.col("bound") + SLACK + p.b * rest_below)
-    bounded = cut(events.join(bounds, "event_id", "left").withColumn("reach", reach))
-    near_km, bucket = _plan(bounded, start, end, p)
-
-    under = _eta(p) <= F.coalesce(F.col("bound") + SLACK, F.lit(float("inf")))
-    found = lambda pairs: pairs.where(under).withColumn("eta", _eta(p)).groupBy("event_id").agg(F.min(F.struct("eta", "p_t", "p_event_id")).alias("b"))
-    keep = [*pair_columns, "bound"]
-    by_size = bounded.select(keep).join(F.broadcast(as_parent(large)), earlier)
-    by_place = bounded.select(*keep, _around(near_km).alias("cell")).join(as_parent(past, _cell(near_km).alias("cell")), "cell").where(earlier)
-    back = _back(near_km, start, p)
-    buckets = F.explode(F.sequence(F.floor((F.col("t") - back) / bucket), F.floor(F.col("t") / bucket)))
-    by_time = bounded.select(*keep, buckets.alias("bucket")).join(as_parent(past, F.floor(F.col("t") / bucket).alias("bucket")), "bucket").where(earlier)
-    best = found(by_size).unionByName(found(by_place)).unionByName(found(by_time)).groupBy("event_id").agg(F.min("b").alias("b"))
-    return best.select("event_id", F.col("b.p_event_id").alias("parent_id"))
-
-
-def _back(near_km: float, start: int, p: Params) -> Column:
-    """Seconds that a parent beyond near_km can lie back; without a bound, all that there is."""
-    whole = F.col("t") - start
-    return F.coalesce(F.least(F.ceil(F.col("reach") / near_km**p.d_f * YEAR_SECONDS), whole), whole)
-
-
-def _plan(bounded: DataFrame, start: int, end: int, p: Params) -> tuple[float, int]:
-    """near_km and the width of time buckets that make the fewest pairs, from counts per cell."""
-    sizes = F.explode(F.array(*(F.lit(float(k)) for k in NEAR_KM))).alias("km")
-    cells = bounded.select("x", "y", "z", sizes).groupBy("km", _cell(F.col("km")).alias("cell")).agg(F.count("*").cast("double").alias("n"))
-    space = {r.km: r.pairs * 13.5 / 3 for r in cells.groupBy("km").agg(F.sum(F.col("n") * F.col("n")).alias("pairs")).collect()}  # a row per km; the earth's surface meets a third of the cubes
-    means = bounded.agg(F.count("*").alias("n"), *(F.avg(_back(k, start, p)).alias(f"m{k}") for k in NEAR_KM)).first()
-    span = max(1, end - start)
-    cost = {k: space[float(k)] + means.n * means.n * min(1.0, 2.0 * means[f"m{k}"] / span) for k in NEAR_KM}
-    best = min(cost, key=cost.get)
-    return float(best), max(1, int(means[f"m{best}"]))
+    part = F.floor(F.col("t") / max(1, (end - start) // TIME_PARTS))
+    last = mixed.withColumn("cell", _key(part, *_cube(16.0 / EARTH_KM))).withColumn("last", F.collect_list(F.when(F.col("gives"), mine)).over(before)).where("asks")
+    recent = last.withColumn("p", F.explode("last")).select(*_PAIR, "p.*").where(earlier)
+    names = [f"bound{i}" for i in range(len(cutoffs))]
+    bounds = least(with_large(events)).unionByName(least(recent)).groupBy("event_id").agg(*(F.min(c).alias(c) for c in names))
+    bounded = cut(events.join(bounds, "event_id", "left"))
+    known_bounds = [F.coalesce(c, F.lit(float("inf"))) for c in names]
+    loosest = (F.greatest(*known_bounds) if len(names) > 1 else known_bounds[0]) + SLACK
+    known = with_large(bounded.select(*_PAIR, loosest.alias("eta_limit")))
 
+    strata = _strata(past, below, cutoffs)
+    if not strata:
+        return [known]
+    stratum = F.coalesce(*(F.when((F.col("mag") >= low) & (F.col("mag") <= high), F.lit(s)) for s, (low, high, _) in enumerate(strata)))
+    placed = cut(past.withColumn("s", stratum).where("s IS NOT NULL"))
+    return [known, _pairs(_rings(bounded, _innermost(placed, len(strata)), strata, start, cutoffs, p), placed)]
 
-def with_parents(catalog: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Events of magnitude m_c or more with parent_id, gap_seconds, distance_km, parent_magnitude,
-    parent_depth_km, log10_eta, is_strong. All null (and not strong) without an earlier event."""
-    kept = catalog.where(F.col("magnitude") >= p.m_c)
-    linked = kept.join(parents(kept, p), "event_id", "left")
+
+def _found(catalog: DataFrame, cutoffs: list[float | None], p: Params, history: DataFrame | None = None) -> DataFrame:
+    """b0, b1, ... of each event: eta, p_t and p_event_id of the least eta among parents of each cutoff's magnitude or more."""
+    own = F.struct("eta", "p_t", "p_event_id")
+    every = None
+    for pairs in _search(catalog, cutoffs, p, history):
+        better = pairs.withColumn("eta", _eta(p)).where(F.col("eta") <= F.col("eta_limit")).select("event_id", "p_mag", "eta", "p_t", "p_event_id")
+        every = better if every is None else every.unionByName(better)
+    return every.groupBy("event_id").agg(*(F.min(c).alias(f"b{i}") for i, c in enumerate(_above(cutoffs, own))))
+
+
+def parents(catalog: DataFrame, p: Params = DEFAULT, history: DataFrame | None = None) -> DataFrame:
+    """event_id and parent_id of every event with an earlier event (of `history`, if given) at another place."""
+    return _found(catalog, [None], p, history).select("event_id", F.col("b0.p_event_id").alias("parent_id"))
+
+
+def parents_by_cutoff(catalog: DataFrame, cutoffs: list[float], p: Params = DEFAULT) -> DataFrame:
+    """m_c, event_id, parent_id and log10_eta of each event of magnitude m_c or more among those events, for all cutoffs
+    from one join. Per event, the least eta among parents above each cutoff is a staircase, of which a cutoff reads one step;
+    without an earlier event parent_id and log10_eta are null."""
+    steps = sorted(set(cutoffs))
+    kept = catalog.where(F.col("magnitude") >= steps[0])
+    found = _found(kept, list(steps), p)
+    each = F.explode(F.array(*(F.struct(F.lit(float(m)).alias("m_c"), F.col(f"b{i}").alias("b")) for i, m in enumerate(steps)))).alias("r")
+    rows = kept.select("event_id", "magnitude").join(found, "event_id", "left").select("event_id", "magnitude", each).where(F.col("magnitude") >= F.col("r.m_c"))
+    return rows.select("r.m_c", "event_id", F.col("r.b.p_event_id").alias("parent_id"), F.col("r.b.eta").alias("log10_eta"))
+
+
+def candidate_pairs(catalog: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """The pairs that `parents` compares beyond those with the largest and the last events, to count them."""
+    found = _search(catalog, [None], p)
+    return found[-1].select("event_id", "p_event_id").limit(0 if len(found) == 1 else 2**31 - 1)
+
+
+def _attributes(kept: DataFrame, links: DataFrame, p: Params, *more: str) -> DataFrame:
+    """Events of `kept` with what their parents say. links: event_id, parent_id and the columns in `more` of each event that is asked for."""
     of = kept.select(F.col("event_id").alias("parent_id"), *(F.col(c).alias(f"p_{c}") for c in ("sort_time", "latitude", "longitude", "depth_km", "magnitude")))
     seconds = F.col("sort_time") - F.col("p_sort_time")
     km = geo.haversine_km(F.col("latitude"), F.col("longitude"), F.col("p_latitude"), F.col("p_longitude"))
     eta = geo.log10_eta(F.col("gap_seconds"), F.col("distance_km"), F.col("parent_magnitude"), p)
-    out = linked.join(of, "parent_id", "left").select(
-        *kept.columns, "parent_id", seconds.alias("gap_seconds"), km.alias("distance_km"), F.col("p_magnitude").alias("parent_magnitude"), F.col("p_depth_km").alias("parent_depth_km")
+    out = links.join(of, "parent_id", "left").select(
+        *more, *kept.columns, "parent_id", seconds.alias("gap_seconds"), km.alias("distance_km"), F.col("p_magnitude").alias("parent_magnitude"), F.col("p_depth_km").alias("parent_depth_km")
     )
     out = out.withColumn("log10_eta", eta)
     return out.withColumn("is_strong", F.coalesce(F.col("log10_eta") < p.log10_eta0, F.lit(False)))
 
 
+def with_parents(catalog: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Events of magnitude m_c or more with parent_id, gap_seconds, distance_km, parent_magnitude,
+    parent_depth_km, log10_eta, is_strong. All null (and not strong) without an earlier event."""
+    kept = catalog.where(F.col("magnitude") >= p.m_c)
+    return _attributes(kept, kept.join(parents(kept, p), "event_id", "left"), p)
+
+
+def with_parents_by_cutoff(catalog: DataFrame, cutoffs: list[float], p: Params = DEFAULT) -> DataFrame:
+    """What `with_parents` says for each m_c of `cutoffs`, keyed by m_c and event_id, from one search."""
+    kept = catalog.where(F.col("magnitude") >= min(cutoffs))
+    found = parents_by_cutoff(kept, cutoffs, p).drop("log10_eta")
+    return _attributes(kept, found.join(kept, "event_id"), p, "m_c")
+
+
 def parents_of_queries(queries: DataFrame, history: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Serving form: event_id and parent_id of query events among the strictly earlier history."""
     return parents(queries, p, history.where(F.col("magnitude") >= p.m_c))

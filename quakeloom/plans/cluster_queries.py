@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quakeloom.functions import geo
 from quakeloom.operators import clusters, contract, neighbors
-from quakeloom.plans.oracle import CLUSTERED, LINKED, P, km, r6, sql
-from quakeloom.session import cut
+from quakeloom.params import YEAR_SECONDS
+from quakeloom.plans.oracle import CLUSTERED, KEPT, LINKED, P, km, r6, sql
+from quakeloom.session import reused, table
 from quakeloom.sources.derived import catalog
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -24,11 +25,12 @@ def _query(oracle: str):
 
 
 def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbors.with_parents(catalog(spark, sf_dir), P)
+    """Events with their parents: several queries start from them, so they are found once a session."""
+    return reused("linked", table(spark, sf_dir, "events"), lambda: neighbors.with_parents(catalog(spark, sf_dir), P))
 
 
 def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters.assign(cut(linked(spark, sf_dir)))
+    return clusters.assign(linked(spark, sf_dir))
 
 
 @_query(sql(LINKED, f"SELECT event_id, parent_id, gap_seconds, {r6('distance_km')} AS distance_km, {r6('log10_eta')} AS log10_eta, is_strong FROM linked"))
@@ -191,3 +193,26 @@ def serving_parents_all(spark, sf_dir):
     """Parents of all events, found as a serving request finds them."""
     whole = catalog(spark, sf_dir)
     return neighbors.parents_of_queries(whole, whole, P)
+
+
+_CUTOFFS = [1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0]
+_BY_CUTOFF = f"""{KEPT}, pairs AS (SELECT j.event_id, j.magnitude AS jm, i.event_id AS parent_id, i.magnitude AS pm,
+  log10((j.sort_time - i.sort_time) / {YEAR_SECONDS!r}::DOUBLE) + {P.d_f!r}::DOUBLE * log10(nullif({km("j", "i")}, 0)) - {P.b!r}::DOUBLE * i.magnitude AS eta
+  FROM kept j JOIN kept i ON i.sort_time < j.sort_time),
+best AS (SELECT event_id, {", ".join(f"arg_min({{'id': parent_id, 'eta': eta}}, eta) FILTER (eta IS NOT NULL AND pm >= {m}::DOUBLE) AS b{i}" for i, m in enumerate(_CUTOFFS))} FROM pairs GROUP BY event_id),
+steps AS ({" UNION ALL ".join(f"SELECT {m}::DOUBLE AS m_c, k.event_id, b{i}.id AS parent_id, b{i}.eta AS eta FROM kept k LEFT JOIN best USING (event_id) WHERE k.magnitude >= {m}::DOUBLE" for i, m in enumerate(_CUTOFFS))})"""
+
+
+@_query(sql(_BY_CUTOFF, f"SELECT m_c, event_id, parent_id, {r6('eta')} AS log10_eta FROM steps"))
+def parents_by_cutoff(spark, sf_dir):
+    """Parents among the events of magnitude m_c or more, for seven m_c from one search."""
+    found = neighbors.parents_by_cutoff(catalog(spark, sf_dir), _CUTOFFS, P)
+    return found.withColumn("log10_eta", geo.rounded(F.col("log10_eta")))
+
+
+@_query(sql(_BY_CUTOFF, f"""SELECT m_c, count(*) AS events, count(parent_id) AS linked, count(*) FILTER (eta < {P.log10_eta0!r}::DOUBLE) AS strong_links,
+  floor((eta + 1e-9) / 1e0)::BIGINT AS eta_bin FROM steps GROUP BY m_c, eta_bin"""))
+def links_by_cutoff(spark, sf_dir):
+    """Links of each m_c by whole powers of ten of eta."""
+    found = neighbors.with_parents_by_cutoff(catalog(spark, sf_dir), _CUTOFFS, P)
+    return found.groupBy("m_c", geo.bin_index(F.col("log10_eta"), 1.0).alias("eta_bin")).agg(F.count("*").alias("events"), F.count("parent_id").alias("linked"), F.count_if("is_strong").alias("strong_links"))

@@ -35,8 +35,9 @@ def run(spark: SparkSession, path: str, out: str, p: Params = DEFAULT, cutoffs:
     """
     catalog = cut(raw.catalog(raw.read_csv(spark, path)))
     sinks.write_magnitude_diagnostics(catalog, f"{out}/magnitudes")
+    by_cutoff = cut(neighbors.with_parents_by_cutoff(catalog, list(cutoffs), p)) if cutoffs else None
     for m_c in cutoffs:
-        sinks.write_link_diagnostics(neighbors.with_parents(catalog, replace(p, m_c=m_c)), f"{out}/links_mc_{m_c}")
+        sinks.write_link_diagnostics(by_cutoff.where(by_cutoff["m_c"] == m_c).drop("m_c"), f"{out}/links_mc_{m_c}")
     clustered = cut(cluster(catalog, p))
     broken = contract.violations(clustered).collect()  # 50 at most
     if broken:

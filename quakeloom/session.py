@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Largest Arrow batch that is made for a Python worker.
 ARROW_BYTES = 4 << 20
@@ -62,15 +65,53 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Tables that `cut` has written and `drop_cuts` not yet deleted, by application; and those that `reused` keeps.
+_CUTS: dict[str, list[str]] = {}
+_REUSED: dict[tuple, DataFrame] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared folder and read it from there, so that lost executors can't take it along.
 
     A written table has a size of its own; a checkpoint would keep the estimate of its plan, which grows without bound
-    from join to join.
+    from join to join. The table stays until `drop_cuts`, or until the process ends.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    if not _CUTS:
+        atexit.register(_drop_at_exit)
+    _CUTS.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Delete the tables that plans of this session have written so far. Results that haven't been read or written yet need theirs."""
+    context = spark.sparkContext
+    for path in _CUTS.pop(context.applicationId, []):
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+    for key in [k for k in _REUSED if k[0] == context.applicationId]:
+        del _REUSED[key]
+
+
+def _drop_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        drop_cuts(spark)
+
+
+def reused(name: str, source: DataFrame, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table `name` made from the files of `source`, cut when it is first asked for in a session.
+
+    It is made anew once any of the files has another path, size or time.
+    """
+    files = source.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = files.agg(F.count("*"), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)"))).first()
+    key = (source.sparkSession.sparkContext.applicationId, name, *state)
+    if key not in _REUSED:
+        _REUSED[key] = cut(make())
+    return _REUSED[key]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
