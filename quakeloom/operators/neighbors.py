@@ -18,6 +18,8 @@ bounds fall as their number grows, so that a ring finds about as many candidates
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,14 +29,13 @@ from quakeloom.session import cut
 
 #: Events that are compared with all others: a fixed number of small rows, sent to all tasks.
 LARGEST = 256
-#: How many times as many events each further stratum reaches down to, and the least step of magnitude between two.
-STRATA_GROWTH, STRATA_STEP = 16, 0.3
+#: The part of the events that lies above each stratum, of those above the one below; and the least step of magnitude between two.
+STRATA_GROWTH, STRATA_STEP = 8, 0.3
 #: Events of the same cell, of one of TIME_PARTS equal parts of the span, that give a first bound.
 LAST, TIME_PARTS = 8, 64
-#: Outer edges of the rings; the last ring has none.
-RINGS_KM = tuple(4.0**k for k in range(-4, 5))
-#: Mean number of a stratum's events in the cell around an event, up to which the innermost ring may be as wide.
-FEW = 32
+#: Each ring is so many times as wide as the one inside it. The innermost is chosen between the least and the largest
+#: width, so that the cell around an event of a stratum holds FEW of its events on the mean; the last has no outer edge.
+RING_GROWTH, LEAST_KM, MOST_KM, FEW = 4.0, 4.0**-4, 256.0, 32
 #: Each time level has buckets so many times as long as the one before.
 TIME_GROWTH = 16
 #: More than any rounding of a bound, in log10 units.
@@ -80,7 +81,7 @@ def _above(cutoffs: list[float | None], value: Column) -> list[Column]:
 def _strata(past: DataFrame, below: float, cutoffs: list[float | None]) -> list[tuple[float, float, int]]:
     """Least and largest magnitude of each stratum below the largest events, and which cutoff all its events are above."""
     n, edges = past.count(), []
-    ranks = [LARGEST * STRATA_GROWTH**k for k in range(1, 20) if 4 * LARGEST * STRATA_GROWTH**k < n]
+    ranks = [n // STRATA_GROWTH**k for k in range(1, 20) if n // STRATA_GROWTH**k > 2 * LARGEST]
     found = past.agg(F.percentile_approx("mag", [1 - r / n for r in ranks], 10_000)).first()[0] if ranks else []
     asked = [m for m in cutoffs if m is not None and m < below]
     for edge in sorted({*found, *asked}, reverse=True):
@@ -91,42 +92,54 @@ def _strata(past: DataFrame, below: float, cutoffs: list[float | None]) -> list[
     return [(low, high, of(low)) for low, high in zip(lows, highs) if of(low) >= 0]
 
 
-def _innermost(past: DataFrame, n_strata: int) -> list[int]:
-    """Per stratum the widest ring whose surroundings hold few of its events, on the mean over these events: a row per stratum and ring."""
-    levels = F.explode(F.array(*(F.struct(F.lit(j).alias("j"), _key(F.col("s"), F.lit(j), *_cube(2 * km / EARTH_KM)).alias("cell")) for j, km in enumerate(RINGS_KM))))
+def _innermost(past: DataFrame, n_strata: int) -> list[float]:
+    """Per stratum the width in km of the innermost ring, between widths at which cells were counted: a row per stratum and width."""
+    widths = [LEAST_KM * RING_GROWTH**k for k in range(1 + round(math.log(MOST_KM / LEAST_KM, RING_GROWTH)))]
+    levels = F.explode(F.array(*(F.struct(F.lit(j).alias("j"), _key(F.col("s"), F.lit(j), *_cube(2 * km / EARTH_KM)).alias("cell")) for j, km in enumerate(widths))))
     counts = past.select("s", levels.alias("c")).groupBy("s", "c.j", "c.cell").agg(F.count("*").cast("double").alias("n"))
     means = {(r.s, r.j): r.mean for r in counts.groupBy("s", "j").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("mean")).collect()}
-    return [max([j for j in range(len(RINGS_KM)) if means.get((s, j), 0) <= FEW], default=0) for s in range(n_strata)]
+    out = []
+    for s in range(n_strata):
+        mean = [means.get((s, j), 0.0) for j in range(len(widths))]
+        j = max([j for j, m in enumerate(mean) if m <= FEW], default=0)
+        between = math.log(FEW / mean[j], mean[j + 1] / mean[j]) if j + 1 < len(widths) and 0 < mean[j] <= FEW < mean[j + 1] else 0.0
+        out.append(widths[j] * RING_GROWTH**between)
+    return out
 
 
-def _rings(bounded: DataFrame, inner: list[int], strata: list[tuple[float, float, int]], start: int, cutoffs: list[float | None], p: Params) -> DataFrame:
+def _rings(bounded: DataFrame, inner: list[float], strata: list[tuple[float, float, int]], start: int, cutoffs: list[float | None], p: Params) -> DataFrame:
     """A row for each event, stratum (s) and ring (j): how far to look back, the bound (eta_limit), and the length of time buckets."""
     # an event only needs the cutoffs up to its own magnitude
     own = sum((F.lit(1) if m is None else F.when(F.col("mag") >= m, 1).otherwise(0) for m in cutoffs), F.lit(0))
     bounds = F.array(*(F.coalesce(f"bound{i}", F.lit(float("inf"))) for i in range(len(cutoffs))))
-    each = F.explode(F.array(*(F.struct(F.lit(s).alias("s"), F.lit(high).alias("high"), F.lit(c + 1).alias("c"), F.lit(j).alias("first")) for s, ((_, high, c), j) in enumerate(zip(strata, inner)))))
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("s"), F.lit(high).alias("high"), F.lit(c + 1).alias("c"), F.lit(km).alias("innermost"), F.lit(_last(km)).alias("last")) for s, ((_, high, c), km) in enumerate(zip(strata, inner)))))
     asks = bounded.withColumns({"own": own, "bounds": bounds, "stratum": each}).where("own > 0").select(*_PAIR, "x", "y", "z", "own", "bounds", "stratum.*")
     asks = asks.withColumn("eta_limit", F.element_at("bounds", F.least("own", "c")) + SLACK).withColumn("whole", (F.col("t") - start).cast("double"))
     asks = asks.withColumn("reach", F.pow(F.lit(10.0), F.col("eta_limit") + p.b * F.col("high")) * YEAR_SECONDS)
-    asks = asks.withColumn("j", F.explode(F.sequence("first", F.lit(len(RINGS_KM)))))
+    asks = asks.withColumn("j", F.explode(F.sequence(F.lit(0), "last")))
     # rings that look back to the start are one with those inside them
-    powers = F.array(*(F.lit(km**p.d_f) for km in (RINGS_KM[0], *RINGS_KM, RINGS_KM[-1])))
-    back = lambda j: F.least(F.col("reach") / F.element_at(powers, j + 1), F.col("whole"))
-    inside = (F.col("j") < len(RINGS_KM)) & (back(F.col("j") + 1) >= F.col("whole"))
-    look = F.when(F.col("j") == F.col("first"), F.col("whole")).otherwise(back(F.col("j")))
-    rings = asks.where(~inside & (look >= 1)).select(*_PAIR, "x", "y", "z", "s", "j", F.ceil(look).alias("back"), "eta_limit")
+    edge = lambda j: F.pow(F.col("innermost") * F.pow(F.lit(RING_GROWTH), j - 1), F.lit(p.d_f))
+    back = lambda j: F.least(F.col("reach") / edge(j), F.col("whole"))
+    inside = (F.col("j") < F.col("last")) & (back(F.col("j") + 1) >= F.col("whole"))
+    look = F.when(F.col("j") == 0, F.col("whole")).otherwise(back(F.col("j")))
+    rings = asks.where(~inside & (look >= 1)).select(*_PAIR, "x", "y", "z", "s", "j", "innermost", "last", F.ceil(look).alias("back"), "eta_limit")
     level = F.ceil(F.log(F.col("back").cast("double")) / F.log(F.lit(float(TIME_GROWTH))) - SLACK)
     return cut(rings.withColumn("length", F.pow(F.lit(float(TIME_GROWTH)), level).cast("long")))
 
 
+def _last(innermost: float) -> int:
+    """The number of the ring that has no outer edge."""
+    return 1 + max(0, math.ceil(math.log(MOST_KM / innermost, RING_GROWTH) - SLACK))
+
+
 def _width() -> Column:
     """Of a ring's cells, in Earth radii: twice the ring's."""
-    return F.element_at(F.array(*(F.lit(2 * km / EARTH_KM) for km in (*RINGS_KM, 1e6))), F.col("j") + 1)
+    return F.col("innermost") * F.pow(F.lit(RING_GROWTH), F.col("j")) * (2 / EARTH_KM)
 
 
 def _pairs(rings: DataFrame, past: DataFrame) -> DataFrame:
     """Events with the earlier ones in the cells that their rings ask for."""
-    last = F.col("j") == len(RINGS_KM)
+    last = F.col("j") == F.col("last")
     # the ball around the event reaches into two cells an axis at most, and into two time buckets
     radius = F.col("width") / 2 * (1 + SLACK)
     edges = {f"{c}{i}": F.when(last, 0).otherwise(F.floor((F.col(c) + sign * radius) / F.col("width"))).cast("long") for c in "xyz" for i, sign in ((0, -1), (1, 1))}
@@ -143,7 +156,7 @@ def _pairs(rings: DataFrame, past: DataFrame) -> DataFrame:
             on = on & more
         keys.append(F.when(on, _key(F.col("s"), F.col("j"), F.col("length"), *at)))
     asks = placed.select(*_PAIR, "eta_limit", F.explode(F.array(*keys)).alias("key")).where("key IS NOT NULL")
-    used = F.broadcast(rings.select("s", "j", "length").distinct())  # strata x rings x time levels at most
+    used = F.broadcast(rings.select("s", "j", "length", "innermost", "last").distinct())  # strata x rings x time levels at most
     mine = [F.when(last, 0).otherwise(c).cast("long") for c in _cube(F.col("width"))]
     offers = _as_parent(past.join(used, "s").withColumn("width", _width()), _key(F.col("s"), F.col("j"), F.col("length"), *mine, F.floor(F.col("t") / F.col("length"))).alias("key"))
     return asks.join(offers, "key").where(F.col("p_t") < F.col("t"))
