@@ -46,7 +46,7 @@ def leaf_digest(**instead: Column) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
-def _numbered(rows: DataFrame, *order: str) -> DataFrame:
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """`rows` with index, their place within their tree by `order`, and size, the leaves of that tree.
 
     Rows are dealt out by ranges of (tree, order), so that equal shares of the largest tree lie side by side, and
@@ -132,9 +132,9 @@ def build(rows: DataFrame, group: Column, key: Column, leaf: Column, **keep: Col
     """The manifest of `rows`: leaves by `key` within `group`. keep: more columns of each leaf."""
     tree = F.coalesce(F.concat(F.lit("="), group.cast("string")), F.lit(""))  # null first, then by bytes
     hashed = rows.select(tree.alias("tree"), key.alias("key"), leaf.alias("digest"), *(c.alias(n) for n, c in keep.items()))
-    leaves = _numbered(cut(hashed.withColumn("row", F.monotonically_increasing_id())), "key", "digest", "row").drop("row")
+    leaves = numbered(cut(hashed.withColumn("row", F.monotonically_increasing_id())), "key", "digest", "row").drop("row")
     lower = Manifest(leaves, _nodes(leaves))
-    roots = _numbered(lower.tops().select(F.lit("").alias("tree"), F.col("tree").alias("key"), "digest"), "key")
+    roots = numbered(lower.tops().select(F.lit("").alias("tree"), F.col("tree").alias("key"), "digest"), "key")
     return Manifest(leaves, lower.nodes, Manifest(roots, _nodes(roots)))
 
 

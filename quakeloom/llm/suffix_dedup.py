@@ -20,7 +20,7 @@ with more blocks than a task holds at once (GROUP), have their suffixes compared
 which only equal suffixes meet, a row per chunk or group.
 
 Defined results: null text is empty; texts under 100 bytes lose nothing; null doc_ids come last; rows
-that share a doc_id count as parts of one document in the order of a key of their texts, and equal such
+that share a doc_id count as parts of one document in the order of their texts' SHA-256, and equal such
 rows are answered alike; extra columns are not read.
 """
 
@@ -35,7 +35,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quakeloom.llm import textscan
-from quakeloom.session import table
+from quakeloom.llm.dataset_manifest import numbered
+from quakeloom.session import cut, table
 
 LENGTH, GRAM, NAMES, GROUP = 100, 32, 4, 20_000
 #: Kinds of marks: a block, one that may repeat itself, a note that more blocks have its name, bytes to
@@ -266,12 +267,22 @@ def _with_marks(documents: DataFrame, marks: DataFrame, repeated: bool) -> DataF
     return documents.join(own, same & (F.col("hi") == F.col("m_hi")) if repeated else same, "left").drop(*keys)
 
 
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """`rows` with hi, the number of the row's text among the different ones of its doc_id, which goes to the upper bits of starts.
+
+    Texts are told apart by their SHA-256; numbers are counted over ranges of keys, so that many rows of one id,
+    or without one, are dealt out.
+    """
+    keyed = rows.withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
+    known = numbered(keyed.select(F.col("pid").alias("tree"), "key").distinct(), "key").select(F.col("tree").alias("of"), F.col("key").alias("text_key"), F.col("index").alias("hi"))
+    return cut(keyed.join(known, (F.col("pid") == F.col("of")) & (F.col("key") == F.col("text_key"))).select("doc_id", "pid", "hi", "text"))
+
+
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, spans (removed byte ranges) and kept (the remaining bytes) of each document row."""
     repeated = not documents.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty()
-    # the starts of rows that share a doc_id are told apart, and ordered, by a key of the text in their upper bits
-    hi = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 33) if repeated else F.lit(0).cast("long")
-    rows = documents.select("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1)).cast("long").alias("pid"), hi.alias("hi"), "text")
+    rows = documents.select("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1)).cast("long").alias("pid"), "text")
+    rows = _told_apart(rows) if repeated else rows.select("doc_id", "pid", F.lit(0).cast("long").alias("hi"), "text")
 
     marks = rows.select("pid", "hi", "text").mapInArrow(_first_pass, "k1 bigint, k2 bigint, doc bigint, s bigint, nk bigint").repartition("k1")
     marks = marks.select(F.col("nk").bitwiseAND(F.lit(7)).cast("int").alias("kind"), "k1", "k2", "doc", "s", F.shiftright("nk", 3).alias("n"))
