@@ -109,7 +109,7 @@ def _offsets(records: DataFrame, found: DataFrame, name: str) -> DataFrame:
 
 
 def _file(number: Column) -> Column:
-    return F.floor(number / FILE_RECORDS).cast("long")
+    return F.shiftright(number, FILE_RECORDS.bit_length() - 1)  # exact for any number, down for negative ones
 
 
 def audit(pages: DataFrame, replica: DataFrame) -> DataFrame:
@@ -146,13 +146,14 @@ def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RECORD = r"""concat('WARC/1.1', nl, 'WARC-Type: response', nl, 'WARC-Record-ID: <urn:page:', page_id, '>', nl, 'WARC-Target-URI: ', coalesce(url, ''), nl,
  'Content-Type: text/html', nl, 'Content-Length: ', octet_length(encode(html)), nl, nl, html, nl, nl)"""
-_BEFORE = f"(coalesce(sum(n_bytes) OVER (PARTITION BY {{id}} // {FILE_RECORDS} ORDER BY {{id}} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT"
+_FILE = f"(({{0}} - ({{0}} % {FILE_RECORDS} + {FILE_RECORDS}) % {FILE_RECORDS}) // {FILE_RECORDS})"
+_BEFORE = f"(coalesce(sum(n_bytes) OVER (PARTITION BY {_FILE.format("{id}")} ORDER BY {{id}} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT"
 ORACLE = f"""
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, concat(chr(13), chr(10)) AS nl FROM pages),
 q AS (SELECT page_id, url, CASE WHEN page_id % 97 = 13 THEN html || '?' ELSE html END AS html, nl FROM p WHERE page_id IS NULL OR page_id % 389 <> 7),
 a AS (SELECT *, {_BEFORE.format(id='page_id')} AS "offset" FROM (SELECT page_id, sha256({_RECORD}) AS digest, octet_length(encode({_RECORD})) AS n_bytes FROM p)),
 b AS (SELECT *, {_BEFORE.format(id='id')} AS offset_b FROM (SELECT page_id AS id, sha256({_RECORD}) AS digest_b, octet_length(encode({_RECORD})) AS n_bytes FROM q))
-SELECT coalesce(page_id, id) AS page_id, coalesce(page_id, id) // {FILE_RECORDS} AS file, digest, digest_b, "offset", offset_b, a.n_bytes, b.n_bytes AS n_bytes_b,
+SELECT coalesce(page_id, id) AS page_id, {_FILE.format("coalesce(page_id, id)")} AS file, digest, digest_b, "offset", offset_b, a.n_bytes, b.n_bytes AS n_bytes_b,
   CASE WHEN digest_b IS NULL THEN 'missing' WHEN digest IS NULL THEN 'extra' ELSE 'changed' END AS status
 FROM a FULL JOIN b ON page_id IS NOT DISTINCT FROM id WHERE digest IS DISTINCT FROM digest_b"""
 

@@ -86,17 +86,24 @@ def test_cutoffs_are_certified_only_by_enough_labels(spark):
     assert kept.columns == docs.columns and kept.count() == 6000
 
 
-def test_small_strata_take_the_pooled_step(spark):
+def test_strata_without_a_certificate_lose_nothing(spark):
     clean, noisy = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}###" for i in range(60))
     rows = [(i, clean) for i in range(400)] + [(400 + i, noisy) for i in range(9)]
-    lang = F.when(F.col("doc_id") < 300, "en").when(F.col("doc_id") == 408, "xx").otherwise(F.array(F.lit("de"), F.lit("fr"), F.lit(None))[F.col("doc_id").cast("int") % 3])
+    lang = F.when((F.col("doc_id") < 300) | (F.col("doc_id") == 407), "en").when(F.col("doc_id") == 408, "xx").otherwise(F.array(F.lit("de"), F.lit("fr"), F.lit(None))[F.col("doc_id").cast("int") % 3])
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", lang)
     good = labels(spark, [(i, 1, 0) for i in range(400)])
-    stats = quality_rules.statistics(docs, "lang")
-    found = {r.stratum_key: r.pooled for r in quality_rules.limits(stats, good).collect()}
-    assert found == {"en": False, "de": True, "fr": True, None: True}
-    # a stratum without a holdout loses nothing
-    assert {r.doc_id for r in quality_rules.judge(docs, good).where("NOT kept").collect()} == set(range(400, 408))
+    found = {r.stratum_key: r.last_step is not None for r in quality_rules.limits(quality_rules.statistics(docs, "lang"), good).collect()}
+    assert found == {"en": True, "de": False, "fr": False, None: False}
+    assert {r.doc_id for r in quality_rules.judge(docs, good).where("NOT kept").collect()} == {407}
+
+
+def test_a_stratum_whose_labels_refute_the_rules_keeps_its_documents(spark):
+    """What many labels of another language certify says nothing about a language whose good documents the rules would reject."""
+    clean, noisy = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}###" for i in range(60))
+    rows = [(i, clean if i % 66 else noisy) for i in range(6600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.when(F.col("doc_id") % 66 == 0, "xx").otherwise("en"))
+    good = labels(spark, [(i, 1, 0) for i in range(6600)])
+    assert quality_rules.judge(docs, good).where("NOT kept").count() == 0
 
 
 def test_steps_are_nested_and_stop_at_the_first_failure():
