@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakeloom.functions import geo
-from quakeloom.operators import clusters, contract, neighbors
+from quakeloom.operators import clusters, contract, mixture, neighbors
 from quakeloom.params import YEAR_SECONDS
 from quakeloom.plans.oracle import CLUSTERED, KEPT, LINKED, P, km, r6, sql
 from quakeloom.session import reused, table
@@ -216,3 +218,32 @@ def links_by_cutoff(spark, sf_dir):
     """Links of each m_c by whole powers of ten of eta."""
     found = neighbors.with_parents_by_cutoff(catalog(spark, sf_dir), _CUTOFFS, P)
     return found.groupBy("m_c", geo.bin_index(F.col("log10_eta"), 1.0).alias("eta_bin")).agg(F.count("*").alias("events"), F.count("parent_id").alias("linked"), F.count_if("is_strong").alias("strong_links"))
+
+
+_EM_ROUNDS, _EM_WIDTH, _EM_LEAST = 25, 0.01, 1e-4
+_DENSITY = "(ln({w}) - 0.5e0 * ln({v} * {two_pi!r}::DOUBLE) - (x - {m}) * (x - {m}) / ({v} * 2e0))"
+_D1, _D2 = (_DENSITY.format(w=w, m=m, v=v, two_pi=2 * math.pi) for w, m, v in (("w1", "m1", "v1"), ("(1e0 - w1)", "m2", "v2")))
+_EM = f"""{LINKED},
+bins AS MATERIALIZED (SELECT i * {_EM_WIDTH}::DOUBLE AS x, n FROM (SELECT floor(log10_eta / {_EM_WIDTH}::DOUBLE + 0.5e0) AS i, count(*)::DOUBLE AS n FROM linked WHERE log10_eta IS NOT NULL GROUP BY i)),
+upto AS (SELECT *, sum(n) OVER (ORDER BY x) AS upto, sum(n) OVER () AS total FROM bins),
+whole AS MATERIALIZED (SELECT max(total) AS nn, sum(x * n) AS sx, sum(x * x * n) AS sxx, min(x) FILTER (upto >= total * 0.25e0) AS q1, min(x) FILTER (upto >= total * 0.75e0) AS q3 FROM upto),
+em(i, w1, m1, v1, m2, v2) AS (
+  SELECT 0, 0.5e0, q1, sxx / nn - sx / nn * sx / nn, q3, sxx / nn - sx / nn * sx / nn FROM whole WHERE q1 < q3
+  UNION ALL SELECT i + 1, r / nn, rx / r, greatest(rxx / r - rx / r * rx / r, {_EM_LEAST}::DOUBLE), (sx - rx) / (nn - r), greatest((sxx - rxx) / (nn - r) - (sx - rx) / (nn - r) * (sx - rx) / (nn - r), {_EM_LEAST}::DOUBLE)
+    FROM (SELECT i, sum(p) AS r, sum(p * x) AS rx, sum(p * x * x) AS rxx FROM (SELECT i, x, n / (exp({_D2} - {_D1}) + 1e0) AS p FROM em, bins WHERE i < {_EM_ROUNDS}) GROUP BY i), whole),
+s AS (SELECT * FROM em WHERE i = {_EM_ROUNDS}),
+ll AS (SELECT sum(n * (greatest({_D1}, {_D2}) + ln(1e0 + exp(-abs({_D1} - {_D2}))))) AS ll FROM s, bins),
+q AS (SELECT *, 0.5e0 / v1 - 0.5e0 / v2 AS a, m2 / v2 - m1 / v1 AS b, m1 * m1 / (v1 * 2e0) - m2 * m2 / (v2 * 2e0) - ln(w1 / (1e0 - w1)) - 0.5e0 * ln(v2 / v1) AS c, (m1 + m2) / 2e0 AS mid FROM s),
+roots AS (SELECT *, (-b - sqrt(greatest(b * b - a * c * 4e0, 0e0))) / (a * 2e0) AS lo, (-b + sqrt(greatest(b * b - a * c * 4e0, 0e0))) / (a * 2e0) AS hi FROM q),
+cross_at AS (SELECT *, CASE WHEN abs(a) < 1e-12 THEN -c / b WHEN b * b - a * c * 4e0 < 0 THEN mid WHEN lo BETWEEN least(m1, m2) AND greatest(m1, m2) THEN lo WHEN hi BETWEEN least(m1, m2) AND greatest(m1, m2) THEN hi
+  WHEN abs(lo - mid) <= abs(hi - mid) THEN lo ELSE hi END AS eta0 FROM roots),
+parts AS (SELECT 0 AS component, w1 AS weight, m1 AS mean, sqrt(v1) AS sigma, eta0 FROM cross_at UNION ALL SELECT 1, 1e0 - w1, m2, sqrt(v2), eta0 FROM cross_at)"""
+
+
+@_query(sql(_EM, f"""SELECT component, {r6('weight')} AS weight, {r6('mean')} AS mean, {r6('sigma')} AS sigma, {r6('eta0')} AS log10_eta0,
+  {r6('10e0 - ll * 2e0', 3)} AS aic, {r6('ln(nn) * 5e0 - ll * 2e0', 3)} AS bic FROM parts, ll, whole""", recursive=True))
+def gmm_eta0_em(spark, sf_dir):
+    """The two components and the threshold between them by a fixed number of rounds from a fixed start."""
+    found = mixture.expectation_maximisation(linked(spark, sf_dir), _EM_ROUNDS, _EM_WIDTH, _EM_LEAST)
+    digits = {"aic": 3, "bic": 3}
+    return found.select("component", *(geo.rounded(F.col(c), digits.get(c, 6)).alias(c) for c in ("weight", "mean", "sigma", "log10_eta0", "aic", "bic")))

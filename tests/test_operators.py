@@ -1,5 +1,6 @@
 """Operators without SQL twins: range joins, serving, samples, metrics, models, streams, files."""
 
+import os
 import json
 import math
 import random
@@ -181,3 +182,36 @@ def test_smoothing_reflects_at_the_ends(spark):
         want = np.convolve(np.pad(np.array(counts, float), 5, mode="symmetric"), kernel / kernel.sum(), mode="valid")
         assert [got[i] for i in range(len(counts))] == pytest.approx(list(want), abs=1e-6)
     assert sampling.smoothed_histogram(spark.createDataFrame([], "m double"), "m", 0.1).count() == 0
+
+
+def test_expectation_maximisation(spark):
+    rng = random.Random(6)
+    rows = [(rng.gauss(-7, 0.6),) for _ in range(600)] + [(rng.gauss(-4, 0.8),) for _ in range(1400)] + [(None,)] * 5
+    low, high = mixture.expectation_maximisation(spark.createDataFrame(rows, "log10_eta double"), rounds=60).orderBy("component").collect()
+    assert (low.weight, low.mean, low.sigma) == pytest.approx((0.3, -7, 0.6), abs=0.08)
+    assert (high.weight, high.mean, high.sigma) == pytest.approx((0.7, -4, 0.8), abs=0.08)
+    assert low.log10_eta0 == high.log10_eta0 == pytest.approx(mixture.crossover((low.weight, low.mean, low.sigma), (high.weight, high.mean, high.sigma)))
+    assert low.bic > low.aic
+    for none in ([], [(None,)], [(-5.0,)] * 9):
+        assert mixture.expectation_maximisation(spark.createDataFrame(none, "log10_eta double")).count() == 0
+
+
+def test_tables_are_reused_and_deleted(spark, tmp_path):
+    from quakeloom import session
+
+    spark.range(5).write.parquet(f"{tmp_path}/a")
+    source, made = spark.read.parquet(f"{tmp_path}/a"), []
+
+    def make():
+        made.append(1)
+        return source.selectExpr("id * 2 AS id")
+
+    assert session.reused("twice", source, make).count() == session.reused("twice", source, make).count() == 5 and len(made) == 1
+    spark.range(7).write.mode("overwrite").parquet(f"{tmp_path}/a")
+    source = spark.read.parquet(f"{tmp_path}/a")
+    kept = session.reused("twice", source, make)
+    assert kept.count() == 7 and len(made) == 2
+    path = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    session.drop_cuts(spark)
+    assert not os.path.exists(path)
+    assert session.reused("twice", source, make).count() == 7 and len(made) == 3
