@@ -1,8 +1,10 @@
 """Model families for the forecast targets, their scores, backtests and ensemble.
 
 Families are named after what they are: forest (random forests), gbt (boosted trees; the zone from
-binary models of "zone 1 to k"), logit (multinomial logistic and linear regression). Every family
-fills missing values by the median and adds 0/1 columns that tell where, since none takes nulls.
+binary models of "zone 1 to k"), logit (multinomial logistic and linear regression). These
+fill missing values by the median and add 0/1 columns that tell where, since none takes nulls.
+boosted and oblivious (trees with one split a level) are of operators/boosting.py: softmax over the
+zones, nulls as they are, as many rounds as rows that weren't learned from ask for.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakeloom.functions import geo
-from quakeloom.operators import metrics, targets
+from quakeloom.operators import boosting, metrics, targets
 from quakeloom.operators.features import names as feature_names
 
 ZONE = "aftershock_spatial_zone_24h"
@@ -31,7 +33,9 @@ LOGGED = REGRESSION[1:]
 CLASSES = {"p_any": "aftershock_24h", "p_within_10km": "aftershock_within_10km_24h", "p_within_25km": "aftershock_within_25km_24h", "p_within_50km": "aftershock_within_50km_24h", "p_beyond_50km": "aftershock_beyond_50km_24h"}
 #: Features that may be null.
 SPARSE = tuple(n for n in feature_names() if n.startswith(("parent_", "nearest_recent")) or n in ("eta", "log10_eta", "log10_rescaled_time", "log10_rescaled_distance"))
-FAMILIES = ("forest", "gbt", "logit")
+STOPPED = ("boosted", "oblivious")
+FAMILIES = ("forest", "gbt", "logit", *STOPPED)
+ZONES = 5
 #: Which family serves which target when all are used together.
 ENSEMBLE = {ZONE: "gbt", "max_aftershock_mag_24h": "forest", "nearest_aftershock_distance_km_24h": "gbt", "median_aftershock_distance_km_24h": "forest", "p90_aftershock_distance_km_24h": "gbt"}
 
@@ -43,15 +47,25 @@ class Size:
     rounds: int = 30
     leaf: int = 2
     seed: int = 42
+    most_rounds: int = 200
+    patience: int = 10
 
 
 _FITTED = {
     "forest": (RandomForestClassificationModel, RandomForestRegressionModel),
     "gbt": (GBTClassificationModel, GBTRegressionModel),
     "logit": (LogisticRegressionModel, LinearRegressionModel),
+    **dict.fromkeys(STOPPED, (boosting.Boosted, boosting.Boosted)),
 }
 
 
+def _save(stage, path: str) -> None:
+    if isinstance(stage, boosting.Boosted):
+        stage.save(path)
+    else:
+        stage.write().overwrite().save(path)
+
+
 @dataclass
 class Model:
     """Fitted stages of one family: the preparation, the zone models and the regressors by target."""
@@ -65,9 +79,9 @@ class Model:
         self.prepare.write().overwrite().save(f"{path}/prepare")
         for i, m in enumerate(self.zone):
             if m is not None:
-                m.write().overwrite().save(f"{path}/zone_{i}")
+                _save(m, f"{path}/zone_{i}")
         for t, m in self.regressors.items():
-            m.write().overwrite().save(f"{path}/{t}")
+            _save(m, f"{path}/{t}")
         told = {"family": self.family, "zone": [m is not None for m in self.zone], "regressors": sorted(self.regressors)}
         spark = SparkSession.active()
         spark.createDataFrame([(json.dumps(told),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/model")
@@ -110,9 +124,29 @@ def _regressor(family: str, size: Size):
     }[family]()
 
 
-def train(rows: DataFrame, family: str, size: Size = Size(), features: list[str] | None = None) -> Model:
-    """A family fitted to rows with features and targets. Targets with one value only are skipped."""
+def _train_stopped(rows: DataFrame, family: str, size: Size, features: list[str], stop_on: DataFrame | None) -> Model:
+    if stop_on is None:
+        late = F.lit(rows.agg(F.percentile_approx("sort_time", 0.9)).first()[0])
+        rows, stop_on = rows.where(F.col("sort_time") <= late), rows.where(F.col("sort_time") > late)
+    how = boosting.Boosting(rounds=size.most_rounds, patience=size.patience, depth=min(size.depth, 6), symmetric=family == "oblivious")
+    model = Model(family, Pipeline(stages=[]).fit(rows))
+    fitted = lambda label, classes: boosting.fit(rows.withColumn("label", label), "label", features, classes, stop_on.withColumn("label", label), how)
+    if rows.select(ZONE).distinct().limit(2).count() > 1:
+        model.zone.append(fitted(F.col(ZONE), ZONES))
+    for target in REGRESSION:
+        if rows.where(F.col(target).isNotNull()).select(target).distinct().limit(2).count() > 1:
+            model.regressors[target] = fitted(F.log1p(target) if target in LOGGED else F.col(target), 0)
+    return model
+
+
+def train(rows: DataFrame, family: str, size: Size = Size(), features: list[str] | None = None, stop_on: DataFrame | None = None) -> Model:
+    """A family fitted to rows with features and targets. Targets with one value only are skipped.
+
+    boosted and oblivious stop by the loss on `stop_on`; without it, on the latest tenth of `rows`, from which they
+    then don't learn. The other families learn from all `rows` and have no use for it."""
     features = features or feature_names()
+    if family in STOPPED:
+        return _train_stopped(rows, family, size, features, stop_on)
     prepare = _prepare(features).fit(rows)
     ready = prepare.transform(rows).select("features", *targets.names()).cache()
     model = Model(family, prepare)
@@ -145,8 +179,8 @@ def _probabilities(model: Model, ready: DataFrame) -> DataFrame:
         p = [1 - upto[3], upto[0], *(upto[i] - upto[i - 1] for i in (1, 2, 3))]
         return ready.withColumns(metrics.zone_probabilities(p)).drop(*(f"_p{i}" for i in range(4)))
     ready = clean(model.zone[0].transform(ready), 0)
-    each = vector_to_array("_p0")
-    p = [F.coalesce(F.get(each, i), F.lit(0.0)) for i in range(5)]
+    each = F.col("_p0") if model.family in STOPPED else vector_to_array("_p0")
+    p = [F.coalesce(F.get(each, i), F.lit(0.0)) for i in range(ZONES)]
     return ready.withColumns(metrics.zone_probabilities(p)).drop("_p0")
 
 
@@ -155,7 +189,8 @@ def score(model: Model, rows: DataFrame, only: tuple[str, ...] | None = None) ->
 
     Targets that `train` skipped get nulls."""
     columns = rows.columns
-    ready = model.prepare.transform(rows).select(*columns, "features")
+    ready = model.prepare.transform(rows)
+    ready = ready if model.family in STOPPED else ready.select(*columns, "features")
     wanted = only or (ZONE, *REGRESSION)
     if ZONE in wanted and model.zone:
         ready = _probabilities(model, ready)
@@ -167,7 +202,7 @@ def score(model: Model, rows: DataFrame, only: tuple[str, ...] | None = None) ->
             ready = model.regressors[target].transform(ready).withColumn(f"predicted_{target}", value).drop("prediction")
         elif target in wanted:
             ready = ready.withColumn(f"predicted_{target}", F.lit(None).cast("double"))
-    return ready.drop("features")
+    return ready if model.family in STOPPED else ready.drop("features")
 
 
 def score_ensemble(models: dict[str, Model], rows: DataFrame, choice: dict[str, str] = ENSEMBLE) -> DataFrame:
@@ -197,12 +232,15 @@ def backtest(train_rows: DataFrame, test_rows: DataFrame, families: tuple[str, .
 
 
 def importance(model: Model, features: list[str] | None = None) -> list[tuple[str, float]]:
-    """Features of a family's first zone model by falling importance; of logit, the sum of their absolute coefficients."""
+    """Features of a family's first zone model by falling importance; of logit, the sum of their absolute coefficients; of
+    boosted and oblivious, the gain."""
     features = features or feature_names()
     names = features + [f"missing {f}" for f in features if f in SPARSE]
     fitted = next((m for m in model.zone if m is not None), None)
     if fitted is None:
         return []
+    if model.family in STOPPED:
+        return sorted(fitted.importance().items(), key=lambda x: (-x[1], x[0]))
     values = abs(fitted.coefficientMatrix.toArray()).sum(axis=0) if model.family == "logit" else fitted.featureImportances.toArray()
     return sorted(zip(names, map(float, values)), key=lambda x: (-x[1], x[0]))
 
@@ -227,6 +265,13 @@ def calibration_study(train_rows: DataFrame, calibrate_rows: DataFrame, test_row
     return metrics.classification(both, ["path"]).join(metrics.expected_calibration_error(both, ["path"]), "path").join(metrics.roc_auc(both, ["path"]), "path")
 
 
+def stopping(model: Model) -> DataFrame:
+    """family, target, round, loss on the rows that stopped it, and whether the round was kept."""
+    fitted = {ZONE: model.zone[0]} if model.zone else {}
+    rows = [(model.family, target, n, float(loss), n <= len(m.trees)) for target, m in (fitted | model.regressors).items() for n, loss in enumerate(m.losses)]
+    return SparkSession.active().createDataFrame(rows, "family string, target string, round int, loss double, kept boolean")
+
+
 def as_json(scored: DataFrame) -> DataFrame:
     """event_id and a JSON document per scored event; missing values are null."""
     p = F.struct(*(geo.rounded(F.col(c)).alias(t) for c, t in CLASSES.items()))

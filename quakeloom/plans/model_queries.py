@@ -13,7 +13,7 @@ from quakeloom.plans.cluster_queries import linked
 from quakeloom.plans.oracle import KEPT, LINKED, r6, sql
 from quakeloom.session import cut
 
-SIZE = models.Size(trees=20, depth=5, rounds=8)
+SIZE = models.Size(trees=20, depth=5, rounds=8, most_rounds=10, patience=3)
 
 
 def training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,25 @@ def _scores(family: str):
     return query
 
 
+def _stopped(spark, sf_dir, family: str):
+    parts = sampling.checked_split(cut(training_set(spark, sf_dir)))
+    return models.train(parts["train"], family, SIZE, stop_on=parts["validate"]), parts["test"]
+
+
+def _stopped_scores(family: str):
+    def query(spark, sf_dir):
+        """Scores of the test years; the validation year has stopped the boosting."""
+        model, test = _stopped(spark, sf_dir, family)
+        return models.score(model, test).select("event_id", *models.CLASSES, *(f"predicted_{t}" for t in models.REGRESSION))
+
+    return query
+
+
+def boosting_rounds(spark, sf_dir):
+    """Loss of the validation year after each round of every target of the oblivious family."""
+    return models.stopping(_stopped(spark, sf_dir, "oblivious")[0])
+
+
 def ensemble_scores(spark, sf_dir):
     parts = sampling.checked_split(cut(training_set(spark, sf_dir)))
     fitted = {f: models.train(parts["train"], f, SIZE) for f in sorted(set(models.ENSEMBLE.values()))}
@@ -68,6 +87,9 @@ QUERIES = {
     "forest_scores": _scores("forest"),
     "gbt_scores": _scores("gbt"),
     "logit_scores": _scores("logit"),
+    "boosted_scores": _stopped_scores("boosted"),
+    "oblivious_scores": _stopped_scores("oblivious"),
+    "boosting_rounds": boosting_rounds,
     "ensemble_scores": ensemble_scores,
     "backtest_metrics": backtest_metrics,
     "calibration_study": calibration_study,
