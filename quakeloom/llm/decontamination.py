@@ -10,7 +10,8 @@ a repeated phrase counts once. A document is contaminated if tiles cover half of
 Documents and items meet by a join on seeds. Of each item the rarest seeds are enough to find its documents:
 the most common ones are left out for as long as they cover less of the item than a contaminated document
 must. For the documents and items found, the places of all shared seeds are joined, and each pair is tiled
-by itself. Documents' seeds are shuffled only if a Bloom filter of the benchmark's seeds lets them pass; it
+by itself; matches are found from where they start, so that texts which repeat themselves make no grid of places.
+Documents' seeds are shuffled only if a Bloom filter of the benchmark's seeds lets them pass; it
 has a fixed largest size, beyond which more seeds pass. Texts aren't shuffled, and equal texts are tiled once.
 
 Defined results: null or empty documents and items, and items of fewer than five tokens, match nothing;
@@ -53,30 +54,94 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     return textscan.span_hashes(_LOWER[data], starts, ends), docs, len(offsets) - 1
 
 
-def tiles(pairs: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling: (item position, document position, length). pairs: rows of such positions of shared seeds."""
-    order = np.lexsort((pairs[:, 0], pairs[:, 1] - pairs[:, 0]))
-    i, j = pairs[order, 0], pairs[order, 1]
-    breaks = np.flatnonzero((np.diff(j - i) != 0) | (np.diff(i) != 1)) + 1
-    heap = [(-(b - a + least - 1), int(i[a]), int(j[a])) for a, b in zip([0, *breaks.tolist()], [*breaks.tolist(), len(i)])]
-    heapq.heapify(heap)
-    used_item, used_doc, found = set(), set(), []
-    while heap:
-        length, at, to = heapq.heappop(heap)
-        free = [k for k in range(-length) if at + k not in used_item and to + k not in used_doc]
-        if len(free) == -length:
-            found.append((at, to, -length))
-            used_item.update(range(at, at - length))
-            used_doc.update(range(to, to - length))
+def _ranks(ids: np.ndarray) -> list[np.ndarray]:
+    """For each power of two the rank of what starts at each place with that length, over places where all of it is there.
+
+    Equal ranks mean equal stretches; places where an id is below zero are ends."""
+    levels, size = [np.where(ids >= 0, ids, -1)], 1
+    while 2 * size <= len(ids):
+        last = levels[-1]
+        both = (last[:-size] >= 0) & (last[size:] >= 0)
+        if not both.any():
+            break
+        rank = np.full(len(ids), -1, np.int64)
+        rank[: len(ids) - size][both] = np.unique(last[:-size][both] * (last.max() + 1) + last[size:][both], return_inverse=True)[1]
+        levels.append(rank)
+        size *= 2
+    return levels
+
+
+def matches(item: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place in the item, place in the document and length of every maximal run of equal seeds (numbers; -1: none).
+
+    Runs are found from where they start, pairs of places whose predecessors differ, and measured by ranks of stretches:
+    a seed that both texts repeat without end makes as many runs as there are places, not pairs of places."""
+    before = [np.concatenate([[-1], x[:-1]]) if len(x) else x for x in (item, doc)]
+    starts = [(np.zeros(0, np.int64),) * 2]
+    grouped = [np.lexsort((p, x)) for p, x in zip(before, (item, doc))]
+    grouped = [g[x[g] >= 0] for g, x in zip(grouped, (item, doc))]
+    i_seeds, i_first, i_count = np.unique(item[grouped[0]], return_index=True, return_counts=True)
+    j_seeds, j_first, j_count = np.unique(doc[grouped[1]], return_index=True, return_counts=True)
+    _, i_at, j_at = np.intersect1d(i_seeds, j_seeds, return_indices=True)
+    for m, n in zip(i_at, j_at):
+        here, there = grouped[0][i_first[m] : i_first[m] + i_count[m]], grouped[1][j_first[n] : j_first[n] + j_count[n]]
+        left, previous = before[0][here], before[1][there]
+        # both sides are in the order of their predecessors
+        edges = np.flatnonzero(np.diff(left)) + 1
+        for part in np.split(here, edges):
+            p = before[0][part[0]]
+            low, high = (len(there), len(there)) if p < 0 else np.searchsorted(previous, [p, p + 1])
+            others = np.concatenate([there[:low], there[high:]])
+            if len(others):
+                starts.append((np.repeat(part, len(others)), np.tile(others, len(part))))
+    i, j = (np.concatenate(x) for x in zip(*starts))
+    length, at, to = np.zeros(len(i), np.int64), i.copy(), j + len(item) + 1
+    levels = _ranks(np.concatenate([item, [-1], doc]))
+    for n in range(len(levels) - 1, -1, -1):
+        rank = np.append(levels[n], -1)
+        while True:  # more than once at the highest level only
+            same = (rank[at] == rank[to]) & (rank[at] >= 0)
+            step = np.where(same, 1 << n, 0)
+            length, at, to = length + step, np.minimum(at + step, len(rank) - 1), np.minimum(to + step, len(rank) - 1)
+            if n + 1 < len(levels) or not same.any():
+                break
+    return i, j, length
+
+
+def tiles(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Greedy tiling: (item position, document position, length). item, doc: the number of the shared seed at each place, or -1."""
+    i, j, length = matches(item, doc)
+    length = length + least - 1
+    order = np.lexsort((j, i, -length))
+    used_item, used_doc = np.zeros(len(item) + least, bool), np.zeros(len(doc) + least, bool)
+    heap, found, n, left = [], [], 0, len(item) + least - 1
+    while (n < len(order) or heap) and left >= least:
+        following = (-int(length[order[n]]), int(i[order[n]]), int(j[order[n]])) if n < len(order) else None
+        if heap and (following is None or heap[0] < following):
+            size, at, to = heapq.heappop(heap)
+        else:
+            (size, at, to), n = following, n + 1
+        taken = used_item[at : at - size] | used_doc[to : to - size]
+        if not taken.any():
+            found.append((at, to, -size))
+            used_item[at : at - size] = used_doc[to : to - size] = True
+            left += size
             continue
-        run = 0
-        for n, k in enumerate(free):  # what marks have left of the match
-            run = run + 1 if n and free[n - 1] == k - 1 else 1
-            if run >= least and (n + 1 == len(free) or free[n + 1] != k + 1):
-                heapq.heappush(heap, (-run, at + k - run + 1, to + k - run + 1))
+        ends = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]])))
+        for a, b in ends.reshape(-1, 2).tolist():  # what marks have left of the match
+            if b - a >= least:
+                heapq.heappush(heap, (a - b, at + a, to + a))
     return found
 
 
+def _numbered(places: list[list[int]]) -> np.ndarray:
+    """The number of the seed at each place, given all places of each seed; -1 elsewhere."""
+    out = np.full(max((max(p) for p in places), default=-1) + 1, -1, np.int64)
+    for n, p in enumerate(places):
+        out[p] = n
+    return out
+
+
 def _seeds(keys: np.ndarray, owners: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Running keys of `least` tokens, the text of each, and where it starts there in tokens."""
     seeds, first = textscan.gram_hashes(keys, owners, least)
@@ -179,8 +244,7 @@ def _tiled(pairs: DataFrame, least: int, coverage: int) -> DataFrame:
                 # each seed touches `least` tokens, and tiles cover no others
                 if sum(len(s["positions"]) for s in shared) * least * 100 < coverage * size:
                     continue
-                met = [np.stack(np.meshgrid(s["positions"], s["places"], indexing="ij"), -1).reshape(-1, 2) for s in shared]
-                found = tiles(np.concatenate(met), least)
+                found = tiles(_numbered([s["positions"] for s in shared]), _numbered([s["places"] for s in shared]), least)
                 covered = sum(x[2] for x in found)
                 if covered * 100 >= coverage * size:
                     keep.append(n)
