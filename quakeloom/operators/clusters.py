@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakeloom.functions import geo
+from quakeloom.functions.dates import parse_free
 from quakeloom.functions.ordering import first_by, numbered
 from quakeloom.operators.graph import roots
 
 DAY = 86400
+#: Columns that hold days after the mainshock.
+DELAYS = ("delay_days", "time_to_mainshock_days", "time_since_mainshock_days")
 #: Columns of the clustered table after those of the linked one.
 LABELS = (
     "link_type", "cluster_id", "cluster_type", "cluster_size", "event_role", "is_single", "is_family_member",
@@ -92,16 +95,31 @@ def delta_members(clustered: DataFrame, m_c: float, delta: float = 2.0) -> DataF
     return clustered.where(F.col("is_family_member") & large & close)
 
 
+def _moment(df: DataFrame, *names: str) -> Column | None:
+    """Seconds since 1970 of the first of these columns that is there: numbers as they are, texts in any form that catalogs use."""
+    for name in names:
+        if name in df.columns:
+            return parse_free(F.col(name)) if dict(df.dtypes)[name] == "string" else F.col(name).cast("long")
+    return None
+
+
 def with_delay(clustered: DataFrame) -> DataFrame:
-    """Aftershocks with delay_days after the mainshock, from the first source column set that is there:
-    delay_days itself, or mainshock_time, or the time of mainshock_id's event."""
+    """Aftershocks with delay_days after the mainshock, from the first source that is there: delay_days itself, a column
+    of days of another name, the mainshock's time, or the time of the event that mainshock_id names.
+
+    Unreadable days and times give null; an error if there is no source."""
     after = clustered.where("event_role = 'aftershock'")
-    if "delay_days" in clustered.columns:
-        return after
-    if "mainshock_time" in clustered.columns:
-        return after.withColumn("delay_days", (F.col("sort_time") - F.col("mainshock_time")) / DAY)
-    main = clustered.select(F.col("event_id").alias("mainshock_id"), F.col("sort_time").alias("_main_time"))
-    return after.join(main, "mainshock_id", "left").withColumn("delay_days", (F.col("sort_time") - F.col("_main_time")) / DAY).drop("_main_time")
+    days = [c for c in DELAYS if c in clustered.columns]
+    if days:
+        return after.withColumn("delay_days", F.col(days[0]).try_cast("double"))
+    own, main_time = _moment(clustered, "sort_time", "event_time", "origin_time"), _moment(clustered, "mainshock_time")
+    if own is not None and main_time is not None:
+        return after.withColumn("delay_days", (own - main_time) / DAY)
+    named = [c for c in ("mainshock_id", "sequence_mainshock_event_id") if c in clustered.columns]
+    if own is None or not named:
+        raise ValueError("no delay: there are neither days nor times of mainshocks")
+    main = clustered.select(F.col("event_id").alias(named[0]), own.alias("_main_time"))
+    return after.join(main, named[0], "left").withColumn("delay_days", (own - F.col("_main_time")) / DAY).drop("_main_time")
 
 
 def window_summary(delays: DataFrame) -> DataFrame:

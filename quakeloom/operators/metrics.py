@@ -86,7 +86,7 @@ def probability_histogram(scores: DataFrame, keys: list[str], bins: int = 20) ->
 def regression(scores: DataFrame, keys: list[str]) -> DataFrame:
     """MAE, RMSE, R2 and means over rows with an actual value; n is 0 where there is none."""
     a, p = F.col("actual"), F.when(F.col("actual").isNotNull(), F.col("predicted"))
-    sse, sst = F.sum((a - p) * (a - p)), F.sum(a * a) - F.sum(a) * F.sum(a) / F.count(a)
+    sse, sst = F.sum((a - p) * (a - p)), F.var_pop(a) * F.count(a)
     return scores.groupBy(*keys).agg(
         F.count(a).alias("n"),
         geo.rounded(F.avg(F.abs(a - p))).alias("mae"),

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,13 +84,18 @@ def catalog(rows: DataFrame) -> DataFrame:
     return good.select("event_id", F.col("Date-Time").alias("origin_time"), "sort_time", *NUMBERS, F.col("Location").alias("location_text"), F.col("Month").alias("month"), "year", years.alias("origin_time_years"))
 
 
-def normalized(rows: DataFrame) -> DataFrame:
-    """Serving form: five columns, any time text, incomplete rows dropped; an error if none is left."""
+def normalized(rows: DataFrame, seen: Observation | None = None) -> DataFrame:
+    """Serving form: five columns, any time text, incomplete rows dropped; an error if none is left.
+
+    `seen` gets the number of rows and of skipped_rows from the first job that reads the result whole, without a pass of its own."""
     check_header(rows.columns, ("Date-Time", *NUMBERS.values()))
-    out = rows.select(parse_free(F.col("Date-Time")).alias("sort_time"), *(number(F.col(c)).alias(n) for n, c in NUMBERS.items())).dropna()
-    if out.isEmpty():
+    read = rows.select(parse_free(F.col("Date-Time")).alias("sort_time"), *(number(F.col(c)).alias(n) for n, c in NUMBERS.items()))
+    if read.dropna().isEmpty():
         raise ValueError("the catalog has no usable row")
-    return out
+    if seen is not None:
+        gap = reduce(or_, (F.col(c).isNull() for c in read.columns))
+        read = read.observe(seen, F.count("*").alias("rows"), F.count_if(gap).alias("skipped_rows"))
+    return read.dropna()
 
 
 EVENT = T.StructType([T.StructField("sort_time", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in NUMBERS)])
