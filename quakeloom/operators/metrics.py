@@ -103,18 +103,19 @@ def long_form(wide: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame
     return wide.select(*keys, each.alias("x")).select(*keys, "x.*")
 
 
-def weighted_scores(long: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """target, family, score: each metric scaled to 0..1 over the families of a target, then weighted.
+def weighted_scores(long: DataFrame, weights: dict[str, float], keys: list[str] | None = None) -> DataFrame:
+    """keys, target, family, score: each metric scaled to 0..1 over the families of a target, then weighted.
 
     Missing values score 0, equal ones 1.
     """
-    over = Window.partitionBy("target", "metric")
+    keys = keys or []
+    over = Window.partitionBy(*keys, "target", "metric")
     low, high = F.min("value").over(over), F.max("value").over(over)
     share = (F.col("value") - low) / F.nullif(high - low, F.lit(0.0))
     scaled = F.when(F.col("value").isNull(), 0.0).when(low == high, 1.0).when(F.col("metric").isin(*LESS_IS_BETTER), 1.0 - share).otherwise(share)
     weight = F.coalesce(*(F.when(F.col("metric") == m, w) for m, w in weights.items()))
     used = long.where(F.col("metric").isin(*weights)).withColumn("part", weight * scaled)
-    return used.groupBy("target", "family").agg(geo.rounded(F.sum("part")).alias("score"))
+    return used.groupBy(*keys, "target", "family").agg(geo.rounded(F.sum("part")).alias("score"))
 
 
 def pick_per_target(scores: DataFrame) -> DataFrame:

@@ -18,12 +18,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import Imputer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, IsotonicRegression, LinearRegression, LinearRegressionModel, RandomForestRegressionModel, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakeloom.functions import geo
-from quakeloom.operators import boosting, metrics, targets
+from quakeloom.operators import boosting, isotonic, metrics, targets
 from quakeloom.operators.features import names as feature_names
 
 ZONE = "aftershock_spatial_zone_24h"
@@ -245,24 +245,44 @@ def importance(model: Model, features: list[str] | None = None) -> list[tuple[st
     return sorted(zip(names, map(float, values)), key=lambda x: (-x[1], x[0]))
 
 
-def calibration_study(train_rows: DataFrame, calibrate_rows: DataFrame, test_rows: DataFrame, size: Size = Size()) -> DataFrame:
-    """Forest at natural prevalence against one weighted to balance and mended by isotonic regression:
-    path and the metrics of the probability of any aftershock, on the test rows."""
-    label = "aftershock_24h"
+def calibration_scores(train_rows: DataFrame, calibrate_rows: DataFrame, test_rows: DataFrame, size: Size = Size()) -> DataFrame:
+    """event_id, target, path, label, probability on the test rows, for every class target that has both labels in training:
+    a forest at natural prevalence, one weighted to balance, and the weighted one mended by isotonic regression."""
     prepare = _prepare(feature_names()).fit(train_rows)
-    ready = lambda df: prepare.transform(df).select("event_id", "features", F.col(label).cast("double").alias("label"))
-    rows = ready(train_rows).cache()
-    share = rows.agg(F.avg("label")).first()[0] or 0.5
-    weighted = rows.withColumn("w", F.when(F.col("label") == 1, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9)))
-    forest = RandomForestClassifier(numTrees=size.trees, maxDepth=size.depth, minInstancesPerNode=size.leaf, seed=size.seed)
-    natural, balanced = forest.fit(rows), forest.copy({forest.weightCol: "w"}).fit(weighted)
-    p = lambda m, df: m.transform(df).select("event_id", "label", vector_to_array("probability")[1].alias("probability"))
-    isotonic = IsotonicRegression(featuresCol="probability").fit(p(balanced, ready(calibrate_rows)))
-    mended = isotonic.transform(p(balanced, ready(test_rows))).select("event_id", "label", F.col("prediction").alias("probability"))
-    both = p(natural, ready(test_rows)).withColumn("path", F.lit("natural")).unionByName(mended.withColumn("path", F.lit("weighted and isotonic")))
-    both = both.withColumn("label", F.col("label").cast("int"))
+    ready = lambda df: prepare.transform(df).select("event_id", "features", *CLASSES.values())
+    rows, between, asked = ready(train_rows).cache(), ready(calibrate_rows), ready(test_rows)
+    shares = rows.agg(*(F.avg(t).alias(t) for t in CLASSES.values())).first()
+    learned, found = [], []
+    for target in (t for t in CLASSES.values() if 0 < (shares[t] or 0) < 1):
+        label = F.col(target).cast("double")
+        weight = F.when(label == 1, 0.5 / shares[target]).otherwise(0.5 / (1 - shares[target]))
+        forest = RandomForestClassifier(numTrees=size.trees, maxDepth=size.depth, minInstancesPerNode=size.leaf, seed=size.seed)
+        labelled = rows.where(label.isNotNull()).withColumns({"label": label, "w": weight})
+        natural, balanced = forest.fit(labelled), forest.copy({forest.weightCol: "w"}).fit(labelled)
+        p = lambda m, df, path: m.transform(df).select("event_id", F.lit(target).alias("target"), F.lit(path).alias("path"), F.col(target).cast("int").alias("label"), vector_to_array("probability")[1].alias("probability"))  # noqa: E731, B023
+        learned.append(p(balanced, between, "weighted"))
+        found += [p(natural, asked, "natural"), p(balanced, asked, "weighted")]
     rows.unpersist()
-    return metrics.classification(both, ["path"]).join(metrics.expected_calibration_error(both, ["path"]), "path").join(metrics.roc_auc(both, ["path"]), "path")
+    if not found:
+        return train_rows.sparkSession.createDataFrame([], "event_id long, target string, path string, label int, probability double")
+    blocks, both = isotonic.fit(reduce(DataFrame.unionByName, learned), ["target"]), reduce(DataFrame.unionByName, found)
+    mended = isotonic.calibrate(both.where("path = 'weighted'"), blocks, ["target"])
+    return both.unionByName(mended.select("event_id", "target", F.lit("weighted and isotonic").alias("path"), "label", F.col("calibrated").alias("probability")))
+
+
+def calibration_table(scores: DataFrame) -> DataFrame:
+    """target, path and metrics of calibration_scores, and a row per path with the means over its targets (target: all)."""
+    keys = ["target", "path"]
+    known = scores.where("label IS NOT NULL AND probability IS NOT NULL")
+    each = metrics.classification(known, keys).join(metrics.expected_calibration_error(known, keys), keys).join(metrics.roc_auc(known, keys), keys)
+    told = ["brier", "log_loss", "ece", "roc_auc"]
+    means = each.groupBy("path").agg(F.sum("n").alias("n"), *(geo.rounded(F.avg(c)).alias(c) for c in told))
+    return each.select(*keys, "n", *told).unionByName(means.select(F.lit("all").alias("target"), "path", "n", *told))
+
+
+def calibration_study(train_rows: DataFrame, calibrate_rows: DataFrame, test_rows: DataFrame, size: Size = Size()) -> DataFrame:
+    """calibration_table of forests that learn from one part, are calibrated on another and judged on a third."""
+    return calibration_table(calibration_scores(train_rows, calibrate_rows, test_rows, size))
 
 
 def stopping(model: Model) -> DataFrame:

@@ -14,6 +14,7 @@ from quakeloom.plans.oracle import CATALOG, KEPT, P, r6, sql
 from quakeloom.session import cut, shared_folder
 from quakeloom.sources import raw
 from quakeloom.sources.derived import catalog
+from quakeloom.streaming import scorer
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -173,3 +174,13 @@ _CUTS = [1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0]
     (SELECT count(*) FROM catalog WHERE magnitude >= cutoff) AS events FROM cuts, years) GROUP BY cutoff"""))
 def mc_yearly_cv(spark, sf_dir):
     return diagnostics.yearly_variation(catalog(spark, sf_dir), _CUTS, (2018, 2025))
+
+
+@_query(sql(f"""{CATALOG}, celled AS (SELECT *, floor(latitude)::BIGINT AS y, floor(longitude)::BIGINT AS x FROM catalog),
+marked AS (SELECT *, coalesce(sort_time - lag(sort_time) OVER (PARTITION BY y, x ORDER BY sort_time, event_id) > 86400, true)::INT AS first FROM celled),
+numbered AS (SELECT *, sum(first) OVER (PARTITION BY y, x ORDER BY sort_time, event_id ROWS UNBOUNDED PRECEDING) AS burst FROM marked)""",
+            "SELECT y AS cell_row, x AS cell_column, min(sort_time) AS start_time, max(sort_time) + 86400 AS end_time, count(*) AS events, max(magnitude) AS largest FROM numbered GROUP BY y, x, burst"))
+def event_bursts(spark, sf_dir):
+    """Runs of events in a cell of one degree that follow each other by at most a day."""
+    found = scorer.bursts(catalog(spark, sf_dir), "1 day")
+    return found.select(F.col("row").alias("cell_row"), F.col("column").alias("cell_column"), F.unix_timestamp("start").alias("start_time"), F.unix_timestamp("end").alias("end_time"), "events", "largest")

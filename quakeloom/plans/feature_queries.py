@@ -164,6 +164,48 @@ def feature_skew(spark, sf_dir):
     return features.skew(features.global_activity(k, P), features.global_activity_serving(k, k, P), _SKEW_FEATURES)
 
 
+_EARLIER = "(h.sort_time < q.sort_time OR (h.sort_time = q.sort_time AND h.event_id < q.event_id))"
+_NEAR_ALL = f"""near AS MATERIALIZED (SELECT q.event_id, q.sort_time AS t, h.sort_time AS ht, h.event_id AS hid, h.magnitude AS m, {km('q', 'h')} AS km, h.sort_time < q.sort_time AS strictly FROM kept q JOIN kept h
+  ON h.sort_time >= q.sort_time - 94672800 AND {_EARLIER} AND abs(h.latitude - q.latitude) <= 100 / 111.32e0 AND abs(h.longitude - q.longitude) <= 100 / (111.32e0 * greatest(cos(radians(q.latitude)), 0.1e0))
+  WHERE km <= 100)"""
+
+
+def _form(n: str, near: str, counts: str) -> str:
+    """The features of one form, not rounded, from its pairs and its counts."""
+    inside = lambda r, d: f"km <= {r} AND ht >= t - {d * 86400}"
+    local = ", ".join(f"count(*) FILTER ({inside(r, d)}) AS local_events_{r}km_past_{d}d, coalesce(max(m) FILTER ({inside(r, d)}), 0) AS local_max_mag_{r}km_past_{d}d, "
+                      f"coalesce(log10(sum(pow(10e0, m * 1.5e0)) FILTER ({inside(r, d)})), 0) AS local_log10_energy_{r}km_past_{d}d" for r in P.radii_km for d in P.windows_days)
+    least = "(SELECT min(magnitude) FROM kept)" if n == "serving" else "1"
+    b = f"CASE WHEN bn >= 5 AND mean > {least} THEN least(3e0, greatest(0.3e0, 0.4342944819e0 / (mean - {least}))) ELSE 1e0 END"
+    half = "abs(h.latitude - q.latitude) <= 50 / 111.32e0 AND abs(h.longitude - q.longitude) <= 50 / (111.32e0 * greatest(cos(radians(q.latitude)), 0.1e0))"
+    return f"""{n}_local AS (SELECT event_id, {local} FROM ({near}) WHERE ht >= t - 2592000 GROUP BY event_id),
+{n}_b AS (SELECT event_id, count(*) AS bn, avg(m) AS mean FROM ({near}) x JOIN (SELECT event_id AS qi, latitude AS qa, longitude AS qo FROM kept) q2 ON q2.qi = x.event_id JOIN (SELECT event_id AS hi, latitude AS ha, longitude AS ho FROM kept) h2 ON h2.hi = x.hid
+  WHERE km <= 50 AND {half.replace('h.latitude', 'ha').replace('q.latitude', 'qa').replace('h.longitude', 'ho').replace('q.longitude', 'qo')} GROUP BY event_id),
+{n}_recent AS (SELECT event_id, km AS nearest_recent_event_distance_km_past_30d, m AS nearest_recent_event_magnitude_past_30d, (t - ht) / 86400e0 AS nearest_recent_event_age_days_past_30d
+  FROM ({near}) WHERE ht >= t - 2592000 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY km, ht, hid) = 1),
+{n} AS MATERIALIZED (SELECT k.event_id, magnitude, depth_km, latitude, longitude, pow(10e0, log10_eta) AS eta, log10_eta, log10(gap_seconds / 31557600e0) - 0.5e0 * parent_magnitude AS log10_rescaled_time,
+  1.6e0 * log10(distance_km) - 0.5e0 * parent_magnitude AS log10_rescaled_distance, is_strong::INT AS is_strong_link, (parent_id IS NOT NULL)::INT AS has_parent, gap_seconds / 86400e0 AS parent_time_gap_days,
+  distance_km AS parent_distance_km, parent_magnitude, parent_depth_km, year(moment) AS event_year, month(moment) AS event_month, dayofyear(moment) AS event_dayofyear, hour(moment) AS event_hour, isodow(moment) - 1 AS event_weekday,
+  c1 AS events_past_1d, c7 AS events_past_7d, c30 AS events_past_30d, {', '.join(f'coalesce({c}, 0) AS {c}' for c in _LOCAL_NAMES)},
+  nearest_recent_event_distance_km_past_30d, nearest_recent_event_magnitude_past_30d, nearest_recent_event_age_days_past_30d,
+  magnitude * exp(-depth_km / 50e0) AS rupture_depth_attenuation, {_RATIO if n == 'batch' else f'CASE WHEN c_all = 0 THEN 1e0 ELSE {_RATIO} END'} AS seis_traffic_ratio_30d, magnitude - 1.2e0 AS baths_law_limit, {b} AS local_b_value_50km_3y
+  FROM (SELECT *, to_timestamp(sort_time) AT TIME ZONE 'UTC' AS moment FROM linked) k JOIN {counts} USING (event_id) LEFT JOIN {n}_local USING (event_id) LEFT JOIN {n}_b USING (event_id) LEFT JOIN {n}_recent USING (event_id))"""
+
+
+_EACH = " UNION ALL ".join(f"SELECT '{f}' AS feature, a.{f}::DOUBLE AS a, b.{f}::DOUBLE AS b FROM batch a JOIN serving b USING (event_id)" for f in features.names())
+
+
+@_query(sql(f"""{LINKED}, {_GLOBAL.removeprefix(KEPT + ', ')}, {_NEAR_ALL},
+h AS (SELECT event_id, {_SERVE}, least(1826.25e0, greatest(1e0 / 24e0, (sort_time - (SELECT min(sort_time) FROM kept)) / 86400e0)) AS days FROM kept q),
+{_form('batch', 'SELECT * FROM near', 'g')}, {_form('serving', 'SELECT * FROM near WHERE strictly', 'h')}, l AS ({_EACH})""",
+            f"""SELECT feature, count(*) AS rows, {r6("CASE WHEN stddev_pop(a) FILTER (b IS NOT NULL) * stddev_pop(b) FILTER (a IS NOT NULL) > 0 THEN corr(a, b) END")} AS correlation, {r6('quantile_cont(abs(a - b), 0.5)')} AS median_difference,
+  {r6('avg(CASE WHEN abs(a - b) <= 1e-6 + 1e-3 * abs(b) OR (a IS NULL AND b IS NULL) THEN 100e0 ELSE 0e0 END)')} AS close_percent FROM l GROUP BY feature"""))
+def feature_skew_all(spark, sf_dir):
+    """Batch against serving form of all 65 features of the same events."""
+    k = kept(spark, sf_dir)
+    return features.skew(cut(features.build(linked(spark, sf_dir), P)), cut(features.serve(k, k, P)), features.names(P))
+
+
 @_query(sql(f"""{KEPT}, bins AS (SELECT floor((magnitude + 1e-9) / 0.1e0)::BIGINT AS i, count(*) AS n FROM kept GROUP BY 1), ends AS (SELECT min(i) AS a, max(i) - min(i) + 1 AS bins FROM bins),
 spread AS (SELECT a, ends.bins AS l, ((i + k - a) % (2 * l) + 2 * l) % (2 * l) AS x, n * exp(-0.5e0 * (k / 1.2e0) * (k / 1.2e0)) AS w FROM bins, ends, range(-5, 6) r(k))""",
             f"SELECT a + least(x, 2 * l - 1 - x) AS bin, {r6('sum(w) / (SELECT sum(exp(-0.5e0 * (k / 1.2e0) * (k / 1.2e0))) FROM range(-5, 6) r(k))')} AS smoothed FROM spread GROUP BY 1"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quakeloom.functions import geo
-from quakeloom.operators import metrics
+from quakeloom.operators import backtests, isotonic, metrics, skew
 from quakeloom.plans.oracle import KEPT, P, r6, sql
 from quakeloom.sources.derived import catalog
 
@@ -24,11 +24,11 @@ def _query(oracle: str):
 
 
 def scores(spark, sf_dir):
-    """family, target, label, probability, actual, predicted of every event, by fixed residues."""
+    """event_id, family, target, label, probability, actual, predicted of every event, by fixed residues."""
     events = catalog(spark, sf_dir).where(F.col("magnitude") >= P.m_c)
     pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("family"), F.lit(i).alias("fi"), F.lit(t).alias("target"), F.lit(j).alias("ti")) for i, f in enumerate(FAMILIES) for j, t in enumerate(TARGETS)))).alias("x")
     return events.select("event_id", "magnitude", pairs).select("event_id", "magnitude", "x.*").selectExpr(
-        "family", "target", "cast((event_id * 7 + ti * 3) % 10 < 3 as int) AS label",
+        "event_id", "family", "target", "cast((event_id * 7 + ti * 3) % 10 < 3 as int) AS label",
         "(event_id * (37 + fi * 12)) % 1000 / 1000D * 0.7D + cast((event_id * 7 + ti * 3) % 10 < 3 as int) * 0.3D AS probability",
         "if(event_id % 3 = 0, NULL, magnitude) AS actual", "magnitude + ((event_id * (41 + fi * 6)) % 100 - 50) / 100D AS predicted",
     )
@@ -128,6 +128,58 @@ def metric_deltas(spark, sf_dir):
     return found.withColumn("after", geo.rounded(F.col("after")))
 
 
+_YEARLY = _LONG.replace("FROM kept, names)", "FROM (SELECT *, year(to_timestamp(sort_time) AT TIME ZONE 'UTC')::INT AS year FROM kept), names)")
+for _old, _new in (("family, target", "year, family, target"), ("target, family", "year, target, family"), ("BY target, metric", "BY year, target, metric"), ("names(year, family", "names(family")):
+    _YEARLY = _YEARLY.replace(_old, _new)
+
+
+def yearly_scores(spark, sf_dir):
+    """`scores` with the year of each event."""
+    events = catalog(spark, sf_dir).select("event_id", F.year(F.timestamp_seconds("sort_time")).alias("year"))
+    return scores(spark, sf_dir).join(events, "event_id")
+
+
+@_query(sql(f"""{_YEARLY}, total AS (SELECT year, family, {r6('sum(score)')} AS total FROM sc GROUP BY year, family),
+chosen AS (SELECT year, family FROM total QUALIFY row_number() OVER (PARTITION BY year ORDER BY total DESC, family) = 1),
+won AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY year, target ORDER BY score DESC, family) = 1)""",
+            """SELECT sc.year, sc.target, sc.family AS pick, sc.score AS pick_score, won.family AS raw_winner, won.score AS raw_winner_score
+  FROM sc JOIN chosen ON chosen.year = sc.year AND chosen.family = sc.family JOIN won ON won.year = sc.year AND won.target = sc.target"""))
+def year_picks(spark, sf_dir):
+    """The picked family and the best one of each target, per year."""
+    return backtests.picks(backtests.measured(yearly_scores(spark, sf_dir)))
+
+
+@_query(sql(f"""{SCORES}, v AS MATERIALIZED (SELECT family, target, probability, count(*) AS n, sum(label) AS pos, row_number() OVER (PARTITION BY family, target ORDER BY probability) AS k FROM s GROUP BY family, target, probability),
+c AS MATERIALIZED (SELECT *, sum(n) OVER w AS cn, sum(pos) OVER w AS cp FROM v WINDOW w AS (PARTITION BY family, target ORDER BY k ROWS UNBOUNDED PRECEDING)),
+rates AS (SELECT i.family, i.target, i.k AS i, j.k AS j, (j.cp - i.cp + i.pos) / (j.cn - i.cn + i.n)::DOUBLE AS rate FROM c i JOIN c j ON j.family = i.family AND j.target = i.target AND j.k >= i.k),
+least AS (SELECT family, target, j, min(rate) OVER (PARTITION BY family, target, i ORDER BY j DESC ROWS UNBOUNDED PRECEDING) AS rate FROM rates),
+best AS (SELECT family, target, j AS k, max(rate) AS rate FROM least GROUP BY ALL)""",
+            f"SELECT family, target, {r6('probability')} AS probability, n, {r6('rate')} AS calibrated FROM v JOIN best USING (family, target, k)"))
+def isotonic_calibration(spark, sf_dir):
+    """The calibrated probability of every distinct score; the SQL has the least of all means from there on, and the largest of these so far."""
+    s = scores(spark, sf_dir)
+    values = s.groupBy(*KEYS, "probability").agg(F.count("*").alias("n"))
+    found = isotonic.calibrate(values, isotonic.fit(s, KEYS), KEYS)
+    return found.select(*KEYS, geo.rounded(F.col("probability")).alias("probability"), "n", geo.rounded(F.col("calibrated")).alias("calibrated"))
+
+
+_SKEWED = f"""{SCORES.replace("AS MATERIALIZED (SELECT family,", "AS MATERIALIZED (SELECT event_id, family,")}, p AS (SELECT event_id, target, a.label, a.probability AS batch, b.probability AS serving
+  FROM s a JOIN s b USING (event_id, target) WHERE a.family = 'forest' AND b.family = 'gbt'),
+u AS (SELECT target, 'batch' AS form, label, batch AS probability FROM p UNION ALL SELECT target, 'serving', label, serving FROM p),
+e AS (SELECT target, form, {r6('sum(n * abs(mp - rate)) / sum(n)')} AS ece FROM (SELECT target, form, len(list_filter({_EDGES}, lambda e: probability >= e)) AS bin, count(*) AS n, avg(probability) AS mp, avg(label) AS rate FROM u GROUP BY ALL) GROUP BY ALL),
+m AS (SELECT target, form, {r6('avg((probability - label) * (probability - label))')} AS brier, {r6('avg(probability)')} AS mean FROM u GROUP BY ALL),
+w AS (SELECT target, {', '.join(f"any_value({c}) FILTER (form = '{f}') AS {c}_{f}" for f in ('batch', 'serving') for c in ('brier', 'ece', 'mean'))} FROM m JOIN e USING (target, form) GROUP BY target)"""
+
+
+@_query(sql(_SKEWED, f"""SELECT * FROM w JOIN (SELECT target, count(*) AS rows, {r6('avg(abs(batch - serving))')} AS mean_change, {r6('quantile_cont(abs(batch - serving), 0.5)')} AS median_change,
+  {r6('quantile_cont(abs(batch - serving), 0.9)')} AS p90_change, {r6('corr(batch, serving)')} AS correlation FROM p GROUP BY target) USING (target)"""))
+def skew_effect(spark, sf_dir):
+    """The effect of two forms on the same events' scores; here the scores of two families stand for the two forms."""
+    s = scores(spark, sf_dir)
+    form = lambda family, name: s.where(f"family = '{family}'").select("event_id", "target", "label", F.col("probability").alias(name))
+    return skew.effect(form("forest", "batch").join(form("gbt", "serving").drop("label"), ["event_id", "target"]), ["target"])
+
+
 _ZONES = "p1 + p2 + p3 + p4 AS p_any, p1 AS p_within_10km, p1 + p2 AS p_within_25km, p1 + p2 + p3 AS p_within_50km, p4 AS p_beyond_50km"
 _PARTS = ", ".join(f"(event_id * {k}) % 50 / 250e0 AS p{i}" for i, k in enumerate((3, 7, 11, 13, 17)))
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakeloom.functions import geo
-from quakeloom.operators import clusters, features, mixture, models, sampling, targets
+from quakeloom.operators import backtests, clusters, features, mixture, models, sampling, skew, targets
 from quakeloom.plans import catalog_queries, feature_queries
 from quakeloom.plans.cluster_queries import linked
 from quakeloom.plans.oracle import KEPT, LINKED, r6, sql
@@ -75,6 +75,34 @@ def calibration_study(spark, sf_dir):
     return models.calibration_study(parts["train"], parts["validate"], parts["test"], SIZE)
 
 
+def skew_effect_scores(spark, sf_dir):
+    """The effect of the serving form of all features on the forest's scores of the validation year."""
+    k = feature_queries.kept(spark, sf_dir)
+    rows = cut(training_set(spark, sf_dir))
+    parts = sampling.checked_split(rows)
+    asked = k.join(parts["validate"].select("event_id"), "event_id", "left_semi")
+    return skew.effect(skew.paired_scores(models.train(parts["train"], "forest", SIZE), parts["validate"], cut(features.serve(asked, k))), ["target"])
+
+
+BACKTEST_YEARS, BACKTEST_FAMILIES = [2025, 2026], ("forest", "gbt", "logit")
+
+
+def _rolled(spark, sf_dir):
+    rows = cut(training_set(spark, sf_dir))
+    return rows, cut(backtests.measured(*map(cut, backtests.rolling(rows, BACKTEST_YEARS, BACKTEST_FAMILIES, SIZE))))
+
+
+def backtest_by_year(spark, sf_dir):
+    """Metrics of each family and target in each of two years, learned from the years before."""
+    return _rolled(spark, sf_dir)[1]
+
+
+def pick_report(spark, sf_dir):
+    """A JSON document a year: picks, their scores and metrics from the backtests of that year."""
+    rows, long = _rolled(spark, sf_dir)
+    return backtests.report(long, backtests.pools(rows, BACKTEST_YEARS, BACKTEST_FAMILIES))
+
+
 def serve_event_json(spark, sf_dir):
     """A JSON forecast of every event since 2026 by the forest family."""
     parts = sampling.checked_split(cut(training_set(spark, sf_dir)))
@@ -93,6 +121,9 @@ QUERIES = {
     "ensemble_scores": ensemble_scores,
     "backtest_metrics": backtest_metrics,
     "calibration_study": calibration_study,
+    "skew_effect_scores": skew_effect_scores,
+    "backtest_by_year": backtest_by_year,
+    "pick_report": pick_report,
     "serve_event_json": serve_event_json,
 }
 #: The SQL of each part of the training set, by event.

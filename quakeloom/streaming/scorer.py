@@ -27,6 +27,21 @@ def hourly_rate(events: DataFrame, late: str = "2 days", width: str = "1 hour")
     return timed.groupBy(F.window("event_time", width)).agg(F.count("*").alias("events"), F.max("magnitude").alias("largest")).select("window.start", "window.end", "events", "largest")
 
 
+def bursts(events: DataFrame, gap: str = "1 hour", late: str = "2 days", degrees: float = 1.0) -> DataFrame:
+    """row, column, start, end, events, largest of each run of events in one cell of so many degrees that follow each other
+    by at most `gap`.
+
+    `end` is the last event's time plus the gap. On a stream each burst is handed out once, when `late` has passed since its
+    end; events that come later than that are left out. On a table all bursts come at once. Events without time or place are
+    left out. Cells keep the runs apart, so that no task has to see the events of the whole world.
+    """
+    known = events.where(F.col("sort_time").isNotNull() & F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    timed = known.withColumn("event_time", F.timestamp_seconds("sort_time")).withWatermark("event_time", late)
+    cell = (F.floor(F.col(c) / F.lit(degrees)).alias(n) for c, n in (("latitude", "row"), ("longitude", "column")))
+    found = timed.groupBy(*cell, F.session_window("event_time", gap).alias("burst")).agg(F.count("*").alias("events"), F.max("magnitude").alias("largest"))
+    return found.select("row", "column", "burst.start", "burst.end", "events", "largest")
+
+
 def score_stream(events: DataFrame, history: Callable[[], DataFrame], model: models.Model, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Scores each micro-batch with the history of its time and hands (scores, batch number) to `sink`.
 
