@@ -66,7 +66,7 @@ def eta_threshold_links(spark, sf_dir):
 
 @_query(sql(CLUSTERED, "SELECT event_id, root FROM rooted", recursive=True))
 def cluster_roots(spark, sf_dir):
-    return clusters.cluster_roots(cut(linked(spark, sf_dir)))
+    return clusters.cluster_roots(linked(spark, sf_dir))
 
 
 _LABELS = ", ".join(clusters.LABELS)

@@ -72,3 +72,11 @@ def test_features_do_not_see_the_future(spark):
 def test_zones_are_nested(spark):
     t = registry.queries()["forecast_targets"](spark, DATA)
     assert t.where("aftershock_within_10km_24h > aftershock_within_25km_24h OR aftershock_within_25km_24h > aftershock_within_50km_24h OR aftershock_within_50km_24h > aftershock_24h").count() == 0
+
+
+def test_cluster_roots_are_those_of_the_clusters(spark):
+    q = registry.queries()
+    roots, members = q["cluster_roots"](spark, DATA), q["clustered_events"](spark, DATA)
+    both = roots.join(members, "event_id")
+    assert both.count() == roots.count() == members.count() > 0
+    assert both.select("root", "cluster_id").distinct().count() == both.select("root").distinct().count() == both.select("cluster_id").distinct().count()
