@@ -80,3 +80,11 @@ def test_cluster_roots_are_those_of_the_clusters(spark):
     both = roots.join(members, "event_id")
     assert both.count() == roots.count() == members.count() > 0
     assert both.select("root", "cluster_id").distinct().count() == both.select("root").distinct().count() == both.select("cluster_id").distinct().count()
+
+
+def test_the_plan_of_the_training_set_holds_its_parts_as_tables(spark):
+    """The driver's memory follows the plan: written parts are joined, no part is planned again."""
+    from quakeloom.plans import feature_queries, model_queries
+
+    plans = [model_queries.training_set(spark, DATA), feature_queries.clustered(spark, DATA)]
+    assert [p._jdf.queryExecution().optimizedPlan().toString().count("Join ") < 8 for p in plans] == [True, True]
