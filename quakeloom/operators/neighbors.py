@@ -4,12 +4,14 @@ The join of every event with all earlier ones is pruned exactly, by branch and b
 space-time cells:
 
 * The few largest events are compared with all, and the last events of the same cell: the first bound of each event's eta.
+  Those in the innermost rings (below) of the upper half of the strata make it tight, so that few of all pairs are better and have to be sorted.
 * The rest is split into strata of magnitude. A bound and a stratum's largest magnitude give the event's reach: how
   long ago, at each distance, a parent of the stratum may lie.
 * Space is cut into rings around the event, each four times as wide as the one before. In the innermost, whose width
   follows from how dense the stratum is, or from the reach if that goes back to the start, the whole past is looked through.
   In each ring further out a parent must be more recent than the reach at the ring's inner edge, so that rings
-  look back the less the wider they are. The last one, beyond all others, has no outer edge.
+  look back the less the wider they are. The last one, beyond all others, has no outer edge; it begins where so short a time
+  is left that few events anywhere lie in it.
 * Each ring of each event asks the level of the pyramid whose cells are twice as wide as the ring and somewhat longer than it looks back.
 
 All that is one join on equal keys (level, cell, time bucket). For events that fill the same region and span more densely,
@@ -36,11 +38,15 @@ LAST, TIME_PARTS = 8, 64
 #: Each ring is so many times as wide as the one inside it. The innermost is chosen between the least and the largest
 #: width, so that the cell around an event of a stratum holds FEW of its events on the mean; the last has no outer edge.
 RING_GROWTH, LEAST_KM, MOST_KM, FEW = 4.0, 4.0**-4, 256.0, 32
+#: Rings that look back over so few events of the stratum, wherever they are, are one with all beyond them.
+FEW_ANYWHERE = 8
 #: Each time level has buckets so many times as long as the one before.
 TIME_GROWTH = 16
 #: More than any rounding of a bound, in log10 units.
 SLACK = 1e-9
 _PAIR = ("event_id", "t", "mag", "lat", "lon", "cos")
+#: What an event that asks needs of them.
+_ASKING = tuple(c for c in _PAIR if c != "mag")
 
 
 def _eta(p: Params) -> Column:
@@ -92,37 +98,43 @@ def _strata(past: DataFrame, below: float, cutoffs: list[float | None]) -> list[
     return [(low, high, of(low)) for low, high in zip(lows, highs) if of(low) >= 0]
 
 
-def _innermost(past: DataFrame, n_strata: int) -> list[float]:
-    """Per stratum the width in km of the innermost ring, between widths at which cells were counted: a row per stratum and width."""
+def _innermost(past: DataFrame, n_strata: int) -> tuple[list[float], list[int]]:
+    """Per stratum the width in km of the innermost ring, between widths at which cells were counted (a row per stratum and width), and its events."""
     widths = [LEAST_KM * RING_GROWTH**k for k in range(1 + round(math.log(MOST_KM / LEAST_KM, RING_GROWTH)))]
     levels = F.explode(F.array(*(F.struct(F.lit(j).alias("j"), _key(F.col("s"), F.lit(j), *_cube(2 * km / EARTH_KM)).alias("cell")) for j, km in enumerate(widths))))
     counts = past.select("s", levels.alias("c")).groupBy("s", "c.j", "c.cell").agg(F.count("*").cast("double").alias("n"))
-    means = {(r.s, r.j): r.mean for r in counts.groupBy("s", "j").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("mean")).collect()}
+    told = counts.groupBy("s", "j").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("n")).collect()
+    means, sizes = {(r.s, r.j): r.mean for r in told}, {r.s: r.n for r in told}
     out = []
     for s in range(n_strata):
         mean = [means.get((s, j), 0.0) for j in range(len(widths))]
         j = max([j for j, m in enumerate(mean) if m <= FEW], default=0)
         between = math.log(FEW / mean[j], mean[j + 1] / mean[j]) if j + 1 < len(widths) and 0 < mean[j] <= FEW < mean[j + 1] else 0.0
         out.append(widths[j] * RING_GROWTH**between)
-    return out
+    return out, [sizes.get(s, 0) for s in range(n_strata)]
 
 
-def _rings(bounded: DataFrame, inner: list[float], strata: list[tuple[float, float, int]], start: int, cutoffs: list[float | None], p: Params) -> DataFrame:
-    """A row for each event, stratum (s) and ring (j): how far to look back, the bound (eta_limit), and the length of time buckets."""
+def _rings(bounded: DataFrame, inner: list[float], strata: list[tuple[float, float, int]], rates: list[float], start: int, cutoffs: list[float | None], p: Params, innermost: bool = False) -> DataFrame:
+    """A row for each event, stratum (s) and ring (j), or the innermost ring only: how far to look back, the bound (eta_limit), and the length of time buckets. rates: events a second of each stratum."""
     # an event only needs the cutoffs up to its own magnitude
     own = sum((F.lit(1) if m is None else F.when(F.col("mag") >= m, 1).otherwise(0) for m in cutoffs), F.lit(0))
     bounds = F.array(*(F.coalesce(f"bound{i}", F.lit(float("inf"))) for i in range(len(cutoffs))))
-    each = F.explode(F.array(*(F.struct(F.lit(s).alias("s"), F.lit(high).alias("high"), F.lit(c + 1).alias("c"), F.lit(km).alias("innermost"), F.lit(_last(km)).alias("last")) for s, ((_, high, c), km) in enumerate(zip(strata, inner)))))
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("s"), F.lit(high).alias("high"), F.lit(c + 1).alias("c"), F.lit(km).alias("innermost"), F.lit(_last(km)).alias("last"), F.lit(rate).alias("rate")) for s, ((_, high, c), km, rate) in enumerate(zip(strata, inner, rates)))))
     asks = bounded.withColumns({"own": own, "bounds": bounds, "stratum": each}).where("own > 0").select(*_PAIR, "x", "y", "z", "own", "bounds", "stratum.*")
     asks = asks.withColumn("eta_limit", F.element_at("bounds", F.least("own", "c")) + SLACK).withColumn("whole", (F.col("t") - start).cast("double"))
     asks = asks.withColumn("reach", F.pow(F.lit(10.0), F.col("eta_limit") + p.b * F.col("high")) * YEAR_SECONDS)
-    asks = asks.withColumn("j", F.explode(F.sequence(F.lit(0), "last")))
+    asks = asks.withColumn("j", F.lit(0) if innermost else F.explode(F.sequence(F.lit(0), "last")))
     # rings that look back to the start are one with those inside them
     edge = lambda j: F.pow(F.col("innermost") * F.pow(F.lit(RING_GROWTH), j - 1), F.lit(p.d_f))
     back = lambda j: F.least(F.col("reach") / edge(j), F.col("whole"))
-    inside = (F.col("j") < F.col("last")) & (back(F.col("j") + 1) >= F.col("whole"))
-    look = F.when(F.col("j") == 0, F.col("whole")).otherwise(back(F.col("j")))
-    rings = asks.where(~inside & (look >= 1)).select(*_PAIR, "x", "y", "z", "s", "j", "innermost", "last", F.ceil(look).alias("back"), "eta_limit")
+    look = lambda j: F.when(j == 0, F.col("whole")).otherwise(back(j))
+    j, on = F.col("j"), look(F.col("j")) >= 1
+    if not innermost:
+        few = lambda j: look(j) * F.col("rate") <= FEW_ANYWHERE
+        inside = (j < F.col("last")) & (back(j + 1) >= F.col("whole")) & ~few(j)
+        on = on & ~inside & ~((j > 0) & few(j - 1))
+        j = F.when(few(j), F.col("last")).otherwise(j)
+    rings = asks.where(on).select(*_ASKING, "x", "y", "z", "s", j.alias("j"), "innermost", "last", F.ceil(look(F.col("j"))).alias("back"), "eta_limit")
     level = F.ceil(F.log(F.col("back").cast("double")) / F.log(F.lit(float(TIME_GROWTH))) - SLACK)
     return cut(rings.withColumn("length", F.pow(F.lit(float(TIME_GROWTH)), level).cast("long")))
 
@@ -155,7 +167,7 @@ def _pairs(rings: DataFrame, past: DataFrame) -> DataFrame:
         for more in new:
             on = on & more
         keys.append(F.when(on, _key(F.col("s"), F.col("j"), F.col("length"), *at)))
-    asks = placed.select(*_PAIR, "eta_limit", F.explode(F.array(*keys)).alias("key")).where("key IS NOT NULL")
+    asks = placed.select(*_ASKING, "eta_limit", F.explode(F.array(*keys)).alias("key")).where("key IS NOT NULL")
     used = F.broadcast(rings.select("s", "j", "length", "innermost", "last").distinct())  # strata x rings x time levels at most
     mine = [F.when(last, 0).otherwise(c).cast("long") for c in _cube(F.col("width"))]
     offers = _as_parent(past.join(used, "s").withColumn("width", _width()), _key(F.col("s"), F.col("j"), F.col("length"), *mine, F.floor(F.col("t") / F.col("length"))).alias("key"))
@@ -187,16 +199,20 @@ def _search(catalog: DataFrame, cutoffs: list[float | None], p: Params, history:
     names = [f"bound{i}" for i in range(len(cutoffs))]
     bounds = least(with_large(events)).unionByName(least(recent)).groupBy("event_id").agg(*(F.min(c).alias(c) for c in names))
     bounded = cut(events.join(bounds, "event_id", "left"))
+    strata = _strata(past, below, cutoffs)
+    if strata:
+        stratum = F.coalesce(*(F.when((F.col("mag") >= low) & (F.col("mag") <= high), F.lit(s)) for s, (low, high, _) in enumerate(strata)))
+        placed = cut(past.withColumn("s", stratum).where("s IS NOT NULL"))
+        inner, sizes = _innermost(placed, len(strata))
+        rates, half = [n / max(1, end - start) for n in sizes], (len(strata) + 1) // 2
+        # least values of numbers are taken by hash, where the least of a struct sorts all pairs: the bound comes first
+        closest = least(_pairs(_rings(bounded, inner[:half], strata[:half], rates, start, cutoffs, p, innermost=True), placed))
+        tight = bounded.select("event_id", *names).unionByName(closest).groupBy("event_id").agg(*(F.min(c).alias(c) for c in names))
+        bounded = cut(events.join(tight, "event_id", "left"))
     known_bounds = [F.coalesce(c, F.lit(float("inf"))) for c in names]
     loosest = (F.greatest(*known_bounds) if len(names) > 1 else known_bounds[0]) + SLACK
     known = with_large(bounded.select(*_PAIR, loosest.alias("eta_limit")))
-
-    strata = _strata(past, below, cutoffs)
-    if not strata:
-        return [known]
-    stratum = F.coalesce(*(F.when((F.col("mag") >= low) & (F.col("mag") <= high), F.lit(s)) for s, (low, high, _) in enumerate(strata)))
-    placed = cut(past.withColumn("s", stratum).where("s IS NOT NULL"))
-    return [known, _pairs(_rings(bounded, _innermost(placed, len(strata)), strata, start, cutoffs, p), placed)]
+    return [known, _pairs(_rings(bounded, inner, strata, rates, start, cutoffs, p), placed)] if strata else [known]
 
 
 def _found(catalog: DataFrame, cutoffs: list[float | None], p: Params, history: DataFrame | None = None) -> DataFrame:

@@ -215,3 +215,32 @@ def test_tables_are_reused_and_deleted(spark, tmp_path):
     session.drop_cuts(spark)
     assert not os.path.exists(path)
     assert session.reused("twice", source, make).count() == 7 and len(made) == 3
+
+
+def test_few_pairs_are_left_to_sort(spark):
+    """Of the pairs that reach the sorted aggregate, each event has a few only, whatever the number of events."""
+    from quakeloom.operators import neighbors
+    from quakeloom.params import DEFAULT
+
+    for n in (2000, 4000):
+        at = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(10_000)) / 10_000.0
+        events = spark.range(n).select(
+            F.col("id").alias("event_id"), (at(1) * 3e8).cast("long").alias("sort_time"), (30 + 6 * at(2)).alias("latitude"), (130 + 6 * at(3)).alias("longitude"),
+            F.lit(10.0).alias("depth_km"), F.round(1 - F.log10(1 - at(4)), 1).alias("magnitude"),
+        )
+        left = [pairs.withColumn("eta", neighbors._eta(DEFAULT)).where("eta <= eta_limit").count() for pairs in neighbors._search(events, [None], DEFAULT)]
+        assert len(left) == 2 and n * 0.9 < sum(left) < 4 * n
+
+
+def test_a_cut_leaves_no_shuffle_files(spark):
+    import glob
+    import time
+
+    files = lambda: len(glob.glob(f"{spark.conf.get('spark.local.dir')}/**/shuffle_*.data", recursive=True))
+    before = files()
+    written = cut(spark.range(10_000, numPartitions=16).groupBy((F.col("id") % 5000).alias("k")).agg(F.count("*").alias("n")))
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and written.agg(F.sum("n")).first()[0] == 10_000
