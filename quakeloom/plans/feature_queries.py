@@ -89,16 +89,14 @@ _LOCAL_NAMES = features.local_names(P)
 @_query(sql(f"{_NEAR}, g AS (SELECT event_id, {_LOCAL} FROM near GROUP BY event_id)", f"SELECT event_id, {', '.join(f'coalesce({n}, 0) AS {n}' for n in _LOCAL_NAMES)} FROM kept LEFT JOIN g USING (event_id)"))
 def local_activity(spark, sf_dir):
     k = kept(spark, sf_dir)
-    return _rounded(features.local_activity(k, k, P).select("event_id", *_LOCAL_NAMES), *(n for n in _LOCAL_NAMES if "max_mag" in n))
+    return _rounded(features.local_counts(k, k, P), *(n for n in _LOCAL_NAMES if "max_mag" in n))
 
 
 @_query(sql(_NEAR, f"""SELECT event_id, {r6('km')} AS distance_km, m AS magnitude, {r6('(t - ht) / 86400e0')} AS age_days FROM kept
   LEFT JOIN (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY km, ht, hid) = 1) USING (event_id)"""))
 def nearest_recent(spark, sf_dir):
     k = kept(spark, sf_dir)
-    name = "nearest_recent_event_{}_past_30d"
-    found = features.local_activity(k, k, P).select("event_id", *(F.col(name.format(x)).alias(x) for x in ("distance_km", "magnitude", "age_days")))
-    return _rounded(found, "magnitude")
+    return _rounded(features.nearest_recent(k, k), "magnitude")
 
 
 @_query(sql(f"""{KEPT}, g AS (SELECT q.event_id, count(*) AS n, avg(h.magnitude) AS mean FROM kept q JOIN kept h ON h.sort_time >= q.sort_time - 94672800

@@ -244,3 +244,23 @@ def test_a_cut_leaves_no_shuffle_files(spark):
             break
         time.sleep(0.1)
     assert files() <= before and written.agg(F.sum("n")).first()[0] == 10_000
+
+
+def test_nearest_recent_is_that_of_all_pairs(spark):
+    """Radius by radius, over dense and sparse places, high latitudes and equal distances."""
+    at = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1000)) / 1000.0
+    wide = F.when(F.col("id") % 3 == 0, 0.05).when(F.col("id") % 3 == 1, 1.0).otherwise(8.0)
+    north = F.when(F.col("id") % 7 == 0, 80.0).otherwise(20.0)
+    events = cut(spark.range(3000).select(
+        F.col("id").alias("event_id"), (at(1) * 2e7).cast("long").alias("sort_time"), F.round(north + wide * at(2), 2).alias("latitude"), F.round(100 + wide * at(3), 2).alias("longitude"),
+        F.lit(5.0).alias("depth_km"), (1 + 3 * at(4)).alias("magnitude"),
+    ))
+    for serving in (False, True):
+        pairs = range_join.near_past(events.select("event_id", "sort_time", "latitude", "longitude"), events, 100, 30 * 86400, serving)
+        first = pairs.groupBy("event_id").agg(F.min(F.struct("km", "p_sort_time", "p_event_id", "p_magnitude", (F.col("sort_time") - F.col("p_sort_time")).alias("age"))).alias("n"))
+        plain = events.select("event_id").join(first, "event_id", "left").select("event_id", F.col("n.km").alias("distance_km"), F.col("n.p_magnitude").alias("magnitude"), (F.col("n.age") / 86400).alias("age_days"))
+        mine = features.nearest_recent(events, events, serving)
+        assert sorted(map(repr, plain.collect())) == sorted(map(repr, mine.collect()))
+        assert mine.where("distance_km > 25").count() > 10 and mine.where("distance_km < 1").count() > 10
+    plan = features.local_counts(events, events)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
