@@ -17,14 +17,14 @@ from quakeloom.params import DEGREE_KM
 _HISTORY = ("event_id", "sort_time", "latitude", "longitude", "magnitude", "depth_km")
 
 
-def _scale(latitude: Column) -> Column:
+def scale(latitude: Column) -> Column:
     """Shrinking of longitude degrees, with the floor that the search box has."""
     return F.greatest(F.cos(F.radians(latitude)), F.lit(0.1))
 
 
 def _width(row: Column, height: float, radius_km: float) -> Column:
     far = F.least(F.greatest(F.abs((row - 1) * height), F.abs((row + 2) * height)), F.lit(90.0))
-    return F.lit(radius_km / DEGREE_KM) / _scale(far)
+    return F.lit(radius_km / DEGREE_KM) / scale(far)
 
 
 def near_past(queries: DataFrame, history: DataFrame, radius_km: float, window_seconds: int, serving: bool = False) -> DataFrame:
@@ -35,7 +35,7 @@ def near_past(queries: DataFrame, history: DataFrame, radius_km: float, window_s
     """
     height = radius_km / DEGREE_KM
     row, bucket = F.floor(F.col("latitude") / height), F.floor(F.col("sort_time") / window_seconds)
-    half = F.lit(height) / _scale(F.col("latitude"))
+    half = F.lit(height) / scale(F.col("latitude"))
     seeking = queries.withColumn("_half", half).withColumn("_row", F.explode(F.sequence(row - 1, row + 1)))
     width = _width(F.col("_row"), height, radius_km)
     cells = F.sequence(F.floor((F.col("longitude") - F.col("_half")) / width), F.floor((F.col("longitude") + F.col("_half")) / width))

@@ -5,11 +5,12 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quakeloom.functions.ordering import counted_before, numbered
-from quakeloom.operators import features, metrics, mixture, models, neighbors, range_join, reports, sampling, targets
+from quakeloom.operators import disc_sums, features, metrics, mixture, models, neighbors, range_join, reports, sampling, targets
 from quakeloom.plans import workflow
 from quakeloom.session import cut
 from quakeloom.sources import sinks
@@ -264,3 +265,48 @@ def test_nearest_recent_is_that_of_all_pairs(spark):
         assert mine.where("distance_km > 25").count() > 10 and mine.where("distance_km < 1").count() > 10
     plan = features.local_counts(events, events)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_local_counts_are_those_of_all_pairs(spark, monkeypatch, split):
+    """Dense and sparse places, copies, equal times, high latitudes, the date line, unknown magnitudes; tiles whole and split."""
+    monkeypatch.setattr(disc_sums, "FEW_PAIRS", 50)
+    monkeypatch.setattr(disc_sums, "PAIRS_AT_ONCE", 70)
+    if split:
+        monkeypatch.setattr(disc_sums, "TILE_EVENTS", 150)
+    at = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1000)) / 1000.0
+    wide = F.when(F.col("id") % 3 == 0, 0.05).when(F.col("id") % 3 == 1, 1.0).otherwise(6.0)
+    north = F.when(F.col("id") % 7 == 0, 83.0).when(F.col("id") % 7 == 1, -1.0).otherwise(20.0)
+    east = F.when(F.col("id") % 5 == 0, 179.5).when(F.col("id") % 5 == 1, -179.9).otherwise(100.0)
+    events = cut(spark.range(3000).select(
+        F.col("id").alias("event_id"), (F.floor(at(1) * 300) * 86400).alias("sort_time"), F.round(north + wide * at(2), 2).alias("latitude"), F.round(east + wide * at(3), 2).alias("longitude"),
+        F.lit(5.0).alias("depth_km"), F.when(F.col("id") % 11 > 0, F.round(1 + 3 * at(4), 1)).alias("magnitude"),
+    ))
+    for serving in (False, True):
+        pairs = range_join.near_past(events.select("event_id", "sort_time", "latitude", "longitude"), events, 100, 30 * 86400, serving)
+        sums = []
+        for r in (10, 25, 50, 100):
+            for d in (1, 7, 30):
+                inside = (F.col("km") <= r) & (F.col("p_sort_time") >= F.col("sort_time") - d * 86400)
+                sums += [F.count_if(inside), F.max(F.when(inside, F.col("p_magnitude"))), F.log10(F.sum(F.when(inside, F.pow(F.lit(10.0), F.col("p_magnitude") * 1.5))))]
+        plain = events.select("event_id").join(pairs.groupBy("event_id").agg(*sums), "event_id", "left").fillna(0).collect()
+        mine = {r.event_id: list(r)[1:] for r in features.local_counts(events, events, serving=serving).collect()}
+        names = [f"local_{what}_{r}km_past_{d}d" for r in (10, 25, 50, 100) for d in (1, 7, 30) for what in ("events", "max_mag", "log10_energy")]
+        assert features.local_counts(events, events).columns[1:] == names
+        assert len(mine) == len(plain) == 3000 and sum(r[34] for r in plain) > 10_000
+        assert all(mine[r.event_id] == pytest.approx(list(r)[1:], abs=1e-9) for r in plain)
+
+
+def test_pairs_looked_at_one_by_one_grow_slower_than_all_pairs():
+    rng = np.random.default_rng(5)
+    left = []
+    for n in (10_000, 40_000):
+        p = {"event_id": np.arange(n), "sort_time": np.sort(rng.integers(0, 30 * 86400, n)), "latitude": rng.uniform(10, 11, n), "longitude": rng.uniform(120, 121, n)}
+        p |= {"magnitude": rng.uniform(1, 4, n), "half": np.full(n, 100 / 111.32) / np.cos(np.radians(p["latitude"]))}
+        bounds = disc_sums._bounds(p, p, [30 * 86400], False)
+        at = disc_sums._unit(p["latitude"], p["longitude"])
+        chords = 2 * np.sin(np.array([10.0, 25.0, 50.0, 100.0]) / (2 * 6371.0088))
+        found = [(asked, some) for asked, some, edge in disc_sums._halves(p, p, at, at, bounds, chords, 100 / 111.32) if edge]
+        left.append(sum(int(np.diff(np.searchsorted(some, bounds[asked]), axis=1).sum()) for asked, some in found))
+        assert left[-1] < 0.5 * n * (n - 1) / 2
+    assert left[1] < 10 * left[0]  # all pairs: 16 times
