@@ -22,7 +22,7 @@ from quakeloom.params import DEGREE_KM, EARTH_KM
 #: Tiles are so many radii wide and so many windows long. Denser ones than this many earlier events are split by hash.
 TILE_RADII, TILE_WINDOWS, TILE_EVENTS = 3, 8, 1_000_000
 #: Pairs at the edges that aren't halved any more, and pairs that are made at once.
-FEW_PAIRS, PAIRS_AT_ONCE = 30_000, 500_000
+FEW_PAIRS, PAIRS_AT_ONCE = 200_000, 40_000
 #: More than the rounding of a distance between unit vectors, and of a difference in degrees.
 SLACK = 1e-12
 _TILE = ("_row", "_cell", "_bucket")

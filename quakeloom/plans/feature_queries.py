@@ -88,7 +88,7 @@ _LOCAL_NAMES = features.local_names(P)
 
 @_query(sql(f"{_NEAR}, g AS (SELECT event_id, {_LOCAL} FROM near GROUP BY event_id)", f"SELECT event_id, {', '.join(f'coalesce({n}, 0) AS {n}' for n in _LOCAL_NAMES)} FROM kept LEFT JOIN g USING (event_id)"))
 def local_activity(spark, sf_dir):
-    k = kept(spark, sf_dir)
+    k = cut(kept(spark, sf_dir))
     return _rounded(features.local_counts(k, k, P), *(n for n in _LOCAL_NAMES if "max_mag" in n))
 
 
