@@ -1,4 +1,4 @@
-"""Counts, largest magnitudes and energies within discs and past windows, without a row for each pair.
+"""Counts, largest magnitudes and sums within discs and past windows, without a row for each pair.
 
 Events are dealt into tiles several radii wide and several windows long; each tile gets the earlier events that its own can reach.
 In a tile, the events that ask are halved again and again in space. What lies in the same ring of radii for all of a half is
@@ -9,7 +9,7 @@ few pairs are left they are held against each other one by one.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +28,22 @@ SLACK = 1e-12
 _TILE = ("_row", "_cell", "_bucket")
 
 
-def _tiles(queries: DataFrame, history: DataFrame, radius_km: float, window_seconds: int) -> tuple[DataFrame, DataFrame]:
+def energy(magnitude: np.ndarray) -> np.ndarray:
+    return np.power(10.0, 1.5 * magnitude)
+
+
+def known(magnitude: np.ndarray) -> np.ndarray:
+    return (magnitude > -np.inf) | np.isnan(magnitude)
+
+
+def known_magnitude(magnitude: np.ndarray) -> np.ndarray:
+    return np.where(known(magnitude), magnitude, 0.0)
+
+
+def _tiles(queries: DataFrame, history: DataFrame, radius_km: float, window_seconds: int, tile_windows: int = TILE_WINDOWS) -> tuple[DataFrame, DataFrame]:
     """Query events with their own tile, and earlier events with every tile that holds events which can reach them."""
     half = radius_km / DEGREE_KM
-    height, length = TILE_RADII * half, TILE_WINDOWS * window_seconds
+    height, length = TILE_RADII * half, tile_windows * window_seconds
 
     def reach(row: Column) -> Column:
         """Half of the widest search box in this row, in degrees of longitude."""
@@ -49,21 +61,30 @@ def _tiles(queries: DataFrame, history: DataFrame, radius_km: float, window_seco
     return asked, past.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("sort_time") / length), F.floor((F.col("sort_time") + window_seconds) / length))))
 
 
-def near_sums(queries: DataFrame, history: DataFrame, radii_km: tuple[int, ...], windows_seconds: tuple[int, ...], serving: bool = False) -> DataFrame:
-    """event_id and n_i_j, m_i_j, e_i_j (count, largest magnitude, sum of 10^(1.5 magnitude)) within radius i and window j, of
-    the query events that have any earlier event. The pairs are those of `near_past` for the widest radius and window.
+def near_sums(
+    queries: DataFrame,
+    history: DataFrame,
+    radii_km: tuple[int, ...],
+    windows_seconds: tuple[int, ...],
+    serving: bool = False,
+    sums: tuple[Callable[[np.ndarray], np.ndarray], ...] = (energy,),
+    tile_windows: int = TILE_WINDOWS,
+) -> DataFrame:
+    """event_id and n_i_j, m_i_j, s0_i_j, ... (count, largest magnitude, each of `sums` of the magnitudes, unknown ones -inf) within
+    radius i and window j, of the query events that have any earlier event. The pairs are those of `near_past` for the widest
+    radius and window.
     """
     radius, window = max(radii_km), max(windows_seconds)
-    asked, past = _tiles(queries, history, radius, window)
+    asked, past = _tiles(queries, history, radius, window, tile_windows)
     parts = F.broadcast(past.groupBy(*_TILE).agg(F.ceil(F.count("*") / TILE_EVENTS).cast("int").alias("_parts")))
     mine, each = F.pmod(F.xxhash64("event_id"), F.col("_parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
     half = F.lit(radius / DEGREE_KM) / scale(F.col("latitude"))
     columns = ("event_id", "sort_time", "latitude", "longitude")
     asked = asked.join(parts, [*_TILE]).withColumns({"_asked": mine}).withColumn("_past", each).select(*_TILE, "_asked", "_past", *columns, half.alias("half"), F.lit(0.0).alias("magnitude"))
-    # an unknown magnitude counts, but is no largest one and has no energy
-    known = F.coalesce(F.col("magnitude"), F.lit(-math.inf)).alias("magnitude")
-    past = past.join(parts, [*_TILE]).withColumns({"_past": mine}).withColumn("_asked", each).select(*_TILE, "_asked", "_past", *columns, F.lit(-1.0).alias("half"), known)
-    names = [f"{what}_{i}_{j}" for what in "nme" for i in range(len(radii_km)) for j in range(len(windows_seconds))]
+    # an unknown magnitude counts, but is no largest one
+    magnitude = F.coalesce(F.col("magnitude"), F.lit(-math.inf)).alias("magnitude")
+    past = past.join(parts, [*_TILE]).withColumns({"_past": mine}).withColumn("_asked", each).select(*_TILE, "_asked", "_past", *columns, F.lit(-1.0).alias("half"), magnitude)
+    names = [f"{what}_{i}_{j}" for what in ("n", "m", *(f"s{k}" for k in range(len(sums)))) for i in range(len(radii_km)) for j in range(len(windows_seconds))]
     schema = ", ".join(["event_id long", *(f"{n} {'long' if n[0] == 'n' else 'double'}" for n in names)])
     height = radius / DEGREE_KM
 
@@ -71,9 +92,9 @@ def near_sums(queries: DataFrame, history: DataFrame, radii_km: tuple[int, ...],
         rows = rows.sort_by([("sort_time", "ascending"), ("event_id", "ascending")])
         is_past = rows["half"].to_numpy() < 0
         q, p = ({c: rows[c].to_numpy()[of] for c in (*columns, "half", "magnitude")} for of in (~is_past, is_past))
-        sums = _tile_sums(q, p, radii_km, windows_seconds, height, serving)
-        some = sums[0].any(axis=(1, 2))
-        found = [x[some, i, j] for x in sums for i in range(len(radii_km)) for j in range(len(windows_seconds))]
+        found = _tile_sums(q, p, radii_km, windows_seconds, height, serving, sums)
+        some = found[0].any(axis=(1, 2))
+        found = [x[some, i, j] for x in found for i in range(len(radii_km)) for j in range(len(windows_seconds))]
         return pa.table(dict(zip(["event_id", *names], [q["event_id"][some], *found])))
 
     found = asked.unionByName(past).groupBy(*_TILE, "_asked", "_past").applyInArrow(tile, schema)
@@ -97,15 +118,16 @@ def _bounds(q: dict, p: dict, windows: list[int], serving: bool) -> np.ndarray:
     return np.stack([*starts, end[: len(q["event_id"])]], axis=1)
 
 
-def _tile_sums(q: dict, p: dict, radii_km: tuple[int, ...], windows: tuple[int, ...], height: float, serving: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts, largest magnitudes (-inf: none) and energies of the events `q` by radius and window. `q` and `p` lie in order of time and id."""
+def _tile_sums(q: dict, p: dict, radii_km: tuple[int, ...], windows: tuple[int, ...], height: float, serving: bool, sums: tuple = (energy,)) -> list[np.ndarray]:
+    """Counts, largest magnitudes (-inf: none) and `sums` of the events `q` by radius and window. `q` and `p` lie in order of time and id."""
     radii, spans = sorted(radii_km), sorted(windows)
     rings, ages, many = len(radii), len(spans), len(q["event_id"])
     bounds = _bounds(q, p, spans, serving)
     q_at, p_at = _unit(q["latitude"], q["longitude"]), _unit(p["latitude"], p["longitude"])
     chords = np.array([2 * math.sin(min(r / (2 * EARTH_KM), math.pi / 2)) for r in radii])
-    magnitude, energy = p["magnitude"], np.power(10.0, 1.5 * p["magnitude"])
-    n, e, m = np.zeros((many, rings, ages), dtype=np.int64), np.zeros((many, rings, ages)), np.full((many, rings, ages), -np.inf)
+    magnitude, weights = p["magnitude"], [of(p["magnitude"]).astype(np.float64) for of in sums]
+    n, m = np.zeros((many, rings, ages), dtype=np.int64), np.full((many, rings, ages), -np.inf)
+    e = [np.zeros((many, rings, ages)) for _ in sums]
 
     for asked, left, edge in _halves(q, p, q_at, p_at, bounds, chords, height):
         if not edge:
@@ -114,11 +136,11 @@ def _tile_sums(q: dict, p: dict, radii_km: tuple[int, ...], windows: tuple[int,
                     at = np.searchsorted(whole, bounds[asked])
                     some = np.diff(at, axis=1)
                     n[asked, ring] += some
-                    for total, of, add, none in ((e, energy, np.add, 0.0), (m, magnitude, np.maximum, -np.inf)):
+                    for total, of, add, none in ((m, magnitude, np.maximum, -np.inf), *((x, w, np.add, 0.0) for x, w in zip(e, weights))):
                         parts = add.reduceat(np.append(of[whole], none), at.ravel()).reshape(at.shape)[:, :-1]
                         total[asked, ring] = add(total[asked, ring], np.where(some > 0, parts, none))
             continue
-        near_at, latitude, longitude, powers, sizes = p_at[:, left], p["latitude"][left], p["longitude"][left], energy[left], magnitude[left]
+        near_at, latitude, longitude, heavy, sizes = p_at[:, left], p["latitude"][left], p["longitude"][left], [w[left] for w in weights], magnitude[left]
         for some, at in _slices(asked, np.searchsorted(left, bounds[asked])):
             lengths = at[:, -1] - at[:, 0]
             who = np.repeat(np.arange(len(some)), lengths)
@@ -137,15 +159,17 @@ def _tile_sums(q: dict, p: dict, radii_km: tuple[int, ...], windows: tuple[int,
                 key += place >= at[who, j]
             size, shape = len(some) * rings * ages, (len(some), rings, ages)
             n[some] += np.bincount(key, minlength=size).reshape(shape)
-            e[some] += np.bincount(key, weights=powers[place], minlength=size).reshape(shape)
+            for total, w in zip(e, heavy):
+                total[some] += np.bincount(key, weights=w[place], minlength=size).reshape(shape)
             most = np.full(size, -np.inf)
             np.maximum.at(most, key, sizes[place])
             m[some] = np.maximum(m[some], most.reshape(shape))
 
     # rings and stretches of time so far lie side by side, the oldest first; a disc and a window hold all nearer and later ones
-    n, e, m = n[:, :, ::-1].cumsum(2).cumsum(1), e[:, :, ::-1].cumsum(2).cumsum(1), np.maximum.accumulate(np.maximum.accumulate(m[:, :, ::-1], axis=2), axis=1)
     given = np.ix_(range(many), [radii.index(r) for r in radii_km], [spans.index(w) for w in windows])
-    return n[given], m[given], e[given]
+    m = np.maximum.accumulate(np.maximum.accumulate(m[:, :, ::-1], axis=2), axis=1)
+    n, *e = (x[:, :, ::-1].cumsum(2).cumsum(1) for x in (n, *e))
+    return [x[given] for x in (n, m, *e)]
 
 
 def _halves(q: dict, p: dict, q_at: np.ndarray, p_at: np.ndarray, bounds: np.ndarray, chords: np.ndarray, height: float) -> Iterator[tuple]:

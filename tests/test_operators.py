@@ -295,6 +295,12 @@ def test_local_counts_are_those_of_all_pairs(spark, monkeypatch, split):
         assert features.local_counts(events, events).columns[1:] == names
         assert len(mine) == len(plain) == 3000 and sum(r[34] for r in plain) > 10_000
         assert all(mine[r.event_id] == pytest.approx(list(r)[1:], abs=1e-9) for r in plain)
+        long = range_join.near_past(events.select("event_id", "sort_time", "latitude", "longitude"), events, 50, int(1095.75 * 86400), serving)
+        seen = {r.event_id: (r.n, r.mean) for r in long.groupBy("event_id").agg(F.count("*").alias("n"), F.avg("p_magnitude").alias("mean")).collect()}
+        for r in features.local_b_value(events, events, serving=serving).collect():
+            n, mean = seen.get(r.event_id, (0, None))
+            b = min(3.0, max(0.3, 0.4342944819 / (mean - 1))) if n >= 5 and mean and mean > 1 else 1.0
+            assert r.local_b_value_50km_3y == pytest.approx(b, abs=1e-9)
 
 
 def test_pairs_looked_at_one_by_one_grow_slower_than_all_pairs():
