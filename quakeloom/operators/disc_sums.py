@@ -76,6 +76,8 @@ def near_sums(
     """
     radius, window = max(radii_km), max(windows_seconds)
     asked, past = _tiles(queries, history, radius, window, tile_windows)
+    # only tiles that hold asking events, so that a few of them don't shuffle all the history
+    past = past.join(F.broadcast(asked.select(*_TILE).distinct()), [*_TILE], "left_semi")
     parts = F.broadcast(past.groupBy(*_TILE).agg(F.ceil(F.count("*") / TILE_EVENTS).cast("int").alias("_parts")))
     mine, each = F.pmod(F.xxhash64("event_id"), F.col("_parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
     half = F.lit(radius / DEGREE_KM) / scale(F.col("latitude"))
