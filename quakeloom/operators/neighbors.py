@@ -1,251 +1,82 @@
 """Nearest-neighbour parents: of all earlier events, the one with the least eta.
 
-The join of every event with all earlier ones is pruned exactly, by branch and bound over a pyramid of
-space-time cells:
-
-* The few largest events are compared with all, and the last events of the same cell: the first bound of each event's eta.
-  Those in the innermost rings (below) of the upper half of the strata make it tight, so that few of all pairs are better and have to be sorted.
-* The rest is split into strata of magnitude. A bound and a stratum's largest magnitude give the event's reach: how
-  long ago, at each distance, a parent of the stratum may lie.
-* Space is cut into rings around the event, each four times as wide as the one before. In the innermost, whose width
-  follows from how dense the stratum is, or from the reach if that goes back to the start, the whole past is looked through.
-  In each ring further out a parent must be more recent than the reach at the ring's inner edge, so that rings
-  look back the less the wider they are. The last one, beyond all others, has no outer edge; it begins where so short a time
-  is left that few events anywhere lie in it.
-* Each ring of each event asks the level of the pyramid whose cells are twice as wide as the ring and somewhat longer than it looks back.
-
-All that is one join on equal keys (level, cell, time bucket). For events that fill the same region and span more densely,
-bounds fall as their number grows, so that a ring finds about as many candidates as before.
+Parents are looked for in tiles of time and of space (operators/nearest_tiles.py). A tile answers the pairs that are as good as the best up to its
+rounding, one an event as a rule; their eta, and the order of equal ones, are Spark's own.
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quakeloom.functions import geo
+from quakeloom.operators import nearest_tiles
 from quakeloom.params import DEFAULT, EARTH_KM, YEAR_SECONDS, Params
 from quakeloom.session import cut
 
-#: Events that are compared with all others: a fixed number of small rows, sent to all tasks.
-LARGEST = 256
-#: The part of the events that lies above each stratum, of those above the one below; and the least step of magnitude between two.
-STRATA_GROWTH, STRATA_STEP = 8, 0.3
-#: Events of the same cell, of one of TIME_PARTS equal parts of the span, that give a first bound.
-LAST, TIME_PARTS = 8, 64
-#: Each ring is so many times as wide as the one inside it. The innermost is chosen between the least and the largest
-#: width, so that the cell around an event of a stratum holds FEW of its events on the mean; the last has no outer edge.
-RING_GROWTH, LEAST_KM, MOST_KM, FEW = 4.0, 4.0**-4, 256.0, 32
-#: Rings that look back over so few events of the stratum, wherever they are, are one with all beyond them.
-FEW_ANYWHERE = 8
-#: Each time level has buckets so many times as long as the one before.
-TIME_GROWTH = 16
 #: More than any rounding of a bound, in log10 units.
-SLACK = 1e-9
-_PAIR = ("event_id", "t", "mag", "lat", "lon", "cos")
-#: What an event that asks needs of them.
-_ASKING = tuple(c for c in _PAIR if c != "mag")
+SLACK = 1e-7
 
 
 def _eta(p: Params) -> Column:
     """log10 eta of a pair with prepared angles; null unless both gaps are positive."""
     up, across = F.sin((F.col("p_lat") - F.col("lat")) / 2.0), F.sin((F.col("p_lon") - F.col("lon")) / 2.0)
-    a = up * up + F.col("cos") * F.col("p_cos") * across * across
+    a = up * up + F.cos("lat") * F.cos("p_lat") * across * across
     km = F.lit(2.0 * EARTH_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
     return geo.log10_eta(F.col("t") - F.col("p_t"), km, F.col("p_mag"), p)
 
 
-def _prepared(df: DataFrame) -> DataFrame:
-    lat, lon = F.radians("latitude"), F.radians("longitude")
-    return df.select(
-        "event_id", F.col("sort_time").alias("t"), F.col("magnitude").alias("mag"), lat.alias("lat"), lon.alias("lon"), F.cos(lat).alias("cos"),
-        (F.cos(lat) * F.cos(lon)).alias("x"), (F.cos(lat) * F.sin(lon)).alias("y"), F.sin(lat).alias("z"),
+def _prepared(df: DataFrame, role: int) -> DataFrame:
+    """Events whose time and place are known; earlier ones need a magnitude, too."""
+    known = ["sort_time", "latitude", "longitude", *(["magnitude"] if role & 1 else [])]
+    there = reduce(Column.__and__, (F.col(c).isNotNull() & (~F.isnan(c) if c != "sort_time" else F.lit(True)) for c in known))
+    mag = F.coalesce(F.col("magnitude").cast("double"), F.lit(float("nan")))
+    return df.where(there).select(
+        F.col("event_id").cast("long").alias("event_id"), F.col("sort_time").cast("long").alias("t"), mag.alias("mag"),
+        F.radians("latitude").alias("lat"), F.radians("longitude").alias("lon"), F.lit(role).alias("role"),
     )
 
 
-def _as_parent(df: DataFrame, *more: Column) -> DataFrame:
-    return df.select(*(F.col(c).alias(f"p_{c}") for c in _PAIR), *more)
-
-
-def _key(*parts: Column) -> Column:
-    """One number for a cell. Cells that share a number by chance only add pairs."""
-    return F.xxhash64(*(p.cast("long") for p in parts))
-
-
-def _cube(width: Column | float) -> list[Column]:
-    """The cube of this width, in Earth radii, that holds the event: cells of space on the sphere, without poles or seams."""
-    return [F.floor(F.col(c) / width) for c in ("x", "y", "z")]
-
-
-def _above(cutoffs: list[float | None], value: Column) -> list[Column]:
-    """Per cutoff `value` where the parent's magnitude reaches it, else null."""
-    return [value if m is None else F.when(F.col("p_mag") >= m, value) for m in cutoffs]
-
-
-def _strata(past: DataFrame, below: float, cutoffs: list[float | None]) -> list[tuple[float, float, int]]:
-    """Least and largest magnitude of each stratum below the largest events, and which cutoff all its events are above."""
-    n, edges = past.count(), []
-    ranks = [n // STRATA_GROWTH**k for k in range(1, 20) if n // STRATA_GROWTH**k > 2 * LARGEST]
-    found = past.agg(F.percentile_approx("mag", [1 - r / n for r in ranks], 10_000)).first()[0] if ranks else []
-    asked = [m for m in cutoffs if m is not None and m < below]
-    for edge in sorted({*found, *asked}, reverse=True):
-        if edge in asked or (edges or [below])[-1] - edge >= STRATA_STEP:
-            edges.append(edge)
-    lows, highs = [*edges, float("-inf")], [below, *edges]
-    of = lambda low: max([i for i, m in enumerate(cutoffs) if m is None or m <= low], default=-1)
-    return [(low, high, of(low)) for low, high in zip(lows, highs) if of(low) >= 0]
-
-
-def _innermost(past: DataFrame, n_strata: int) -> tuple[list[float], list[int]]:
-    """Per stratum the width in km of the innermost ring, between widths at which cells were counted (a row per stratum and width), and its events."""
-    widths = [LEAST_KM * RING_GROWTH**k for k in range(1 + round(math.log(MOST_KM / LEAST_KM, RING_GROWTH)))]
-    levels = F.explode(F.array(*(F.struct(F.lit(j).alias("j"), _key(F.col("s"), F.lit(j), *_cube(2 * km / EARTH_KM)).alias("cell")) for j, km in enumerate(widths))))
-    counts = past.select("s", levels.alias("c")).groupBy("s", "c.j", "c.cell").agg(F.count("*").cast("double").alias("n"))
-    told = counts.groupBy("s", "j").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("n")).collect()
-    means, sizes = {(r.s, r.j): r.mean for r in told}, {r.s: r.n for r in told}
-    out = []
-    for s in range(n_strata):
-        mean = [means.get((s, j), 0.0) for j in range(len(widths))]
-        j = max([j for j, m in enumerate(mean) if m <= FEW], default=0)
-        between = math.log(FEW / mean[j], mean[j + 1] / mean[j]) if j + 1 < len(widths) and 0 < mean[j] <= FEW < mean[j + 1] else 0.0
-        out.append(widths[j] * RING_GROWTH**between)
-    return out, [sizes.get(s, 0) for s in range(n_strata)]
-
-
-def _rings(bounded: DataFrame, inner: list[float], strata: list[tuple[float, float, int]], rates: list[float], start: int, cutoffs: list[float | None], p: Params, innermost: bool = False) -> DataFrame:
-    """A row for each event, stratum (s) and ring (j), or the innermost ring only: how far to look back, the bound (eta_limit), and the length of time buckets. rates: events a second of each stratum."""
-    # an event only needs the cutoffs up to its own magnitude
-    own = sum((F.lit(1) if m is None else F.when(F.col("mag") >= m, 1).otherwise(0) for m in cutoffs), F.lit(0))
-    bounds = F.array(*(F.coalesce(f"bound{i}", F.lit(float("inf"))) for i in range(len(cutoffs))))
-    each = F.explode(F.array(*(F.struct(F.lit(s).alias("s"), F.lit(high).alias("high"), F.lit(c + 1).alias("c"), F.lit(km).alias("innermost"), F.lit(_last(km)).alias("last"), F.lit(rate).alias("rate")) for s, ((_, high, c), km, rate) in enumerate(zip(strata, inner, rates)))))
-    asks = bounded.withColumns({"own": own, "bounds": bounds, "stratum": each}).where("own > 0").select(*_PAIR, "x", "y", "z", "own", "bounds", "stratum.*")
-    asks = asks.withColumn("eta_limit", F.element_at("bounds", F.least("own", "c")) + SLACK).withColumn("whole", (F.col("t") - start).cast("double"))
-    asks = asks.withColumn("reach", F.pow(F.lit(10.0), F.col("eta_limit") + p.b * F.col("high")) * YEAR_SECONDS)
-    asks = asks.withColumn("j", F.lit(0) if innermost else F.explode(F.sequence(F.lit(0), "last")))
-    # rings that look back to the start are one with those inside them
-    edge = lambda j: F.pow(F.col("innermost") * F.pow(F.lit(RING_GROWTH), j - 1), F.lit(p.d_f))
-    back = lambda j: F.least(F.col("reach") / edge(j), F.col("whole"))
-    look = lambda j: F.when(j == 0, F.col("whole")).otherwise(back(j))
-    j, on = F.col("j"), look(F.col("j")) >= 1
-    if not innermost:
-        few = lambda j: look(j) * F.col("rate") <= FEW_ANYWHERE
-        inside = (j < F.col("last")) & (back(j + 1) >= F.col("whole")) & ~few(j)
-        on = on & ~inside & ~((j > 0) & few(j - 1))
-        j = F.when(few(j), F.col("last")).otherwise(j)
-    rings = asks.where(on).select(*_ASKING, "x", "y", "z", "s", j.alias("j"), "innermost", "last", F.ceil(look(F.col("j"))).alias("back"), "eta_limit")
-    level = F.ceil(F.log(F.col("back").cast("double")) / F.log(F.lit(float(TIME_GROWTH))) - SLACK)
-    return cut(rings.withColumn("length", F.pow(F.lit(float(TIME_GROWTH)), level).cast("long")))
-
-
-def _last(innermost: float) -> int:
-    """The number of the ring that has no outer edge."""
-    return 1 + max(0, math.ceil(math.log(MOST_KM / innermost, RING_GROWTH) - SLACK))
-
-
-def _width() -> Column:
-    """Of a ring's cells, in Earth radii: twice the ring's."""
-    return F.col("innermost") * F.pow(F.lit(RING_GROWTH), F.col("j")) * (2 / EARTH_KM)
-
-
-def _pairs(rings: DataFrame, past: DataFrame) -> DataFrame:
-    """Events with the earlier ones in the cells that their rings ask for."""
-    last = F.col("j") == F.col("last")
-    # the ball around the event reaches into two cells an axis at most, and into two time buckets
-    radius = F.col("width") / 2 * (1 + SLACK)
-    edges = {f"{c}{i}": F.when(last, 0).otherwise(F.floor((F.col(c) + sign * radius) / F.col("width"))).cast("long") for c in "xyz" for i, sign in ((0, -1), (1, 1))}
-    edges |= {"b0": F.floor((F.col("t") - F.col("back")) / F.col("length")), "b1": F.floor(F.col("t") / F.col("length"))}
-    placed = rings.withColumn("width", _width()).withColumns(edges)
-    keys = []
-    for corner in range(16):
-        at = [F.col(f"{c}{corner >> i & 1}") for i, c in enumerate("xyzb")]
-        new = [F.col(f"{c}1") > F.col(f"{c}0") for i, c in enumerate("xyzb") if corner >> i & 1]
-        square = sum(((a + 0.5) * (a + 0.5) for a in at[:3]), F.lit(0.0))
-        # half a cube's diagonal is 0.87 of its width; cubes further off the sphere are empty
-        on = last | (F.abs(F.sqrt(square) * F.col("width") - 1.0) <= F.col("width") * 0.9)
-        for more in new:
-            on = on & more
-        keys.append(F.when(on, _key(F.col("s"), F.col("j"), F.col("length"), *at)))
-    asks = placed.select(*_ASKING, "eta_limit", F.explode(F.array(*keys)).alias("key")).where("key IS NOT NULL")
-    used = F.broadcast(rings.select("s", "j", "length", "innermost", "last").distinct())  # strata x rings x time levels at most
-    mine = [F.when(last, 0).otherwise(c).cast("long") for c in _cube(F.col("width"))]
-    offers = _as_parent(past.join(used, "s").withColumn("width", _width()), _key(F.col("s"), F.col("j"), F.col("length"), *mine, F.floor(F.col("t") / F.col("length"))).alias("key"))
-    return asks.join(offers, "key").where(F.col("p_t") < F.col("t"))
+def _rows(catalog: DataFrame, history: DataFrame | None) -> DataFrame:
+    """The events that ask and the earlier ones, written."""
+    return cut(_prepared(catalog, 3) if history is None else _prepared(catalog, 2).unionByName(_prepared(history, 1)))
 
 
 def _search(catalog: DataFrame, cutoffs: list[float | None], p: Params, history: DataFrame | None = None) -> list[DataFrame]:
-    """Pairs of which one is each event's best, with eta_limit, a bound of the eta that can be best: those with the largest events, then, if there are more, all others."""
-    events = cut(_prepared(catalog))
-    past = events if history is None else cut(_prepared(history))
-    earlier = F.col("p_t") < F.col("t")
-    large = cut(past.orderBy(F.desc("mag"), "t", "event_id").limit(LARGEST))
-    every = events if history is None else events.unionByName(past)
-    start, end = every.agg(F.min("t"), F.max("t")).first()
-    below = large.agg(F.min("mag")).first()[0]  # no other event is larger
-    with_large = lambda of: of.join(F.broadcast(_as_parent(large)), earlier)
-    least = lambda pairs: pairs.withColumn("eta", _eta(p)).groupBy("event_id").agg(*(F.min(c).alias(f"bound{i}") for i, c in enumerate(_above(cutoffs, F.col("eta")))))
-    if start is None or below is None:
-        return [with_large(events).withColumn("eta_limit", F.lit(float("inf")))]
-
-    before = Window.partitionBy("cell").orderBy("t", "event_id").rowsBetween(-LAST, -1)
-    mine = F.struct(*(F.col(c).alias(f"p_{c}") for c in _PAIR))
-    mixed = events.withColumns({"asks": F.lit(True), "gives": F.lit(history is None)})
-    if history is not None:
-        mixed = mixed.unionByName(past.withColumns({"asks": F.lit(False), "gives": F.lit(True)}))
-    part = F.floor(F.col("t") / max(1, (end - start) // TIME_PARTS))
-    last = mixed.withColumn("cell", _key(part, *_cube(16.0 / EARTH_KM))).withColumn("last", F.collect_list(F.when(F.col("gives"), mine)).over(before)).where("asks")
-    recent = last.withColumn("p", F.explode("last")).select(*_PAIR, "p.*").where(earlier)
-    names = [f"bound{i}" for i in range(len(cutoffs))]
-    bounds = least(with_large(events)).unionByName(least(recent)).groupBy("event_id").agg(*(F.min(c).alias(c) for c in names))
-    bounded = cut(events.join(bounds, "event_id", "left"))
-    strata = _strata(past, below, cutoffs)
-    if strata:
-        stratum = F.coalesce(*(F.when((F.col("mag") >= low) & (F.col("mag") <= high), F.lit(s)) for s, (low, high, _) in enumerate(strata)))
-        placed = cut(past.withColumn("s", stratum).where("s IS NOT NULL"))
-        inner, sizes = _innermost(placed, len(strata))
-        rates, half = [n / max(1, end - start) for n in sizes], (len(strata) + 1) // 2
-        # least values of numbers are taken by hash, where the least of a struct sorts all pairs: the bound comes first
-        closest = least(_pairs(_rings(bounded, inner[:half], strata[:half], rates, start, cutoffs, p, innermost=True), placed))
-        tight = bounded.select("event_id", *names).unionByName(closest).groupBy("event_id").agg(*(F.min(c).alias(c) for c in names))
-        bounded = cut(events.join(tight, "event_id", "left"))
-    known_bounds = [F.coalesce(c, F.lit(float("inf"))) for c in names]
-    loosest = (F.greatest(*known_bounds) if len(names) > 1 else known_bounds[0]) + SLACK
-    known = with_large(bounded.select(*_PAIR, loosest.alias("eta_limit")))
-    return [known, _pairs(_rings(bounded, inner, strata, rates, start, cutoffs, p), placed)] if strata else [known]
+    """Pairs of which one is each event's best by layer (place in `cutoffs`), with eta_limit, a bound of the eta that can be best: those of slabs of time, then
+    those of cubes of space."""
+    limit = F.log10(F.col("value") / YEAR_SECONDS) + SLACK
+    return [pairs.withColumn("eta_limit", limit) for pairs in nearest_tiles.search(_rows(catalog, history), cutoffs, p)]
 
 
 def _found(catalog: DataFrame, cutoffs: list[float | None], p: Params, history: DataFrame | None = None) -> DataFrame:
-    """b0, b1, ... of each event: eta, p_t and p_event_id of the least eta among parents of each cutoff's magnitude or more."""
-    own = F.struct("eta", "p_t", "p_event_id")
-    every = None
-    for pairs in _search(catalog, cutoffs, p, history):
-        better = pairs.withColumn("eta", _eta(p)).where(F.col("eta") <= F.col("eta_limit")).select("event_id", "p_mag", "eta", "p_t", "p_event_id")
-        every = better if every is None else every.unionByName(better)
-    return every.groupBy("event_id").agg(*(F.min(c).alias(f"b{i}") for i, c in enumerate(_above(cutoffs, own))))
+    """event_id, layer and b: eta, p_t and p_event_id of the least eta among parents of the layer's magnitude or more."""
+    every = reduce(DataFrame.unionByName, _search(catalog, cutoffs, p, history))
+    better = every.withColumn("eta", _eta(p)).where("eta IS NOT NULL").select("event_id", "layer", F.struct("eta", "p_t", "p_event_id").alias("b"))
+    return better.groupBy("event_id", "layer").agg(F.min("b").alias("b"))
 
 
 def parents(catalog: DataFrame, p: Params = DEFAULT, history: DataFrame | None = None) -> DataFrame:
     """event_id and parent_id of every event with an earlier event (of `history`, if given) at another place."""
-    return _found(catalog, [None], p, history).select("event_id", F.col("b0.p_event_id").alias("parent_id"))
+    return _found(catalog, [None], p, history).select("event_id", F.col("b.p_event_id").alias("parent_id"))
 
 
 def parents_by_cutoff(catalog: DataFrame, cutoffs: list[float], p: Params = DEFAULT) -> DataFrame:
     """m_c, event_id, parent_id and log10_eta of each event of magnitude m_c or more among those events, for all cutoffs
-    from one join. Per event, the least eta among parents above each cutoff is a staircase, of which a cutoff reads one step;
-    without an earlier event parent_id and log10_eta are null."""
+    from one search; without an earlier event parent_id and log10_eta are null."""
     steps = sorted(set(cutoffs))
     kept = catalog.where(F.col("magnitude") >= steps[0])
     found = _found(kept, list(steps), p)
-    each = F.explode(F.array(*(F.struct(F.lit(float(m)).alias("m_c"), F.col(f"b{i}").alias("b")) for i, m in enumerate(steps)))).alias("r")
-    rows = kept.select("event_id", "magnitude").join(found, "event_id", "left").select("event_id", "magnitude", each).where(F.col("magnitude") >= F.col("r.m_c"))
-    return rows.select("r.m_c", "event_id", F.col("r.b.p_event_id").alias("parent_id"), F.col("r.b.eta").alias("log10_eta"))
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("layer"), F.lit(float(m)).alias("m_c")) for i, m in enumerate(steps)))).alias("r")
+    rows = kept.select("event_id", "magnitude", each).where(F.col("magnitude") >= F.col("r.m_c")).select("event_id", "r.*").join(found, ["event_id", "layer"], "left")
+    return rows.select("m_c", "event_id", F.col("b.p_event_id").alias("parent_id"), F.col("b.eta").alias("log10_eta"))
 
 
 def candidate_pairs(catalog: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """The pairs that `parents` compares beyond those with the largest and the last events, to count them."""
-    found = _search(catalog, [None], p)
-    return found[-1].select("event_id", "p_event_id").limit(0 if len(found) == 1 else 2**31 - 1)
+    """The pairs that `parents` compares, to count them."""
+    return nearest_tiles.compared(_rows(catalog, None), [None], p)
 
 
 def _attributes(kept: DataFrame, links: DataFrame, p: Params, *more: str) -> DataFrame:

@@ -316,3 +316,35 @@ def test_pairs_looked_at_one_by_one_grow_slower_than_all_pairs():
         left.append(sum(int(np.diff(np.searchsorted(some, bounds[asked]), axis=1).sum()) for asked, some in found))
         assert left[-1] < 0.5 * n * (n - 1) / 2
     assert left[1] < 10 * left[0]  # all pairs: 16 times
+
+
+def test_no_pair_of_the_search_for_parents_is_a_row(spark):
+    """What reaches the aggregate of the best pairs is a few rows an event, also at one dense place; and each is the best of all pairs."""
+    from quakeloom.operators import nearest_tiles, neighbors
+    from quakeloom.params import DEFAULT
+
+    rng = np.random.default_rng(5)
+    for n in (3000, 6000):
+        at = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(10_000)) / 10_000.0
+        place = lambda k, middle: F.when(F.col("id") % 3 > 0, middle + 0.02 * at(k)).otherwise(middle + 6 * at(k))
+        events = spark.range(n).select(
+            F.col("id").alias("event_id"), (at(1) * 3e8).cast("long").alias("sort_time"), place(2, 30.0).alias("latitude"), place(3, 130.0).alias("longitude"),
+            F.lit(10.0).alias("depth_km"), F.round(1 - F.log10(1 - at(4)), 1).alias("magnitude"),
+        )
+        assert 0.9 * n < sum(pairs.count() for pairs in neighbors._search(events, [None], DEFAULT)) < 4 * n
+
+    # poles, the date line, repeated places and times
+    n = 400
+    make = lambda: {"t": rng.integers(0, 2000, n) * 60, "lat": np.radians(np.round(rng.choice([-90.0, 89.99, 0.0, 10.0], n) + rng.random(n) * 0.01, 3)), "lon": np.radians(np.round(rng.choice([-180.0, 179.99, 0.0], n) + rng.random(n) * 0.01, 3)), "mag": np.round(1 + rng.exponential(1, n), 1)}
+    q, p = make(), make()
+    p |= {c: np.concatenate([p[c][:300], q[c][:100]]) for c in ("lat", "lon")}
+    up, across = np.sin((q["lat"][:, None] - p["lat"]) / 2), np.sin((q["lon"][:, None] - p["lon"]) / 2)
+    a = up * up + np.cos(q["lat"])[:, None] * np.cos(p["lat"]) * across * across
+    seconds = (q["t"][:, None] - p["t"]).astype(float)
+    with np.errstate(invalid="ignore"):
+        values = seconds * (2 * nearest_tiles.EARTH_KM * np.arcsin(np.minimum(np.sqrt(a), 1))) ** 1.6 * 10.0 ** -p["mag"]
+    values[(seconds <= 0) | (a == 0)] = np.inf
+    i, j, least = nearest_tiles.nearest(q, p, 1.6, 1.0, np.full(n, np.inf))
+    some = np.isfinite(values.min(axis=1))
+    assert np.allclose(least[some], values.min(axis=1)[some], rtol=1e-7) and not np.isfinite(least[~some]).any()
+    assert set(i) == set(np.flatnonzero(some)) and (values[i, j] <= least[i] * (1 + 1e-6)).all()
