@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from quakeloom.operators.range_join import scale
@@ -61,6 +61,20 @@ def _tiles(queries: DataFrame, history: DataFrame, radius_km: float, window_seco
     return asked, past.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("sort_time") / length), F.floor((F.col("sort_time") + window_seconds) / length))))
 
 
+def in_tiles(queries: DataFrame, history: DataFrame, radius_km: float, window_seconds: int, magnitude: Column, tile_windows: int = TILE_WINDOWS) -> GroupedData:
+    """By tile the query events (half: of their search box in longitude) and the earlier ones that they can reach (half: -1, and `magnitude`)."""
+    asked, past = _tiles(queries, history, radius_km, window_seconds, tile_windows)
+    # only tiles that hold asking events, so that a few of them don't shuffle all the history
+    past = past.join(F.broadcast(asked.select(*_TILE).distinct()), [*_TILE], "left_semi")
+    parts = F.broadcast(past.groupBy(*_TILE).agg(F.ceil(F.count("*") / TILE_EVENTS).cast("int").alias("_parts")))
+    mine, each = F.pmod(F.xxhash64("event_id"), F.col("_parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+    half = F.lit(radius_km / DEGREE_KM) / scale(F.col("latitude"))
+    columns = ("event_id", "sort_time", "latitude", "longitude")
+    asked = asked.join(parts, [*_TILE]).withColumns({"_asked": mine}).withColumn("_past", each).select(*_TILE, "_asked", "_past", *columns, half.alias("half"), F.lit(0.0).alias("magnitude"))
+    past = past.join(parts, [*_TILE]).withColumns({"_past": mine}).withColumn("_asked", each).select(*_TILE, "_asked", "_past", *columns, F.lit(-1.0).alias("half"), magnitude.alias("magnitude"))
+    return asked.unionByName(past).groupBy(*_TILE, "_asked", "_past")
+
+
 def near_sums(
     queries: DataFrame,
     history: DataFrame,
@@ -75,17 +89,9 @@ def near_sums(
     radius and window.
     """
     radius, window = max(radii_km), max(windows_seconds)
-    asked, past = _tiles(queries, history, radius, window, tile_windows)
-    # only tiles that hold asking events, so that a few of them don't shuffle all the history
-    past = past.join(F.broadcast(asked.select(*_TILE).distinct()), [*_TILE], "left_semi")
-    parts = F.broadcast(past.groupBy(*_TILE).agg(F.ceil(F.count("*") / TILE_EVENTS).cast("int").alias("_parts")))
-    mine, each = F.pmod(F.xxhash64("event_id"), F.col("_parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
-    half = F.lit(radius / DEGREE_KM) / scale(F.col("latitude"))
     columns = ("event_id", "sort_time", "latitude", "longitude")
-    asked = asked.join(parts, [*_TILE]).withColumns({"_asked": mine}).withColumn("_past", each).select(*_TILE, "_asked", "_past", *columns, half.alias("half"), F.lit(0.0).alias("magnitude"))
     # an unknown magnitude counts, but is no largest one
-    magnitude = F.coalesce(F.col("magnitude"), F.lit(-math.inf)).alias("magnitude")
-    past = past.join(parts, [*_TILE]).withColumns({"_past": mine}).withColumn("_asked", each).select(*_TILE, "_asked", "_past", *columns, F.lit(-1.0).alias("half"), magnitude)
+    dealt = in_tiles(queries, history, radius, window, F.coalesce(F.col("magnitude"), F.lit(-math.inf)), tile_windows)
     names = [f"{what}_{i}_{j}" for what in ("n", "m", *(f"s{k}" for k in range(len(sums)))) for i in range(len(radii_km)) for j in range(len(windows_seconds))]
     schema = ", ".join(["event_id long", *(f"{n} {'long' if n[0] == 'n' else 'double'}" for n in names)])
     height = radius / DEGREE_KM
@@ -99,7 +105,7 @@ def near_sums(
         found = [x[some, i, j] for x in found for i in range(len(radii_km)) for j in range(len(windows_seconds))]
         return pa.table(dict(zip(["event_id", *names], [q["event_id"][some], *found])))
 
-    found = asked.unionByName(past).groupBy(*_TILE, "_asked", "_past").applyInArrow(tile, schema)
+    found = dealt.applyInArrow(tile, schema)
     return found.groupBy("event_id").agg(*((F.max if n[0] == "m" else F.sum)(n).alias(n) for n in names))
 
 

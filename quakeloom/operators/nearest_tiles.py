@@ -37,6 +37,8 @@ RADII_KM = tuple(4.0**k for k in range(-3, 8))
 STRATA_GROWTH, STRATA_STEP = 4, 0.3
 #: Rings that look back over so few events of a stratum, wherever they are, are one with all beyond; last events of a cube that give a first bound; pairs at once.
 FEW_ANYWHERE, LAST, PAIRS_AT_ONCE = 16, 2, 500_000
+#: Radii in which the nearest event is looked for, each four times the one before.
+RECENT_RADII = 6
 #: More than the rounding of a value, as a share of it. Unit vectors nearer than CLOSE are told apart by their angles.
 SLACK, CLOSE = 1e-8, 1e-6
 #: Bits of each axis of the finest cubes.
@@ -102,6 +104,20 @@ class _Level:
             yield new[there], first, last
 
 
+def _spread(compare: Callable[[np.ndarray, np.ndarray], None], one: np.ndarray, of: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
+    """Compare each with its range of `of`, so many pairs at once."""
+    ends = np.cumsum(last - first)
+    start = 0
+    while start < len(one):
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + PAIRS_AT_ONCE, side="right")))
+        lengths = (last - first)[start:stop]
+        if lengths.sum():
+            place = np.arange(lengths.sum()) + np.repeat(first[start:stop] - np.cumsum(lengths) + lengths, lengths)
+            compare(np.repeat(one[start:stop], lengths), of[place])
+        start = stop
+
+
 def nearest(q: dict, p: dict, d_f: float, b: float, limits: np.ndarray, every: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places in `q` and `p` of pairs within SLACK of the least value of an event of `q`, if that isn't above its limit; and the least values.
 
@@ -131,18 +147,8 @@ def nearest(q: dict, p: dict, d_f: float, b: float, limits: np.ndarray, every: l
         kept = value <= best[one]
         found.append((one[kept], other[kept], value[kept]))
 
-    def spread(one: np.ndarray, of: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
-        """Compare each with its range of `of`, so many pairs at once."""
-        ends = np.cumsum(last - first)
-        start = 0
-        while start < len(one):
-            done = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, done + PAIRS_AT_ONCE, side="right")))
-            lengths = (last - first)[start:stop]
-            if lengths.sum():
-                place = np.arange(lengths.sum()) + np.repeat(first[start:stop] - np.cumsum(lengths) + lengths, lengths)
-                compare(np.repeat(one[start:stop], lengths), of[place])
-            start = stop
+    def spread(*ranges: np.ndarray) -> None:
+        _spread(compare, *ranges)
 
     strata = []
     for of in _strata(p["mag"]):
@@ -196,6 +202,52 @@ def nearest(q: dict, p: dict, d_f: float, b: float, limits: np.ndarray, every: l
     return pairs[:, 0], pairs[:, 1], least
 
 
+def nearest_within(q: dict, p: dict, radius_km: float, window: int, height: float, serving: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places in `q` and `p` of the pairs whose distance is the least of an event of `q` up to rounding (one of each place), if that is within the radius.
+
+    q, p: event_id, t, lat, lon (radians), latitude, longitude (degrees, as the box of `height` and of q's half is); p in order of time."""
+    best, found = np.full(len(q["t"]), (radius_km / EARTH_KM * (1 + SLACK)) ** 2), []
+    q_at, p_at = _unit(q["lat"], q["lon"]), _unit(p["lat"], p["lon"])
+
+    def compare(one: np.ndarray, other: np.ndarray) -> None:
+        square = np.zeros(len(one))
+        for i in range(3):
+            square += (q_at[one, i] - p_at[other, i]) ** 2
+        close = np.flatnonzero(square < CLOSE * CLOSE)
+        if len(close):
+            a, c = one[close], other[close]
+            up, across = np.sin((p["lat"][c] - q["lat"][a]) / 2), np.sin((p["lon"][c] - q["lon"][a]) / 2)
+            square[close] = 4 * (up * up + np.cos(q["lat"][a]) * np.cos(p["lat"][c]) * across * across)
+        some = np.flatnonzero(square <= best[one])
+        one, other, square = one[some], other[some], square[some]
+        before = p["t"][other] < q["t"][one]
+        if not serving:
+            before |= (p["t"][other] == q["t"][one]) & (p["event_id"][other] < q["event_id"][one])
+        boxed = (np.abs(p["latitude"][other] - q["latitude"][one]) <= height) & (np.abs(p["longitude"][other] - q["longitude"][one]) <= q["half"][one])
+        one, other, square = (x[before & boxed] for x in (one, other, square))
+        np.minimum.at(best, one, square * (1 + SLACK))
+        kept = square <= best[one]
+        found.append((one[kept], other[kept], square[kept]))
+
+    asked = np.arange(len(q["t"])) if len(p["t"]) else np.empty(0, np.int64)
+    for k in range(RECENT_RADII - 1, -1, -1):
+        if not len(asked):
+            break
+        cubes = _Level(p_at, p["t"], radius_km / 4.0**k)
+        for some, first, last in cubes.around(q_at[asked], q["t"][asked] - window, q["t"][asked] + (not serving)):
+            _spread(compare, asked[some], cubes.order, first, last)
+        asked = asked[best[asked] > cubes.radius**2]
+    one, other, square = (np.concatenate([np.empty(0, np.int64 if k < 2 else np.float64), *(x[k] for x in found)]) for k in range(3))
+    kept = square <= best[one]
+    one, other = one[kept], other[kept]
+    # of one place the first in order of time and id
+    order = np.lexsort((p["event_id"][other], p["t"][other], p["longitude"][other], p["latitude"][other], one))
+    one, other = one[order], other[order]
+    new = np.ones(len(one), bool)
+    new[1:] = (one[1:] != one[:-1]) | (p["latitude"][other[1:]] != p["latitude"][other[:-1]]) | (p["longitude"][other[1:]] != p["longitude"][other[:-1]])
+    return one[new], other[new]
+
+
 def _columns(batch: pa.RecordBatch | pa.Table, *names: str) -> dict[str, np.ndarray]:
     return {c: batch[c].to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else batch[c].to_numpy() for c in names}
 

@@ -348,3 +348,12 @@ def test_no_pair_of_the_search_for_parents_is_a_row(spark):
     some = np.isfinite(values.min(axis=1))
     assert np.allclose(least[some], values.min(axis=1)[some], rtol=1e-7) and not np.isfinite(least[~some]).any()
     assert set(i) == set(np.flatnonzero(some)) and (values[i, j] <= least[i] * (1 + 1e-6)).all()
+
+
+def test_no_pair_of_the_search_for_recent_events_is_a_row(spark):
+    """The pairs of a dense place meet in a tile: no join, whose rows would be pairs, is left but those that deal events out and put answers beside events."""
+    events = spark.range(2000).select(F.col("id").alias("event_id"), F.col("id").alias("sort_time"), F.lit(30.0).alias("latitude"), (100 + F.col("id") * 1e-3).alias("longitude"), F.lit(1.0).alias("magnitude"))
+    found = features.nearest_recent(events, events)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "p_sort_time" not in " ".join(line for line in plan.splitlines() if "Join" in line)
+    assert found.where("round(distance_km / 0.0963, 1) = 1 AND age_days * 86400 = 1").count() == 1999
