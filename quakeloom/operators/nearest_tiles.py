@@ -14,7 +14,6 @@ a few cubes.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -45,7 +44,6 @@ SLACK, CLOSE = 1e-8, 1e-6
 BITS = 12
 _EVENT = ("event_id", "t", "mag", "lat", "lon")
 _PARENT = ("p_event_id", "p_t", "p_mag", "p_lat", "p_lon")
-_TYPES = {"event_id": "long", "t": "long"}
 #: What a tile answers: pairs, the value (seconds x km ** d_f / 10 ** (b x magnitude)) of the best, and in slabs what is left to look for.
 PAIRS = "layer int, event_id long, t long, lat double, lon double, p_event_id long, p_t long, p_mag double, p_lat double, p_lon double, value double"
 _TILE = "tile long, part int, role int, event_id long, t long, mag double, lat double, lon double, value double"
